@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import held
+
 #: Bounds of the document rules.
 LEAST_WORDS = 50
 REPEAT_PERCENT = 50
@@ -92,8 +94,8 @@ def with_quality(documents: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.withColumn("_text", text)
-    rows = rows.withColumn("_words", F.filter(F.split("_text", SPACES), lambda w: w != ""))
-    rows = rows.withColumn("_sorted", _repeat_words(F.col("_words")))
+    rows = held(rows, _words=F.filter(F.split("_text", SPACES), lambda w: w != ""))
+    rows = held(rows, _sorted=_repeat_words(F.col("_words")))
     rows = rows.withColumn("_lines", F.split("_text", "\n"))
     # Places of windows that have an equal neighbour in the sorted order, in ascending order. Fields are
     # taken of one element at a time: taking them of the array would be repeated at every element.
@@ -114,25 +116,25 @@ def with_quality(documents: DataFrame) -> DataFrame:
         (acc["n"] + F.least(F.lit(3), x - acc["last"])).alias("n"), x.alias("last")
     )
     covered = F.aggregate("_again", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), gap)["n"]
-    wordy = rows.withColumn("_wordy", F.filter("_lines", _has_word))
-    good = wordy.withColumn("_good", F.filter("_wordy", lambda x: ~line_fails(x)))
-    good = good.withColumn("clean_text", F.array_join("_good", "\n"))
+    rows = held(rows, _wordy=F.filter("_lines", _has_word))
+    rows = held(rows, _good=F.filter("_wordy", lambda x: ~line_fails(x)))
+    rows = rows.withColumn("_clean", F.array_join("_good", "\n"))
     n_words = F.size("_words").cast("long")
-    counted = good.withColumns(
-        {
-            "n_words": n_words,
-            "word_chars": F.length(F.translate("_text", SPACE, "")).cast("long"),
-            "n_symbols": _chars(F.col("_text"), SYMBOLS).cast("long"),
-            "n_dup_lines": (F.size("_wordy") - F.size(F.array_distinct("_wordy"))).cast("long"),
-            "n_repeat_words": covered.cast("long"),
-            "n_lines_failed": (F.size("_wordy") - F.size("_good")).cast("long"),
-            "lost_words": n_words - _n_words(F.col("clean_text")).cast("long"),
-        }
+    counted = held(
+        rows,
+        n_words=n_words,
+        word_chars=F.length(F.translate("_text", SPACE, "")).cast("long"),
+        n_symbols=_chars(F.col("_text"), SYMBOLS).cast("long"),
+        n_dup_lines=(F.size("_wordy") - F.size(F.array_distinct("_wordy"))).cast("long"),
+        n_repeat_words=covered.cast("long"),
+        n_lines_failed=(F.size("_wordy") - F.size("_good")).cast("long"),
+        lost_words=F.when(F.size("_wordy") == F.size("_good"), F.lit(0).cast("long")).otherwise(n_words - _n_words(F.col("_clean")).cast("long")),
+        clean_text=F.col("_clean"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     judged = counted.withColumn("base_failed", failed)
     judged = judged.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_words") <= LOST_PERCENT * F.col("n_words")))
-    return judged.drop("_text", "_words", "_sorted", "_lines", "_again", "_wordy", "_good")
+    return judged.drop("_text", "_words", "_sorted", "_lines", "_again", "_wordy", "_good", "_clean")
 
 
 def clean(documents: DataFrame) -> DataFrame:

@@ -23,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import held
+
 # The base patterns.
 ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ASSIGN_HINT = r"(?i)passw|secret|token|api_?key"
@@ -80,12 +82,11 @@ def with_base_spans(documents: DataFrame) -> DataFrame:
     """``documents`` with the arrays _assign, _access and _hex of spans (start, kind, end, value)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.withColumn("_text", text)
-    return rows.withColumns(
-        {
-            "_assign": _spans(F.col("_text"), ASSIGN, 0, ASSIGN_HINT, ASSIGN_CHARS),
-            "_access": _spans(F.col("_text"), ACCESS, 1),
-            "_hex": _spans(F.col("_text"), HEX, 2),
-        }
+    return held(
+        rows,
+        _assign=_spans(F.col("_text"), ASSIGN, 0, ASSIGN_HINT, ASSIGN_CHARS),
+        _access=_spans(F.col("_text"), ACCESS, 1),
+        _hex=_spans(F.col("_text"), HEX, 2),
     )
 
 
@@ -145,8 +146,7 @@ def _ratio(run: Column, ratios: list[int]) -> Column:
 
 def with_spans(documents: DataFrame, ratios: list[int]) -> DataFrame:
     """``documents`` with base spans, ``_random`` spans and ``_spans``: all of them by start, then kind."""
-    rows = with_base_spans(documents).withColumn("_base", F.concat("_assign", "_access", "_hex"))
-    rows = rows.withColumn("_runs", _spans(F.col("_text"), RUN, 3))
+    rows = held(with_base_spans(documents), _base=F.concat("_assign", "_access", "_hex"), _runs=_spans(F.col("_text"), RUN, 3))
 
     def secret(s: Column) -> Column:
         ratio = _ratio(s["value"], ratios)
@@ -179,7 +179,7 @@ def redact(documents: DataFrame, ratios: list[int] | None = None) -> DataFrame:
         )
 
     done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    masked = rows.withColumn("_done", F.when(F.size("_spans") > 0, done))
+    masked = held(rows, _done=F.when(F.size("_spans") > 0, done))
     rest = F.concat(F.col("_done.out"), F.substring(text, F.col("_done.at") + 1, F.length(text)))
     out = masked.withColumn("text", F.when(F.col("_done").isNotNull(), rest).otherwise(F.col("text")))
     if "n_chars" in documents.columns:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -35,3 +36,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once.
+
+    The optimizer may copy an expression to where it is used, which inside a lambda function means once
+    per element, and pushes filters below it in the same way. A generator of one row stops both.
+    """
+    whole = F.struct(*(c.alias(name) for name, c in columns.items()))
+    kept = df.select("*", F.explode_outer(F.array(whole)).alias("_held"))
+    return kept.select(*df.columns, *(F.col(f"_held.{name}").alias(name) for name in columns))
