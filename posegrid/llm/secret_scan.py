@@ -39,6 +39,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LEAST_RATIO = 10.0
 #: And the ratio a character pair must have on average.
 LEAST_MEAN = 0.25
+#: A run of fewer different characters is a rule or a filler.
+LEAST_LETTERS = 8
 #: Log-ratios are kept as whole thousandths, so that sums don't depend on their order.
 SCALE = 1000
 
@@ -59,7 +61,7 @@ def _spans(text: Column, pattern: str, kind: int, hint: str | None = None, value
     found = F.regexp_extract_all(text, p, F.lit(0))
     value = F.regexp_extract_all(text, p, F.lit(2)) if value_chars else found
     rows = F.arrays_zip(between.alias("gap"), F.transform(found, lambda x: F.length(x)).alias("size"), value.alias("value"))
-    shape = f"struct<at:int,out:array<struct<start:int,kind:int,end:int,value:string>>>"
+    shape = "struct<at:int,out:array<struct<start:int,kind:int,end:int,value:string>>>"
     start = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(shape)
 
     def step(acc: Column, x: Column) -> Column:
@@ -152,7 +154,8 @@ def with_spans(documents: DataFrame, ratios: list[int]) -> DataFrame:
         ratio = _ratio(s["value"], ratios)
         touched = F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         pairs = s["end"] - s["start"] - 1
-        return ~touched & (ratio >= F.greatest(F.lit(LEAST_RATIO * SCALE), LEAST_MEAN * SCALE * pairs))
+        varied = F.size(F.array_distinct(F.split(s["value"], ""))) >= LEAST_LETTERS
+        return ~touched & varied & (ratio >= F.greatest(F.lit(LEAST_RATIO * SCALE), LEAST_MEAN * SCALE * pairs))
 
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
     rows = rows.withColumn("_random", F.when(F.size("_runs") > 0, F.filter("_runs", secret)).otherwise(none))
