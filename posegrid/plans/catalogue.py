@@ -4,7 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    return []
+    from . import geometry
+
+    return [geometry]
 
 
 def queries() -> dict:
