@@ -21,7 +21,7 @@ rep AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM r, unnest([p, p
 l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
 l1 AS (SELECT doc_id, line, length(trim(line)) - length(replace(trim(line), ' ', '')) + 1 AS n,
          length(line) - length(translate(line, '{rules.SYMBOLS.replace("|", "")}', '')) + length(line) - length(replace(line, '!!', '')) AS marked,
-         length(line) - length(translate(line, '{rules.SEPARATOR_CHARS}', '')) AS bars,
+         len(regexp_extract_all(line, '{rules.SEPARATOR_CHARS}')) AS bars,
          len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words
        FROM l0 WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 l2 AS (SELECT *, (marked * 100 > n * {rules.MARKED_PERCENT} AND marked >= 3) OR (n <= {rules.FRAGMENT_WORDS} AND NOT regexp_matches(line, {_quoted(rules.END_MARK)}))
