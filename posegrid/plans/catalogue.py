@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from . import geometry
+    from . import aggregates, geometry, series
 
-    return [geometry]
+    return [geometry, series, aggregates]
 
 
 def queries() -> dict:
