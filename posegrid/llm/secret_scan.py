@@ -103,7 +103,9 @@ def _pairs(samples: DataFrame) -> DataFrame:
 def training_samples(documents: DataFrame) -> DataFrame:
     """(label, value): random strings (1) and identifiers (0)."""
     spark = documents.sparkSession
-    few = documents.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAINING_DOCUMENTS)
+    # Ids alone are ranked; the broadcast holds TRAINING_DOCUMENTS of them at most.
+    chosen = documents.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_DOCUMENTS)
+    few = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
     marked = with_base_spans(few)
     values = marked.select(F.explode(F.concat("_assign", "_access", "_hex")).alias("s")).select(F.lit(1).alias("label"), F.col("s.value").alias("value"))
     plain = F.regexp_replace(F.regexp_replace("_text", ASSIGN, " "), RUN, " ")
