@@ -56,7 +56,7 @@ def normal(a: Point, b: Point, c: Point) -> Point:
 def angle(a: Point, b: Point) -> Column:
     """Degrees between two vectors. A cosine that rounding brings beyond one counts as one."""
     cosine = F.try_divide(dot(a, b), norm(a) * norm(b))
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    return F.when(cosine.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))))
 
 
 def angle_at(corner: Point, a: Point, b: Point) -> Column:

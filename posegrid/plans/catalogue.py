@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from . import aggregates, geometry, series
+    from . import aggregates, catalogues, geometry, models, series, signals
 
-    return [geometry, series, aggregates]
+    return [geometry, series, aggregates, signals, catalogues, models]
 
 
 def queries() -> dict:

@@ -354,7 +354,15 @@ def _g26():
     SELECT recording, frame, {", ".join(out)} FROM f JOIN a3 ON rec = recording"""
 
 
-QUERIES, ORACLES = {}, {}
+def g07_hull_many(spark, sf_dir):
+    """Hulls of the nine keypoints of snout and mouth, beyond what an expression can say."""
+    from posegrid.operators.hull import hull_volumes
+
+    found = hull_volumes(derived.pose_wide(spark, sf_dir), list(m.KEYPOINTS[:9]))
+    return found.select("recording", "frame", F.round("volume", 2).alias("volume"))
+
+
+QUERIES, ORACLES = {"g07_hull_many": g07_hull_many}, {}
 for _name, (_columns, _sql) in PROJECTIONS.items():
     QUERIES[_name], ORACLES[_name] = _query(_columns, _sql)
 for _run, _sql in (
