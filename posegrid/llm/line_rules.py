@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held
+from .shared import held, packed_rows, unpacked
 
 #: Bounds of the document rules.
 LEAST_WORDS = 50
@@ -133,11 +133,15 @@ def _with_repeats(rows: DataFrame) -> DataFrame:
 
 
 def with_quality(documents: DataFrame) -> DataFrame:
-    """``documents`` with the base counts, the verdicts and the text that the line rules leave.
+    """doc_id and text of ``documents`` with the base counts, the verdicts and the text that the line rules leave.
 
     Added: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines_failed,
     lost_words, kept, clean_text.
     """
+    return _judged(documents.select("doc_id", "text"))
+
+
+def _judged(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.withColumn("_text", text)
     bare = F.btrim(F.col("_text"), F.lit(SPACE))
@@ -170,9 +174,9 @@ def with_quality(documents: DataFrame) -> DataFrame:
 
 
 def clean(documents: DataFrame) -> DataFrame:
-    """Kept documents, without the lines that failed; the columns of ``documents``."""
-    kept = with_quality(documents).filter("kept")
-    out = kept.withColumn("text", F.col("clean_text"))
+    """Kept documents, without the lines that failed; the columns of ``documents``, whatever their names."""
+    kept = _judged(packed_rows(documents, "text")).filter("kept")
+    changed = {"text": F.col("clean_text")}
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return out.select(documents.columns)
+        changed["n_chars"] = F.length("clean_text").cast(documents.schema["n_chars"].dataType)
+    return unpacked(kept, documents, **changed)

@@ -51,7 +51,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read_table(spark, sf_dir, "documents")
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.with_spans(documents, secret_scan.train(documents))
     base = F.sort_array("_base")
     return found.select(

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held
+from .shared import held, packed_rows, unpacked
 
 # The base patterns.
 ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -81,7 +81,7 @@ def _spans(text: Column, pattern: str, kind: int, hint: str | None = None, value
 
 
 def with_base_spans(documents: DataFrame) -> DataFrame:
-    """``documents`` with the arrays _assign, _access and _hex of spans (start, kind, end, value)."""
+    """``documents`` (text and columns without a leading underscore) with the arrays _assign, _access and _hex of spans (start, kind, end, value)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.withColumn("_text", text)
     return held(
@@ -173,7 +173,7 @@ def listed(spans: Column) -> Column:
 
 def redact(documents: DataFrame, ratios: list[int] | None = None) -> DataFrame:
     """``documents`` with every span of their texts replaced by a mask; same columns."""
-    rows = with_spans(documents, train(documents) if ratios is None else ratios)
+    rows = with_spans(packed_rows(documents, "text"), train(documents) if ratios is None else ratios)
     text = F.col("_text")
 
     def step(acc: Column, s: Column) -> Column:
@@ -186,7 +186,9 @@ def redact(documents: DataFrame, ratios: list[int] | None = None) -> DataFrame:
     done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
     masked = held(rows, _done=F.when(F.size("_spans") > 0, done))
     rest = F.concat(F.col("_done.out"), F.substring(text, F.col("_done.at") + 1, F.length(text)))
-    out = masked.withColumn("text", F.when(F.col("_done").isNotNull(), rest).otherwise(F.col("text")))
+    shown = F.when(F.col("_done").isNotNull(), rest).otherwise(F.col("text"))
+    changed = {"text": shown}
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(documents.schema["n_chars"].dataType), F.col("n_chars")))
-    return out.select(documents.columns)
+        size = F.length(shown).cast(documents.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("_done").isNotNull(), size).otherwise(F.col("_row.n_chars"))
+    return unpacked(masked, documents, **changed)

@@ -47,3 +47,13 @@ def held(df: DataFrame, **columns: Column) -> DataFrame:
     whole = F.struct(*(c.alias(name) for name, c in columns.items()))
     kept = df.select("*", F.explode_outer(F.array(whole)).alias("_held"))
     return kept.select(*df.columns, *(F.col(f"_held.{name}").alias(name) for name in columns))
+
+
+def packed_rows(df: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns and ``_row``, a struct of all columns, so that no other column's name can clash with ours."""
+    return df.select(*needed, F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
+
+
+def unpacked(df: DataFrame, like: DataFrame, **replaced: Column) -> DataFrame:
+    """The columns of ``like`` from ``_row``, some replaced."""
+    return df.select(*((replaced[c] if c in replaced else F.col("_row").getField(c)).alias(c) for c in like.columns))
