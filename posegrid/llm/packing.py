@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cached_bpe import cached_bpe
+from .cached_bpe import encoded_documents
 
 WINDOW = 1024
 GROUP_WINDOWS = 192
@@ -90,12 +90,11 @@ def _cut(length: int, into_change: bool, window: int) -> list[int]:
 
 
 def pack_documents(documents: DataFrame, tokenizer: str, end_id: int, keeps_space: bool = True, window: int = WINDOW) -> DataFrame:
-    """One row per piece of ``documents`` (doc_id, text): PIECE_SCHEMA and a map of no ids beside its checksum."""
+    """One row per piece of ``documents`` (doc_id, text): PIECE_SCHEMA."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = cached_bpe(tokenizer, keeps_space)
         end = np.array([end_id], np.uint32)
         base = TaskContext.get().partitionId() << 33
         sequences, seen = 0, 0
@@ -119,7 +118,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, end_id: int, keeps_spac
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=names)
 
         for batch in batches:
-            for key, short in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
+            for key, short in encoded_documents(batch, tokenizer, keeps_space):
                 ids = np.concatenate([short.astype("<u4"), end.astype("<u4")])
                 start = 0
                 for length in _cut(len(ids), seen % CHANGE_EVERY == 0, window):

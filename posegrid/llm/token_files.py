@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .cached_bpe import cached_bpe
+from .cached_bpe import encoded_documents
 from .shared import settle, shared_folder
 
 BLOCK = 256
@@ -148,7 +148,6 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str, end_id:
         store, path = FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
         task, files = TaskContext.get().partitionId(), 0
-        encoder = cached_bpe(tokenizer, keeps_space)
         end = np.array([end_id], np.uint16)
         keys: list[int | None] = []
         docs: list[np.ndarray] = []
@@ -166,7 +165,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str, end_id:
             return row
 
         for batch in batches:
-            for key, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
+            for key, ids in encoded_documents(batch, tokenizer, keeps_space):
                 keys.append(key)
                 docs.append(np.concatenate([ids, end]))
                 size += len(docs[-1])
