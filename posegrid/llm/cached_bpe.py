@@ -17,7 +17,7 @@ import numpy as np
 #: Entries in each of the two generations of the cache.
 CACHE_ENTRIES = 250_000
 #: Code points handled at once; bounds the lists of pre-tokens that live at the same time.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 2_000_000
 
 # The pre-token patterns of the two vocabularies, with the letter and number classes
 # written out for Latin-1. NUL stands between texts.
@@ -141,8 +141,8 @@ class CachedBpe:
 def encoded_documents(batch, path: str, keeps_space: bool) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) of the rows of an Arrow batch, of which few are Python objects at a time."""
     encoder = cached_bpe(path, keeps_space)
-    for at in range(0, batch.num_rows, 256):
-        part = batch.slice(at, 256)
+    for at in range(0, batch.num_rows, 1024):
+        part = batch.slice(at, 1024)
         yield from zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()))
 
 
