@@ -73,3 +73,16 @@ def spike_xcorr(spike_frames: DataFrame, frames: DataFrame, max_lag: int, keys=(
     """Sum of the movement ``lag`` frames before each spike, for lags of either sign: sum over l of rate[l + lag] * v[l]."""
     lags = spike_frames.withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag)))).withColumn("frame", F.col("frame") - F.col("lag"))
     return lags.join(frames, "frame").groupBy(*keys, "lag").agg(F.sum("v").alias("corr"))
+
+
+def neighbour_channels(channels: DataFrame, keep: int = 9) -> DataFrame:
+    """(channel, neighbour, place): the nearest channels of each, itself first. A probe has some dozen channels.
+
+    Distance is along the shank, and half a step for the other shank; ties go to the lower channel.
+    """
+    from pyspark.sql import Window
+
+    other = channels.select(F.col("channel").alias("neighbour"), F.col("shank").alias("_s"), F.col("position").alias("_p"))
+    far = F.abs(F.col("position") - F.col("_p")) + F.when(F.col("shank") != F.col("_s"), 0.5).otherwise(0.0)
+    placed = channels.join(F.broadcast(other)).withColumn("place", F.row_number().over(Window.partitionBy("channel").orderBy(far, "neighbour")))
+    return placed.filter(F.col("place") <= keep).select("channel", "neighbour", "place")

@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_pose3d(spark: SparkSession, path: str, keypoints: list[str], extra: tuple[str, ...] = (), layout: str = "wide") -> DataFrame:
-    """Pose CSVs with a header: recording (the file's stem), frame and the columns of each keypoint, wide or long.
+def read_pose3d(spark: SparkSession, path: str, keypoints: list[str], extra: tuple[str, ...] = (), layout: str = "wide", folder_key: str | None = None) -> DataFrame:
+    """Pose CSVs with a header: recording (the file's stem, or the value of a ``key=value`` folder), frame and the columns of each keypoint, wide or long.
 
     Frames come from a ``frame`` column; rows have no order of their own on a cluster.
     """
     names = [f"{k}_{c}" for k in keypoints for c in ("x", "y", "z", *extra)]
     schema = T.StructType([T.StructField("frame", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in names)])
     rows = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
-    wide = rows.select(stem(F.col("_metadata.file_path")).alias("recording"), *rows.columns)
+    path_of = F.col("_metadata.file_path")
+    recording = F.regexp_extract(F.url_decode(path_of), f"{folder_key}=([^/]*)/", 1) if folder_key else stem(path_of)
+    wide = rows.select(recording.alias("recording"), *schema.names)
     if layout == "wide":
         return wide
     columns = ["x", "y", "z", *extra]
