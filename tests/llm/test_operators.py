@@ -389,6 +389,11 @@ def test_induction_drops_what_repeats():
         "<script>var x='<p>';</script><div id=comments><p>no</p></div><aside>s</aside></main><footer>f</footer></body>"
     )
     assert wrappers.extract([noisy]) == ["Té a bc d e"]
+    placed = (
+        "<div class='site-header'>Site</div><article><div class='article-header'><h1>Title</h1></div><p>Text&nbsp; here</p><span class='ad'>Buy</span>"
+        "<p style='display: none'>hidden</p><ol class=commentlist><li>nice</ol><ul><li>one<li>two</ul></article><div class='newsletter-box'>Join</div>"
+    )
+    assert wrappers.extract([placed]) == ["Title Text here one two"]
 
 
 def test_pages_without_rows(spark):
