@@ -38,13 +38,24 @@ def _(spark, sf):
     return done.select("recording", "idx", _r("v").alias("v"))
 
 
-@query("d02_spectrogram")
+SPECTRUM = f"""{S}, n AS (SELECT recording, count(*) AS n FROM s GROUP BY 1), sg AS (SELECT recording, unnest(range((n - 400) // 350 + 1)) AS seg FROM n WHERE n >= 400),
+ x AS (SELECT sg.recording, seg, idx - seg * 350 AS i, v - avg(v) OVER (PARTITION BY sg.recording, seg) AS v FROM sg JOIN s ON s.recording = sg.recording AND idx >= seg * 350 AND idx < seg * 350 + 400),
+ wn AS (SELECT i, 0.5 * (1 - cos(pi() * least(least(i / 400.0, 1 - i / 400.0) / 0.125, 1))) AS w FROM (SELECT unnest(range(400)) AS i)),
+ sp AS (SELECT recording, seg, k, sqrt(pow(sum(v * w * cos(2 * pi() * k * i / 400)), 2) + pow(sum(v * w * sin(2 * pi() * k * i / 400)), 2)) / (SELECT sum(w) FROM wn) AS power
+   FROM (SELECT * FROM x JOIN wn USING (i)), (SELECT unnest(range(201)) AS k) GROUP BY ALL)"""
+
+
+@query("d02_spectrogram", f"WITH {SPECTRUM} SELECT recording, seg, round((200 + seg * 350) / 100.0, 4) AS t, round(k / 4.0, 4) AS freq, round(power, 4) AS power FROM sp")
 def _(spark, sf):
     found = spectral.spectrogram(derived.series(spark, sf), 100.0, 400)
     return found.select("recording", "seg", _r("t").alias("t"), _r("freq").alias("freq"), _r("power").alias("power"))
 
 
-@query("a17_band_powers")
+@query(
+    "a17_band_powers",
+    f"""WITH {SPECTRUM} SELECT recording, seg, round((200 + seg * 350) / 100.0, 4) AS t, round(avg(power) FILTER (WHERE k / 4.0 < 1), 4) AS low,
+    round(avg(power) FILTER (WHERE k / 4.0 BETWEEN 1 AND 4), 4) AS delta, round(avg(power) FILTER (WHERE k / 4.0 BETWEEN 5 AND 10), 4) AS theta FROM sp GROUP BY recording, seg""",
+)
 def _(spark, sf):
     found = spectral.band_powers(spectral.spectrogram(derived.series(spark, sf), 100.0, 400))
     return found.select("recording", "seg", _r("t").alias("t"), *(_r(c).alias(c) for c in ("low", "delta", "theta")))
