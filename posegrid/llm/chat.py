@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import settle
+
 #: Rendering of a turn.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -41,7 +43,7 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies) of the conversations that prefix no longer one, one of each group of equals."""
-    hashes = prefix_hashes(turns)
+    hashes = settle(prefix_hashes(turns), "prefix-hashes")
     whole = (
         hashes.filter("place = length").groupBy("length", "high", "low").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
     )
@@ -62,7 +64,7 @@ def render(turns: DataFrame) -> DataFrame:
 
 def collapse_and_render(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies, rendered) of every maximal conversation."""
-    kept = maximal_conversations(turns)
+    kept = settle(maximal_conversations(turns), "maximal-conversations")
     same = F.col("t.conv_id").eqNullSafe(F.col("k.conv_id"))
     own = turns.alias("t").join(kept.select("conv_id").alias("k"), same, "left_semi")
     shown = render(own).alias("s")
