@@ -96,6 +96,21 @@ def merged(spans):
     return out
 
 
+def test_decisions_follow_rows(spark):
+    """Null ids, repeated rows and different texts under one id."""
+    leak = max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=len)
+    one, two, three = (" ".join(f"{w}{i * i}" for i in range(80)) for w in ("red", "blue", "green"))
+    rows = [(None, one), (None, one), (5, two), (5, two), (None, two), (7, three), (7, leak), (None, leak)]
+    docs = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "doc_id long, text string, nth int").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["near_duplicates"](spark, docs, SF)
+    assert kept.dtypes == docs.dtypes
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(None, one), (5, two), (7, three), (7, leak)], key=str)
+    clean = stages["decontamination"](spark, docs, SF)
+    assert clean.dtypes == docs.dtypes
+    assert sorted(r.nth for r in clean.collect()) == [0, 1, 2, 3, 4, 5]
+
+
 def test_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
