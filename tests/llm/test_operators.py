@@ -396,6 +396,15 @@ def test_induction_drops_what_repeats():
     assert wrappers.extract([placed]) == ["Title Text here one two"]
 
 
+@pytest.mark.parametrize("around", ["div class='layout has-sidebar'", "div class='search-results'", "div id=commentary", "form action=x", "div class=widget-area"])
+def test_place_words_around_the_content(around):
+    end, aside = around.split()[0], "<div class=sidebar>S</div><ul class=menu><li>M</ul>"
+    for content in ("<article><p>A long enough text</article>", "<main class=x><p>A long enough text</main>", "<div><p>A long enough text</div>"):
+        assert wrappers.extract([f"<body><nav>N</nav><{around}>{aside}{content}</{end}><footer>F</footer>"]) == ["A long enough text"]
+    comments = "<div class=comments><article>a comment</article></div>"
+    assert wrappers.extract([f"<body><{around}>{aside}<div><p>A long enough text</div></{end}>{comments}"]) == ["A long enough text"]
+
+
 def test_pages_without_rows(spark):
     assert wrappers.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     rows = [(1, None, None), (1, None, None), (None, "x", "<p>t")]
