@@ -218,17 +218,21 @@ def _(spark, sf):
     return train.select("unit", "ms", (F.col("ms") * 1000).alias("t_us"))
 
 
+#: Permutations of a spike train.
+SHUFFLES = 1000
+
+
 @query("t04_cyclic_shuffle")
 def _(spark, sf):
     train = spikes.spike_train(derived.spikes(spark, sf))
-    shuffled = spikes.cyclic_shuffle(train, spikes.permutations(spark, 20), 600_001)
+    shuffled = spikes.cyclic_shuffle(train, spikes.permutations(spark, SHUFFLES), 600_001)
     return shuffled.groupBy("unit", "perm").agg(F.countDistinct("ms").alias("n"), F.min("ms").alias("first"))
 
 
 @query("t05_tuning_envelope")
 def _(spark, sf):
     train = spikes.spike_train(derived.spikes(spark, sf))
-    shuffled = spikes.cyclic_shuffle(train, spikes.permutations(spark, 100), 600_001).select("unit", "perm", F.expr("ms div 10").alias("frame"))
+    shuffled = spikes.cyclic_shuffle(train, spikes.permutations(spark, SHUFFLES), 600_001).select("unit", "perm", F.expr("ms div 10").alias("frame"))
     curves = spikes.tuning_curve(shuffled, _binned_movement(spark, sf), keys=("unit", "perm"))
     return curves.groupBy("unit", "bin").agg(_r(F.percentile("rate", F.lit(0.025))).alias("low"), _r(F.percentile("rate", F.lit(0.975))).alias("high"))
 

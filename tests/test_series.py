@@ -164,3 +164,29 @@ def test_jitter_of_a_line(spark):
     got = {r.axis: r for r in jitter.point_jitter(df).collect()}
     assert got["x"].velocity_mean == 100 and got["x"].max_deviation == 2000 and got["y"].position_stddev == 0
     assert jitter.vector_jitter(df).first().velocity_mean == 100
+
+
+def test_envelope_of_a_thousand_shuffles(spark):
+    import numpy as np
+
+    from posegrid.operators import spikes
+    from posegrid.plans import catalogue, signals
+    from posegrid.sources import derived
+
+    sf = "/root/testdata/sf0.001"
+    bins = {r.frame: r.bin for r in signals._binned_movement(spark, sf).collect()}
+    seconds = {b: sum(x == b for x in bins.values()) / 100 for b in set(bins.values())}
+    shifts = [r["shift"] for r in spikes.permutations(spark, 1000).collect()]
+    train = {}
+    for r in spikes.spike_train(derived.spikes(spark, sf)).collect():
+        train.setdefault(r.unit, []).append(r.ms)
+    got = {(r.unit, r.bin): (r.low, r.high) for r in catalogue.queries()["t05_tuning_envelope"](spark, sf).collect()}
+    assert set(got) == {(u, b) for u in train for b in seconds}
+    place = np.full(60_001, -1)
+    for frame, b in bins.items():
+        place[frame] = b
+    for unit, ms in train.items():
+        hit = [place[(np.array(ms) + shift) % 600_001 // 10] for shift in shifts]
+        for b, s in seconds.items():
+            low, high = np.percentile([(h == b).sum() / s for h in hit], [2.5, 97.5])
+            assert abs(got[unit, b][0] - low) < 1e-3 and abs(got[unit, b][1] - high) < 1e-3
