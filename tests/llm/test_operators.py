@@ -186,6 +186,31 @@ def test_contamination(spark, docs, texts, none, monkeypatch, small):
     assert {r.contaminated for r in phrase_index.contamination(frame, empty).collect()} == {False}
 
 
+def test_one_index_for_two_benchmarks(spark, texts, monkeypatch):
+    """Blocks of any size give the same, a repeated item_id counts once, and texts longer than a slice are read whole."""
+    some = [*texts[:40], (None, "x y z " * 10), (4, "a long one " * 3000 + "one two three"), (4, "other text under the same id")]
+    frame = spark.createDataFrame([(k, t, "x", 1) for k, t in some], "doc_id long, text string, terms string, shard int").repartition(2)
+    monkeypatch.setattr(phrase_index, "SLICE_CHARS", 50)
+    index = phrase_index.settle(phrase_index.build_index(frame), "test-index")
+    first = [(1, "one two three"), (1, "one two three"), (1, "word word"), (None, "a long one"), (2, some[20][1])]
+    second = [(5, "x y z x y z x y z x"), (6, "under the same id")]
+    for bench in (first, second):
+        items = spark.createDataFrame(bench, "item_id long, text string")
+        found = []
+        for chars in (8_000_000, 10):
+            monkeypatch.setattr(phrase_index, "BLOCK_CHARS", chars)
+            rows = phrase_index.search_index(index, items.coalesce(1)).collect()
+            found.append(sorted((str(r.doc_id), r.n_words, r.starts, r.ends, r["items"], r.near_items) for r in rows))
+        assert found[0] == found[1] and len(found[0]) == len(some)
+        want = []
+        for k, t in some:
+            n, hit, own = brute_hits(t, bench)
+            want.append((str(k), n, hit, [i for i in own if i != "None"]))
+        assert sorted((r[0], r[1], sum(b - a for a, b in zip(r[2], r[3])), r[4]) for r in found[0]) == sorted(want)
+    with pytest.raises(ValueError):
+        phrase_index.search_index(index, items, slop=60)
+
+
 def test_proximity(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     docs = [(1, item), (2, item.replace("delta", "delta so")), (3, item.replace("delta", "so so so so delta so so so so")), (4, "alpha beta")]
