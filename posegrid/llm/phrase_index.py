@@ -32,7 +32,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import settle
@@ -267,14 +267,10 @@ def _hits(index: DataFrame, block: pa.Table, width: int, slop: int) -> DataFrame
                     lists[name] = defaultdict(list)
                     for d, item in pairs.T.tolist():
                         lists[name][d].append(windows.items[item])
-                # Overlapping spans are put together; gaps keep those of different documents apart.
-                order = np.argsort(begin[exact], kind="stable")
-                starts = begin[exact][order]
-                stops = np.maximum.accumulate((begin[exact] + windows.length[which[exact]])[order]) if len(order) else starts
-                new = np.flatnonzero(np.concatenate([[True], starts[1:] > stops[:-1]])) if len(order) else order
-                last = np.append(new[1:], len(starts)) - 1 if len(order) else order
+                # Gaps keep the spans of different documents apart.
+                starts, stops = _runs(begin[exact], begin[exact] + windows.length[which[exact]])
                 spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                for d, a, b in zip((np.searchsorted(first, starts[new], "right") - 1).tolist(), starts[new].tolist(), stops[last].tolist()):
+                for d, a, b in zip((np.searchsorted(first, starts, "right") - 1).tolist(), starts.tolist(), stops.tolist()):
                     spans[d].append((a - int(first[d]), b - int(first[d])))
                 rows = [
                     {
@@ -295,6 +291,32 @@ def _hits(index: DataFrame, block: pa.Table, width: int, slop: int) -> DataFrame
     return found
 
 
+def _runs(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans that overlap or touch put together, in order."""
+    if not len(begin):
+        return begin, end
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]]))
+    return begin[new], end[np.append(new[1:], len(begin)) - 1]
+
+
+def _joined(hits: DataFrame) -> DataFrame:
+    """Hits of all blocks by document: (shard, place, starts, ends, items, near_items)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [_runs(a.values.to_numpy(), b.values.to_numpy()) for a, b in zip(batch.column("starts"), batch.column("ends"))]
+            new = {k: pa.array([r[i] for r in runs], pa.list_(pa.int64())) for i, k in enumerate(("starts", "ends"))}
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
+
+    names = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    spans = F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("spans")  # one list, so that both keep one order
+    merged = hits.groupBy("shard", "place").agg(spans, names("items").alias("items"), names("near").alias("near_items"))
+    merged = merged.select("shard", "place", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items", "near_items")
+    return merged.mapInArrow(each, "shard long, place int, starts array<long>, ends array<long>, items array<string>, near_items array<string>")
+
+
 def search_index(index: DataFrame, benchmark: DataFrame, slop: int = SLOP, width: int = WINDOW_WORDS) -> DataFrame:
     """Every document of a written index (doc_id, n_words) with its hits in ``benchmark`` (item_id, text).
 
@@ -313,35 +335,23 @@ def search_index(index: DataFrame, benchmark: DataFrame, slop: int = SLOP, width
     documents = documents.select("shard", "place", F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").alias("n_words"))
     if hits is None:
         hits = index.sparkSession.createDataFrame([], HITS_SCHEMA)
-    spans = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))))
-    names = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    merged = hits.groupBy("shard", "place").agg(spans.alias("spans"), names("items").alias("items"), names("near").alias("near_items"))
     none = F.array().cast("array<string>")
-    whole = documents.join(merged, ["shard", "place"], "left")
+    whole = documents.join(_joined(hits), ["shard", "place"], "left")
     gone = F.array().cast("array<long>")
     return whole.select(
         "doc_id", "n_words",
-        F.coalesce(F.col("spans.starts"), gone).alias("starts"), F.coalesce(F.col("spans.ends"), gone).alias("ends"),
+        F.coalesce("starts", gone).alias("starts"), F.coalesce("ends", gone).alias("ends"),
         F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"),
     )
 
 
-def merged_words(starts: Column, ends: Column) -> Column:
-    """Number of positions in a sorted list of spans."""
-    step = lambda acc, x: F.struct(
-        (acc["n"] + F.greatest(F.lit(0), x["ends"] - F.greatest(x["starts"], acc["end"]))).alias("n"), F.greatest(acc["end"], x["ends"]).alias("end")
-    )
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
-    return F.aggregate(F.arrays_zip(starts.alias("starts"), ends.alias("ends")), zero, step)["n"]
-
-
 def contamination(documents: DataFrame, benchmark: DataFrame, slop: int = SLOP) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items, near_items (their number), contaminated of every document."""
     hits = search_index(settle(build_index(documents), "phrase-index"), benchmark, slop)
     return hits.select(
         "doc_id",
         "n_words",
-        merged_words(F.col("starts"), F.col("ends")).alias("n_hit"),
+        F.aggregate(F.zip_with("ends", "starts", lambda b, a: b - a), F.lit(0).cast("long"), lambda x, y: x + y).alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         "items",
         F.size("near_items").cast("long").alias("near_items"),
