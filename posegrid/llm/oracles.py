@@ -10,6 +10,7 @@ def _quoted(pattern: str) -> str:
 
 
 _UPPER, _LOWER = urls.UPPER, urls.LOWER
+_SUFFIXES = ", ".join(f"'{x}'" for x in urls.SUFFIXES)
 
 OP1 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -105,19 +106,23 @@ WITH p0 AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(ur
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p0),
 o AS (SELECT host, CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END AS bad
       FROM p JOIN labels ON labels.doc_id = try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})', 1), '') AS BIGINT)),
-h0 AS (SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM o GROUP BY host),
-h AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM h0),
+h0 AS (SELECT host, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM (SELECT host, 1 AS n, bad FROM o UNION ALL SELECT host, 0, 0 FROM p) GROUP BY host),
+nm AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '\\.?(:[0-9]*)?$', '') AS name FROM h0),
+tw AS (SELECT *, array_to_string(string_split(name, '.')[-2:], '.') AS two, regexp_matches(name, '^[0-9]+(\\.[0-9]+){{3}}$|^\\[') AS is_address FROM nm),
+h AS (SELECT host, n, bad, CASE WHEN is_address THEN name WHEN two IN ({_SUFFIXES}) THEN array_to_string(string_split(name, '.')[-3:], '.') ELSE two END AS domain,
+       CASE WHEN is_address THEN '' WHEN two IN ({_SUFFIXES}) THEN two ELSE string_split(name, '.')[-1] END AS suffix FROM tw),
+al AS (SELECT sum(bad) / sum(n) AS overall FROM h),
 d0 AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
 s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d0 GROUP BY suffix),
-s1 AS (SELECT s0.*, (SELECT sum(bad) / sum(n) FROM s0) AS mean FROM s0),
+s1 AS (SELECT s0.*, overall AS mean FROM s0, al),
 s AS ({_posterior("s1", "suffix")}),
 d1 AS (SELECT d0.*, a / (a + b) AS mean FROM d0 JOIN s USING (suffix)),
-dd AS ({_posterior("d1", "domain")}),
-h1 AS (SELECT h.*, a / (a + b) AS mean FROM h JOIN dd USING (domain)),
+dd AS ({_posterior("d1", "domain, suffix")}),
+h1 AS (SELECT h.*, a / (a + b) AS mean FROM h JOIN dd USING (domain, suffix)),
 hh AS ({_posterior("h1", "host")}),
 known AS (SELECT host, round(a / (a + b), 6) AS host_rate, round(greatest(0, a / (a + b) - {urls.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))), 6) AS host_bound FROM hh)
 SELECT page_id, host, path, {_rule_case(lambda kind, of, start: of + start)} AS rule,
-  coalesce({_rule_case(lambda kind, of, start: kind)}, CASE WHEN host_bound > {urls.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, host_rate, host_bound
+  coalesce({_rule_case(lambda kind, of, start: kind)}, CASE WHEN host_bound > (SELECT round(overall, 6) FROM al) THEN 'block' ELSE 'allow' END) AS verdict, host_rate, host_bound
 FROM p LEFT JOIN known USING (host)
 """
 

@@ -9,16 +9,23 @@ and suffix, and each level's rate is shrunk to the level above by a beta-binomia
     host:   Beta(k2 d, k2 (1 - d)) around its domain's posterior mean d,
 
 with the prior strengths k0, k1, k2 estimated from the spread of the rates of each level by the method
-of moments. A host is blocked when the lower posterior bound (mean less ``z`` deviations) of its rate
-of bad pages is above ``limit``: few labels leave a wide bound, so an unknown host is allowed.
+of moments, within ``STRENGTH``. Every host has a posterior, labelled or not: without labels it is its
+domain's. A host is blocked when the lower posterior bound (mean less ``Z`` deviations) of its rate of
+bad pages is above the overall rate, that is when it is worse than the web at large with a probability
+of about four in five; few labels on a host of an ordinary domain leave a wide bound and an allowed host.
 
-All of it is DataFrame expressions. Counts are pre-aggregated before each shuffle; the join back to the
-pages is an equi-join on the host that Spark splits where one host has many pages. The label table is
-joined on its key.
+The registered domain is the label before the public suffix, which is the last label or one of
+``SUFFIXES``. A port, a user name and a last dot are no part of the name; an address is its own domain.
+
+All of it is DataFrame expressions. Outcomes are counted per host once, with map-side aggregation, and
+written; the levels above are derived from that table, and three strengths and the overall rate come to
+the driver. The join back to the pages is an equi-join on the host that Spark splits where one host has
+many pages. The label table is joined on its key.
 
 Defined cases: a null url, or one without ``://``, has host and path empty and is judged by the rate of
-the empty host (allowed without labels); a host without a dot is its own domain and suffix; hosts that
-are numbers are treated alike; no labels at all allow everything; equal rows are each returned.
+the empty host; a host without a dot is its own domain and suffix; no labels at all, or none of them
+bad, allow everything; equal rows are each returned, repeated labels each count; urls of any length are
+read whole; other columns are not read; no pages, no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +33,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import settle
+
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = (
     ("allow", "org", "/"),
@@ -34,11 +43,18 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Blocked when the lower bound of the rate of bad pages is above this.
-LIMIT = 0.2
-Z = 1.645
-#: Bounds of the estimated prior strengths, in pages.
-STRENGTH = (1.0, 1000.0)
+#: Deviations between mean and bound, for a probability of four in five.
+Z = 0.8416
+#: Bounds of the estimated prior strengths, in pages: a prior never outweighs fifty labels of a host's own.
+STRENGTH = (1.0, 50.0)
+#: Public suffixes of two labels under which anyone can register a name.
+SUFFIXES = tuple(
+    "ac.at co.at or.at com.au net.au org.au edu.au gov.au id.au com.br net.br org.br gov.br com.cn net.cn org.cn edu.cn gov.cn ac.cn com.co com.es org.es nom.es"
+    " com.hk org.hk co.id or.id ac.id co.il org.il ac.il co.in net.in org.in ac.in gov.in co.jp ne.jp or.jp ac.jp go.jp co.kr or.kr go.kr ac.kr re.kr com.mx org.mx"
+    " gob.mx com.my org.my co.nz net.nz org.nz ac.nz govt.nz com.pe com.ph org.ph com.pl net.pl org.pl com.pt com.ru org.ru com.sg org.sg edu.sg co.th or.th ac.th"
+    " com.tr org.tr gov.tr com.tw org.tw edu.tw gov.tw com.ua org.ua co.uk org.uk me.uk ltd.uk plc.uk net.uk ac.uk gov.uk sch.uk nhs.uk com.vn com.ar org.ar gob.ar"
+    " co.za org.za ac.za gov.za".split()
+)
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,67 +79,83 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return name, verdict
 
 
+def _name(host: Column) -> Column:
+    """A host without user name, port and last dot."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r"\.?(:[0-9]*)?$", "")
+
+
+def _is_address(name: Column) -> Column:
+    return name.rlike(r"^[0-9]+(\.[0-9]+){3}$|^\[")
+
+
 def domain_of(host: Column) -> Column:
-    """The last two labels of a host."""
-    return F.substring_index(host, ".", -2)
+    """The registered domain of a host: the public suffix and the label before it."""
+    name = _name(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(_is_address(name), name).when(two.isin(*SUFFIXES), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """The public suffix of a host; empty for an address."""
+    name = _name(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(_is_address(name), "").when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(name, ".", -1))
 
 
-def _strength(rates: DataFrame) -> DataFrame:
-    """One row: prior strength from rows (n, bad, mean) of a level, mean being the level above's rate.
+def _strength(rates: DataFrame) -> float:
+    """Prior strength from rows (n, bad, mean) of a level, mean being the level above's rate.
 
     With E[(r - m)^2] = m(1 - m)(1/n + (1 - 1/n) / (k + 1)), solved for k from sums over the level.
     """
     n = F.col("n").cast("double")
-    rate = F.col("bad") / n
+    rate = F.try_divide(F.col("bad"), n)
     base = F.col("mean") * (1 - F.col("mean"))
-    sums = rates.filter("n > 1").agg(
-        F.sum(n * F.pow(rate - F.col("mean"), 2)).alias("seen"), F.sum(base).alias("noise"), F.sum(base * (n - 1)).alias("room")
-    )
-    share = F.try_divide(F.col("seen") - F.col("noise"), F.col("room"))
-    k = F.when(share > 0, 1 / share - 1).otherwise(STRENGTH[1])
-    return sums.select(F.round(F.coalesce(F.greatest(F.lit(STRENGTH[0]), F.least(F.lit(STRENGTH[1]), k)), F.lit(STRENGTH[1])), 6).alias("k"))
-
-
-def _shrunk(counts: DataFrame, key: str) -> DataFrame:
-    """Adds (a, b) of the posterior and its mean to rows (key, n, bad, mean)."""
-    strength = _strength(counts)
-    a = F.col("k") * F.col("mean") + F.col("bad")
-    b = F.col("k") * (1 - F.col("mean")) + F.col("n") - F.col("bad")
-    # One row on the right: the strength of the whole level.
-    joined = counts.join(F.broadcast(strength))
-    return joined.select(key, a.alias("a"), b.alias("b"), (a / (a + b)).alias("posterior"))
-
-
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """(host, n, bad, rate, bound) of every host of ``outcomes`` (host, bad 0/1)."""
-    hosts = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    hosts = hosts.select("host", "n", "bad", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    overall = suffixes.agg((F.sum("bad") / F.sum("n")).alias("mean"))
-    suffix = _shrunk(suffixes.join(F.broadcast(overall)), "suffix").select("suffix", F.col("posterior").alias("mean"))
-    domain = _shrunk(domains.join(suffix, "suffix"), "domain").select("domain", F.col("posterior").alias("mean"))
-    level = hosts.join(domain, "domain")
-    host = _shrunk(level, "host")
+    seen, noise, room = rates.filter("n > 1").agg(F.sum(n * F.pow(rate - F.col("mean"), 2)), F.sum(base), F.sum(base * (n - 1))).first()
+    share = (seen - noise) / room if room else 0.0
+    low, high = STRENGTH
+    return round(min(high, max(low, 1 / share - 1)), 6) if share > 0 else high
+
+
+def _shrunk(counts: DataFrame) -> DataFrame:
+    """Adds (a, b) of the posterior and its mean, ``posterior``, to rows (n, bad, mean)."""
+    k = F.lit(_strength(counts))
+    a, b = k * F.col("mean") + F.col("bad"), k * (1 - F.col("mean")) + F.col("n") - F.col("bad")
+    return counts.select("*", a.alias("a"), b.alias("b"), (a / (a + b)).alias("posterior"))
+
+
+def host_reputation(outcomes: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+    """(host, n, bad, rate, bound, overall) of every host of ``outcomes`` (host, bad 0/1) and of ``hosts`` (host).
+
+    ``overall`` is the rate of all outcomes, the same on every row, and null where there are none.
+    """
+    seen = outcomes.select("host", F.lit(1).cast("long").alias("n"), F.col("bad").cast("long").alias("bad"))
+    if hosts is not None:
+        seen = seen.union(hosts.select("host", F.lit(0).cast("long"), F.lit(0).cast("long")))
+    counted = seen.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    counted = settle(counted.select("*", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")), "host-outcomes")
+    overall = counted.agg(F.try_divide(F.sum("bad"), F.sum("n"))).first()[0]
+    if overall is None:
+        none = F.lit(None).cast("double")
+        return counted.select("host", "n", "bad", none.alias("rate"), none.alias("bound"), none.alias("overall"))
+    total = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    suffixes = _shrunk(counted.groupBy("suffix").agg(*total).withColumn("mean", F.lit(overall)))
+    domains = counted.groupBy("domain", "suffix").agg(*total)
+    domains = _shrunk(domains.join(suffixes.select("suffix", F.col("posterior").alias("mean")), "suffix"))
+    found = _shrunk(counted.join(domains.select("domain", "suffix", F.col("posterior").alias("mean")), ["domain", "suffix"]))
     a, b = F.col("a"), F.col("b")
     deviation = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    found = host.select("host", F.col("posterior").alias("rate"), F.greatest(F.lit(0.0), F.col("posterior") - Z * deviation).alias("bound"))
-    return hosts.select("host", "n", "bad").join(found, "host")
+    bound = F.greatest(F.lit(0.0), F.col("posterior") - Z * deviation)
+    return found.select("host", "n", "bad", F.col("posterior").alias("rate"), bound.alias("bound"), F.lit(overall).alias("overall"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES) -> DataFrame:
     """``pages`` (page_id, url) with host, path, rule, verdict and the host's shrunk rate and bound."""
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    known = host_reputation(outcomes).select("host", F.round("rate", 6).alias("host_rate"), F.round("bound", 6).alias("host_bound"))
+    known = host_reputation(outcomes, split.select("host"))
+    worse = F.coalesce(F.round("bound", 6) > F.round("overall", 6), F.lit(False))
+    known = known.select("host", F.round("rate", 6).alias("host_rate"), F.round("bound", 6).alias("host_bound"), F.when(worse, "block").otherwise("allow").alias("own"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("host_bound") > limit, "block").otherwise("allow")
-    return split.join(known, "host", "left").select(
-        "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "host_rate", "host_bound"
-    )
+    return split.join(known, "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, "own").alias("verdict"), "host_rate", "host_bound")
 
 
 def labelled_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from posegrid.llm import chat, components, line_rules, packing, phrase_index, queries, secret_scan, simhash, token_counts, token_files, url_reputation, wrappers
 
@@ -389,9 +390,46 @@ def test_url_parts_and_rules(spark):
 
 def test_reputation_shrinks(spark):
     rows = [("bad.spam.com", 1)] * 40 + [("one.spam.com", 1)] + [("good.site.net", 0)] * 60 + [("new.site.net", 1)] + [("x.com", 0)] * 30
-    got = {r.host: r for r in url_reputation.host_reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    found = url_reputation.host_reputation(spark.createDataFrame(rows, "host string, bad int"), spark.createDataFrame([("other.spam.com",), ("other.site.net",)], "host string"))
+    got = {r.host: r for r in found.collect()}
     assert got["bad.spam.com"].bound > 0.5 > got["new.site.net"].rate
     assert got["one.spam.com"].rate > got["new.site.net"].rate  # one bad page each, on a bad and on a good domain
+    # Hosts without labels have their domain's reputation.
+    assert got["other.spam.com"].n == 0 and got["other.spam.com"].rate > got["other.spam.com"].overall > got["other.site.net"].rate
+
+
+def test_registered_domains(spark):
+    hosts = {
+        "a.b.co.uk": ("b.co.uk", "co.uk"),
+        "b.co.uk:8080": ("b.co.uk", "co.uk"),
+        "me@x.y.com.": ("y.com", "com"),
+        "10.0.0.1:80": ("10.0.0.1", ""),
+        "localhost": ("localhost", "localhost"),
+        "": ("", ""),
+        "co.uk": ("co.uk", "co.uk"),
+    }
+    frame = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = frame.select("host", url_reputation.domain_of(F.col("host")), url_reputation.suffix_of(F.col("host"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == hosts
+
+
+def test_planted_spam_hosts_rank_above_others(spark):
+    """Of twenty hosts, three with mostly bad pages; labels of a third of all pages lie on one good host."""
+    import random
+
+    rng = random.Random(2)
+    outcomes = [(f"h{h}.{'spam' if h < 3 else 'fine'}.co.uk", int(rng.random() < (0.7 if h < 3 else 0.2))) for h in range(20) for _ in range(300 if h == 9 else 30)]
+    hosts = sorted({h for h, _ in outcomes}) + ["unseen.spam.co.uk", "unseen.fine.co.uk"]
+    pages = [(i, f"http://{h}/p?x={i}", "clash", 1) for i, h in enumerate(hosts)] * 2
+    frame = spark.createDataFrame(pages, "page_id long, url string, host string, n int")
+    got = url_reputation.judge_urls(frame, spark.createDataFrame(outcomes, "host string, bad int")).collect()
+    assert len(got) == len(pages)
+    ranked = sorted({(r.host_bound, r.host) for r in got if not r.host.startswith("unseen")}, reverse=True)
+    assert {h for _, h in ranked[:3]} == {f"h{h}.spam.co.uk" for h in range(3)}
+    verdicts = {r.host: r.verdict for r in got}
+    assert all(verdicts[h] == "block" for h in verdicts if "spam" in h)
+    assert sum(v == "allow" for h, v in verdicts.items() if "fine" in h) >= 16 and verdicts["unseen.fine.co.uk"] == "allow"
+    assert url_reputation.judge_urls(frame.limit(0), spark.createDataFrame(outcomes, "host string, bad int")).count() == 0
 
 
 def test_main_texts(spark):
