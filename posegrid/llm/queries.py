@@ -53,11 +53,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.with_spans(documents, secret_scan.train(documents))
-    base = F.sort_array("_base")
     return found.select(
         "doc_id",
         *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")),
-        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+        F.sha2(secret_scan.listed(F.col("_base")), 256).alias("base_sha256"),
         secret_scan.listed(F.col("_spans")).alias("spans"),
     )
 

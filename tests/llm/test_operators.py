@@ -292,7 +292,7 @@ def test_secret_spans(spark, docs, texts, none):
     ]
     rows = spark.createDataFrame([(k, t, "e") for k, t in texts + more], DOC)
     ratios = secret_scan.train(rows)
-    assert len(ratios) == 67 * 67 or len(ratios) == (len(secret_scan.ALPHABET) + 1) ** 2
+    assert len(ratios) == (len(secret_scan.MODELS) - 1) * (len(secret_scan.ALPHABET) + 1) ** 2
     found = secret_scan.with_spans(rows, ratios).select("doc_id", "_base", "_random", "_spans").collect()
     for r in found:
         base = [(s.start, s.kind, s.end) for s in sorted(r._base, key=lambda s: (s.start, s.kind))]
@@ -310,7 +310,7 @@ def test_secret_spans(spark, docs, texts, none):
 
 def test_listed_spans(spark):
     frame = spark.createDataFrame([(1, "token = abcdef0123456789abcdef0123", "e")], DOC)
-    got = secret_scan.with_spans(frame, [0] * (len(secret_scan.ALPHABET) + 1) ** 2).select(secret_scan.listed(secret_scan.F.col("_spans")).alias("s")).first()
+    got = secret_scan.with_spans(frame, [0] * (len(secret_scan.MODELS) - 1) * (len(secret_scan.ALPHABET) + 1) ** 2).select(secret_scan.listed(secret_scan.F.col("_spans")).alias("s")).first()
     assert got.s == "assign:0:34,hex:8:34"
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
 
