@@ -75,10 +75,11 @@ def mask_around(df: DataFrame, flag: Column, width: int = 10, value: str = "v",
 
 def interpolate(df: DataFrame, value: str = "v", keys=("recording",), order: str = "idx") -> DataFrame:
     """Linear between the known samples on both sides; the nearest known one at the ends."""
+    # Both frames grow from the start of their order, so each row costs one step.
     before = _over(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    after = _over(keys, order).rowsBetween(0, Window.unboundedFollowing)
+    after = _over(keys, F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
     here = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("i"), F.col(value).alias("v")))
-    held = df.withColumns({"_l": F.last(here, ignorenulls=True).over(before), "_r": F.first(here, ignorenulls=True).over(after)})
+    held = df.withColumns({"_l": F.last(here, ignorenulls=True).over(before), "_r": F.last(here, ignorenulls=True).over(after)})
     share = F.try_divide(F.col(order) - F.col("_l.i"), F.col("_r.i") - F.col("_l.i"))
     line = F.col("_l.v") + (F.col("_r.v") - F.col("_l.v")) * share
     return held.withColumn(value, F.coalesce(F.col(value), line, F.col("_l.v"), F.col("_r.v"))).drop("_l", "_r")

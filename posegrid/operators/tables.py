@@ -70,24 +70,26 @@ def nearest(times: DataFrame, samples: DataFrame, key: str, bucket: int) -> Data
     wanted = t.select(key, "_b").distinct()
     # Neighbours beyond the bucket, from one row per bucket.
     both = wanted.withColumn("_w", F.lit(1)).join(ends, [key, "_b"], "full")
+    # All frames grow from the start of their order, so each row costs one step.
     over = Window.partitionBy(key).orderBy("_b")
+    down = Window.partitionBy(key).orderBy(F.col("_b").desc())
     edge = both.withColumns(
         {
             "_p": F.last("_l", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)),
-            "_n": F.first("_f", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)),
+            "_n": F.last("_f", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1)),
         }
     ).filter("_w = 1")
     outer = edge.select(key, "_b", F.explode(F.array("_p", "_n")).alias("_x")).filter("_x is not null")
     outer = outer.select(key, "_b", F.col("_x.s").alias("_at"), F.lit(0).alias("_q"), F.struct(F.col("_x.s").cast("long").alias("s"), F.col("_x.v").cast("double").alias("v")).alias("_s"))
     line = Window.partitionBy(key, "_b").orderBy("_at", "_q")
-    back = Window.partitionBy(key, "_b").orderBy(F.col("_at"), F.col("_q").desc())
+    back = Window.partitionBy(key, "_b").orderBy(F.col("_at").desc(), F.col("_q"))
     near = (
         rows.unionByName(mine)
         .unionByName(outer)
         .withColumns(
             {
                 "_before": F.last("_s", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)),
-                "_after": F.first("_s", ignorenulls=True).over(back.rowsBetween(0, Window.unboundedFollowing)),
+                "_after": F.last("_s", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)),
             }
         )
         .filter("_q = 1")
