@@ -16,6 +16,14 @@ Copies are one fingerprint before any key is made, and keys are joined as equi-j
 split, so neither a large group of copies nor a hot key gathers in a task. Keys are about 110 rows a
 distinct fingerprint; a fingerprint meets about 5e-6 random others of the table in its buckets.
 
+``similar_documents`` is the wider search that training data is thinned by: five-word shingles and a
+Jaccard similarity of 0.8. A fingerprint can't find all such pairs: at that similarity about ten of its
+64 bits differ, and keys that bear ten errors are too short to tell documents apart. So the Golay keys
+are one source of candidates there and bands of minima over the same shingle hashes are the other; every
+candidate pair is verified by the exact similarity of its shingle sets. Texts of equal words are one
+text from the start, and a bucket ties its members to two of them, which differ from band to band, so
+that no bucket makes all pairs. Two documents at the very threshold that are tied to others only may be missed.
+
 Defined cases: text without words (or null) has fingerprint zero; a null ``doc_id`` takes part but names
 no component while its group has another id; equal rows are each returned; no rows, no result rows.
 """
@@ -73,21 +81,34 @@ def near_errors() -> tuple[np.ndarray, np.ndarray]:
     return patterns, number
 
 
-def fingerprint(text: str | None) -> int:
-    """SimHash of whole text over four-word shingles, repeats included."""
+def shingle_hashes(words: list[bytes], width: int = SHINGLE_WORDS) -> list[int]:
+    """Hash of every run of ``width`` words, repeats included; of all words, if they are fewer."""
     import xxhash
 
-    words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
-    if len(words) < SHINGLE_WORDS:
-        hashes = [digest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - SHINGLE_WORDS + 1].tolist(), ends[SHINGLE_WORDS - 1 :].tolist())]
+    if len(words) < width:
+        return [digest(joined, SEED)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())]
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def fingerprint(text: str | None) -> int:
+    """SimHash of whole text over four-word shingles, repeats included."""
+    return majority(shingle_hashes(words_of(text)))
+
+
+def majority(hashes: list[int]) -> int:
+    """The bits set in over half of the hashes, as a signed integer; zero for none."""
+    if not hashes:
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         some = np.array(hashes[at : at + (1 << 16)], np.uint64)
@@ -155,7 +176,9 @@ def _keyed(distinct: DataFrame) -> DataFrame:
                     put(1, 3 + same, key, r)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sides, kinds, found, of)], names=["side", "kind", "key", "bits"])
 
-    return distinct.select("bits").mapInArrow(keys, "side byte, kind byte, key long, bits long")
+    # A settled table of eight bytes a row is few files, and each row becomes a hundred.
+    dealt = distinct.select("bits").repartition(F.col("bits"))
+    return dealt.mapInArrow(keys, "side byte, kind byte, key long, bits long")
 
 
 def linked_pairs(distinct: DataFrame) -> DataFrame:
@@ -188,3 +211,79 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         distinct.join(linked, "bits", "left").select("bits", F.coalesce("component", "least").alias("component_id")), "fingerprint-classes"
     )
     return marked.join(classes, "bits").select("doc_id", "bits", "component_id")
+
+
+#: Words of a shingle and least similarity of linked documents in the wider search.
+SIMILAR_WORDS, SIMILARITY = 5, 0.8
+#: A band is the hash of ROWS minima; two documents of similarity 0.8 share none of BANDS in 2 of 10 000 cases.
+BANDS, ROWS = 16, 4
+
+
+def _marks(documents: DataFrame, width: int) -> DataFrame:
+    """(doc_id, node, bits, bands, shingles): node names the sequence of words, shingles are distinct hashes."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import blake2b
+
+        import xxhash
+
+        odd = np.array([xxhash.xxh64_intdigest(str(i), SEED) | 1 for i in range(BANDS * ROWS)], np.uint64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                nodes, bits, bands, sets = [], [], [], []
+                for text in batch.column("text"):
+                    words = words_of(text.as_py())
+                    hashes = shingle_hashes(words, width)
+                    distinct = np.unique(np.array(hashes, np.uint64))
+                    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+                    for some in np.array_split(distinct, len(distinct) // 4096 + 1):
+                        if len(some):
+                            least = np.minimum(least, (odd[:, None] * some[None, :]).min(axis=1))
+                    rows = least.reshape(BANDS, ROWS)
+                    nodes.append(blake2b(b" ".join(words), digest_size=16).digest())
+                    bits.append(majority(hashes))
+                    bands.append([xxhash.xxh64_intdigest(row.tobytes(), k) - 2**63 for k, row in enumerate(rows)] if hashes else [])
+                    sets.append(distinct.view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(bits, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))],
+                    names=["doc_id", "node", "bits", "bands", "shingles"],
+                )
+
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(each, "doc_id long, node binary, bits long, bands array<long>, shingles array<long>")
+
+
+def _tied(members: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b: each node of every key of (key, node) with two others, drawn anew for each key."""
+    draw = F.xxhash64("key", "node")
+    ends = members.groupBy("key").agg(F.min_by("node", draw).alias("p"), F.max_by("node", draw).alias("q"), F.count("*").alias("n")).filter("n > 1").select("key", "p", "q")
+    met = members.join(ends, "key").select("node", F.explode(F.array("p", "q")).alias("other")).filter("node <> other")
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def similar_documents(documents: DataFrame, width: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id of every document, linked where shingle sets have the Jaccard similarity or more.
+
+    ``component_id`` is the smallest doc_id reachable over found links, null if no id there is known.
+    """
+    marked = settle(_marks(documents, width), "marked")
+    classes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
+    classes = settle(classes, "word-classes")
+    prints = classes.select(F.col("bits").alias("key"), "node")
+    named = prints.groupBy("key").agg(F.min("node").alias("node"))
+    near = linked_pairs(settle(named.select(F.col("key").alias("bits")), "distinct-fingerprints"))
+    near = near.join(named.select(F.col("key").alias("a"), F.col("node").alias("m")), "a").join(named.select(F.col("key").alias("b"), F.col("node").alias("n")), "b")
+    pairs = _tied(classes.select(F.explode("bands").alias("key"), "node")).union(_tied(prints)).union(near.select(F.least("m", "n"), F.greatest("m", "n")))
+    pairs = settle(pairs.distinct(), "candidate-pairs")
+    sets = classes.select("node", "shingles")
+    both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
+    # Sets that differ in size by more than the similarity allows needn't be met.
+    sizes = F.least(F.size("s"), F.size("t")) >= similarity * F.greatest(F.size("s"), F.size("t"))
+    common = F.size(F.array_intersect("s", "t"))
+    links = settle(both.filter(sizes).filter(common >= similarity * (F.size("s") + F.size("t") - common)).select("a", "b"), "similar-pairs")
+    roots = components(links)
+    least = classes.select("node", "least").join(roots, "node")
+    least = least.join(least.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
+    found = settle(classes.select("node", "least").join(least, "node", "left").select("node", F.coalesce("component", "least").alias("component_id")), "text-classes")
+    return marked.select("doc_id", "node").join(found, "node").select("doc_id", "component_id")

@@ -8,10 +8,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from posegrid.llm import line_rules, queries
+from posegrid.llm import line_rules, queries, simhash
 from posegrid.llm.shared import settle
 
-from .test_operators import SF, brute_components, brute_fingerprint, brute_hits, brute_spans, encoder
+from .test_operators import SF, brute_components, brute_hits, brute_spans, encoder
 
 #: Names that the operators use for themselves.
 CLASHING = ("n_words", "kept", "_text", "clean_text", "_spans", "bits", "component_id", "contaminated", "start", "_held", "h")
@@ -45,6 +45,43 @@ def brute_clean(text):
     return "\n".join(good) if 100 * lost <= 30 * len(words) else None
 
 
+def brute_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar(one, other):
+    return len(one & other) >= 0.8 * len(one | other)
+
+
+def test_similar_documents(spark):
+    """Near copies at every similarity, exact copies, short and empty texts, against all pairs."""
+    import random
+
+    rng = random.Random(8)
+    texts = [None, "", " ", "one two", "One  two", "one two three", "a b c d e f"]
+    for g in range(30):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((60, 200, 700)))]
+        for _ in range(5):
+            words = list(base)
+            for at in rng.sample(range(len(words)), rng.randrange(0, max(2, len(words) // 40))):
+                words[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+        texts.append(texts[-1].upper())
+    ids = [i if i % 7 else None for i in range(len(texts))]
+    frame = spark.createDataFrame([(i, t, "x", n) for n, (i, t) in enumerate(zip(ids, texts))], "doc_id long, text string, node string, bits int").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame).collect() if r.doc_id is not None}
+    sets = {n: brute_shingles(t) for n, t in enumerate(texts)}
+    roots = brute_components(sets, [(a, b) for a, b in combinations(sets, 2) if similar(sets[a], sets[b])])
+    groups = {}
+    for n, root in roots.items():
+        groups.setdefault(root, []).append(ids[n])
+    want = {i: min(x for x in groups[roots[n]] if x is not None) for n, i in enumerate(ids) if i is not None}
+    assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want) and all(want[got[i]] == want[i] for i in want)
+    assert len(set(want.values())) < len(want) / 2
+    assert simhash.similar_documents(frame.limit(0)).count() == 0
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     docs = docs.select(*docs.columns, *(F.lit(i).alias(c) for i, c in enumerate(CLASHING)))
@@ -64,8 +101,8 @@ def test_stages(spark):
     texts = {k: c for k, t in texts.items() if (c := brute_clean(t)) is not None}
     assert step("quality_rules") == texts
 
-    prints = {k: brute_fingerprint(t) for k, t in texts.items()}
-    roots = brute_components(prints, [(a, b) for a, b in combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 4])
+    sets = {k: brute_shingles(t) for k, t in texts.items()}
+    roots = brute_components(sets, [(a, b) for a, b in combinations(sets, 2) if similar(sets[a], sets[b])])
     texts = {k: t for k, t in texts.items() if roots[k] == k}
     assert step("near_duplicates") == texts
 
