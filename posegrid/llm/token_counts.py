@@ -10,12 +10,20 @@ long, and a later path replaces an earlier one only with a better score. A chara
 costs the least score less ten; with byte fallback it counts as its UTF-8 bytes, else runs of such
 characters count as one.
 
+No public unigram file is at hand and tokenizers are never trained here, so the pieces of a public file
+that ranks them by merges get the scores of Zipf's law: ``log(1 / (rank + ZIPF_SHIFT))``, normalised, a
+rule without a fit. ``unigram_model`` gives the same vocabulary in the form of the tokenizers library,
+whose counts these are, text by text.
+
 Counts of parts are kept in a bounded dictionary, as parts repeat. Defined cases: null and empty text
-have no pieces; a null ``doc_id`` is kept; equal rows are each returned; no rows, no result rows.
+have no pieces; a null ``doc_id`` is kept; repeated rows are each returned, whatever their ids; a text of
+any length is counted part by part, a part of any length in memory of its size; other columns are not
+read; no rows, no result rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -30,13 +38,29 @@ CACHE_PARTS = 400_000
 _PART = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
-def sentencepiece_vocabulary(path: str) -> dict[str, float]:
-    """Ordinary pieces and their scores of a sentencepiece file."""
+#: Of the Zipf-Mandelbrot law.
+ZIPF_SHIFT = 2.7
+
+
+def unigram_vocabulary(path: str) -> dict[str, float]:
+    """Ordinary pieces of a sentencepiece file in the order of their ranks, with log-probabilities by Zipf's law."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ordinary = (i for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)))
-    return {model.id_to_piece(i): model.get_score(i) for i in ordinary}
+    pieces = [model.id_to_piece(i) for i in ordinary]
+    total = math.log(math.fsum(1 / (rank + ZIPF_SHIFT) for rank in range(1, len(pieces) + 1)))
+    return {piece: -math.log(rank + ZIPF_SHIFT) - total for rank, piece in enumerate(pieces, 1)}
+
+
+def unigram_model(vocabulary: dict[str, float], byte_fallback: bool = True):
+    """The vocabulary as a tokenizer of the tokenizers library."""
+    from tokenizers import Tokenizer, models, normalizers
+
+    own = [("<unk>", 0.0), *vocabulary.items(), *((f"<0x{b:02X}>", -1e9) for b in range(256) if byte_fallback)]
+    out = Tokenizer(models.Unigram(own, unk_id=0, byte_fallback=byte_fallback))
+    out.normalizer = normalizers.Sequence([normalizers.Prepend(MARK), normalizers.Replace(" ", MARK)])
+    return out
 
 
 class PieceCounter:
@@ -100,11 +124,11 @@ _loaded: dict[tuple, PieceCounter] = {}
 
 
 def count_pieces(documents: DataFrame, model: str, byte_fallback: bool = True) -> DataFrame:
-    """(doc_id, n_pieces) of every whole text under the pieces and scores of ``model``, read as unigrams."""
+    """(doc_id, n_pieces) of every whole text under the pieces of ``model`` and their unigram scores."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (model, byte_fallback) not in _loaded:
-            _loaded[model, byte_fallback] = PieceCounter(sentencepiece_vocabulary(model), byte_fallback)
+            _loaded[model, byte_fallback] = PieceCounter(unigram_vocabulary(model), byte_fallback)
         counter = _loaded[model, byte_fallback]
         for batch in batches:
             found = [counter.count(t.as_py()) for t in batch.column("text")]
