@@ -1,25 +1,29 @@
 """Packing of token sequences into windows of near-equal length by multiway differencing.
 
 Documents are encoded and cut at the window length: full windows stand alone, and the rest of each
-document (under a window) is an item. Every second item is cut into falling powers of two, small change
-that lets sums be levelled to a token. Items of consecutive documents form a group of about
+document (under a window) is an item. Items of consecutive documents form a group of about
 ``GROUP_WINDOWS`` windows. In a group, Karmarkar-Karp differencing starts from one partial partition
 per item, merges again and again the two with the largest spread (the fullest part of one with the
-emptiest of the other), and ends with one partition into near-equal windows. When a window comes out
-above the capacity the number of windows rises by one and the group is done again.
+emptiest of the other), and ends with one partition into near-equal windows, as many as hold the group
+at ``FILL``. A window above the capacity has its largest item cut once, where the window is full, and
+the tail goes to the window with most room. When that can't hold it, or a window is above the capacity
+by more than its largest item, the number of windows rises by one and the group is done again. So a
+document is torn beyond its full windows only where a window overflows, at most once a window.
 
 A group is a bounded run of a partition's rows, so nothing is shuffled and memory does not grow with
 the data. Sequence ids are made from the partition and a count within it, as Spark's own
 ``monotonically_increasing_id`` does.
 
-Defined cases: null or empty text is a document of the end id alone; a null ``doc_id`` is kept; equal
-rows are separate documents; no rows, no pieces.
+Defined cases: null or empty text is a document of the end id alone; a null ``doc_id`` is kept; repeated
+rows are separate documents, whatever their ids; a text of any length is encoded whole, and its ids are
+held once; other columns are not read; no rows, no pieces.
 """
 
 from __future__ import annotations
 
 import bisect
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -32,8 +36,8 @@ from .cached_bpe import encoded_documents
 
 WINDOW = 1024
 GROUP_WINDOWS = 192
-#: Of the items of a group, every so many-th is cut into powers of two.
-CHANGE_EVERY = 2
+#: Share of the windows' room that the fewest windows of a group are filled to.
+FILL = 0.99
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -68,25 +72,31 @@ def difference(sizes: list[int], parts: int) -> list[list[int]]:
     return [m for _, _, m in heap[0][2]] if heap else []
 
 
-def level(sizes: list[int], capacity: int) -> list[list[int]]:
-    """The fewest windows for which differencing keeps within the capacity."""
-    parts = max(1, -(-sum(sizes) // capacity))
-    while True:
-        windows = difference(sizes, parts)
-        if all(sum(sizes[i] for i in w) <= capacity for w in windows):
-            return windows
-        parts += 1
+def fitted(windows: list[list[int]], sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]] | None:
+    """Windows of (item, from, to) within the capacity, at most one item cut in each that was above it; None if that can't be."""
+    pieces = [[(i, 0, sizes[i]) for i in sorted(w)] for w in windows]
+    room = [(sum(sizes[i] for i in w) - capacity, k) for k, w in enumerate(windows)]
+    free = [r for r in room if r[0] < 0]
+    heapq.heapify(free)
+    for over, k in sorted((r for r in room if r[0] > 0), reverse=True):
+        at = max(range(len(pieces[k])), key=lambda j: pieces[k][j][2])
+        item, begin, end = pieces[k][at]
+        if end <= over or not free or -free[0][0] < over:
+            return None
+        pieces[k][at] = (item, begin, end - over)
+        left, other = heapq.heappop(free)
+        pieces[other].append((item, end - over, end))
+        if left + over < 0:
+            heapq.heappush(free, (left + over, other))
+    return pieces
 
 
-def _cut(length: int, into_change: bool, window: int) -> list[int]:
-    """Piece lengths of a document: full windows, then the rest, whole or in powers of two."""
-    full, rest = divmod(length, window)
-    pieces = [window] * full
-    if rest and into_change:
-        pieces += [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-    elif rest:
-        pieces.append(rest)
-    return pieces
+def level(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
+    """The fewest near-equal windows, as lists of (item, from, to), that hold all items."""
+    parts = max(1, math.ceil(sum(sizes) / (FILL * capacity)))
+    while (found := fitted(difference(sizes, parts), sizes, capacity)) is None:
+        parts += 1
+    return found
 
 
 def pack_documents(documents: DataFrame, tokenizer: str, end_id: int, keeps_space: bool = True, window: int = WINDOW) -> DataFrame:
@@ -97,19 +107,22 @@ def pack_documents(documents: DataFrame, tokenizer: str, end_id: int, keeps_spac
 
         end = np.array([end_id], np.uint32)
         base = TaskContext.get().partitionId() << 33
-        sequences, seen = 0, 0
+        sequences = 0
         rows: list[tuple] = []
-        items: list[tuple] = []  # doc_id, start, length, checksum, doc_tokens
+        items: list[tuple] = []  # doc_id, start, ids, doc_tokens
         held = 0
 
+        def row(key: int | None, start: int, ids: np.ndarray, tokens: int, offset: int) -> tuple:
+            return (key, start, len(ids), zlib.crc32(ids.tobytes()), tokens, base + sequences, offset)
+
         def flush() -> None:
             nonlocal sequences, items, held
-            # Larger pieces first within a window, for stable offsets.
-            for members in level([x[2] for x in items], window):
+            for members in level([len(x[2]) for x in items], window):
                 offset = 0
-                for i in sorted(members):
-                    rows.append((*items[i], base + sequences, offset))
-                    offset += items[i][2]
+                for i, begin, end in members:
+                    key, start, ids, tokens = items[i]
+                    rows.append(row(key, start + begin, ids[begin:end], tokens, offset))
+                    offset += end - begin
                 sequences += 1
             items, held = [], 0
 
@@ -120,17 +133,14 @@ def pack_documents(documents: DataFrame, tokenizer: str, end_id: int, keeps_spac
         for batch in batches:
             for key, short in encoded_documents(batch, tokenizer, keeps_space):
                 ids = np.concatenate([short.astype("<u4"), end.astype("<u4")])
-                start = 0
-                for length in _cut(len(ids), seen % CHANGE_EVERY == 0, window):
-                    piece = (key, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids))
-                    start += length
-                    if length == window:
-                        rows.append((*piece, base + sequences, 0))
+                for start in range(0, len(ids), window):
+                    part = ids[start : start + window]
+                    if len(part) == window:
+                        rows.append(row(key, start, part, len(ids), 0))
                         sequences += 1
                     else:
-                        items.append(piece)
-                        held += length
-                seen += 1
+                        items.append((key, start, part.copy(), len(ids)))
+                        held += len(part)
                 if held >= window * GROUP_WINDOWS:
                     flush()
                 if len(rows) >= 20_000:
