@@ -3,7 +3,8 @@
 A BPE vocabulary first cuts a text into pre-tokens and merges within them, so the ids of a text are the
 ids of its pre-tokens one after the other. Pre-tokens repeat, and a dictionary look-up is far cheaper
 than an encoder call; those that the cache lacks are given to the tokenizers library, many at a time.
-A word with characters beyond Latin-1 needs the library's Unicode tables and goes to it as a whole.
+A word with characters beyond Latin-1 needs the library's Unicode tables and goes to it as a whole, and
+so does a text that may spell a special token, which the library then gives its special id.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ _SPACED = re.compile(rf" ?[{_LETTER}]+|{_ENDINGS}| ?[{_NUMBER}]+| ?[^\0\s{_LETTE
 _UNSPACED = re.compile(rf"[{_LETTER}]+|{_ENDINGS}|[{_NUMBER}]|[^\0\s{_LETTER}{_NUMBER}]+|\0")
 
 # NUL is kept for our own use; Python counts the four separators as white space, the library does not.
-_ODD = re.compile("[\0\x1c-\x1f]")
+# The special tokens of both vocabularies begin with "<|".
+_ODD = re.compile("[\0\x1c-\x1f]|<\\|")
 _LATIN = re.compile("[\x00-\xff]*")
 _SPACED_WORD = re.compile(r"\s*\S+|\s+")
 
@@ -49,7 +51,6 @@ class CachedBpe:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self._whole = Tokenizer.from_file(path)
-        self._whole.encode_special_tokens = True
         if self._whole.get_vocab_size() > 0xFF00:
             raise ValueError("ids and the gap mark are held as 16-bit integers")
         self._merges = Tokenizer(self._whole.model)

@@ -48,7 +48,6 @@ def encoder(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -248,27 +247,46 @@ def test_differencing_is_near_equal():
     sums = [sum((8, 7, 6, 5, 4)[i] for i in p) for p in parts]
     assert max(sums) - min(sums) <= 2
     sizes = [600, 600, 600]  # two windows can't hold them, so the number rises
-    assert len(packing.level(sizes, 1024)) == 3
+    assert packing.fitted([[0, 1], [2]], sizes, 899) is None and packing.fitted([[0], [1], [2]], [5, 5, 9], 5) is None
+    assert len(packing.level(sizes, 899)) == 3
+    # One item is cut where its window is full, and the rest goes where there is room.
+    assert sorted(sum(e - b for _, b, e in w) for w in packing.level(sizes, 1024)) == [776, 1024]
+
+
+def test_few_documents_are_cut():
+    """Against the fewest windows that could hold the items: little padding, at most one cut a window, no piece lost."""
+    import random
+
+    rng = random.Random(7)
+    for _ in range(20):
+        sizes = [min(1023, max(1, int(rng.expovariate(1 / 300)))) for _ in range(rng.randrange(1, 700))]
+        windows = packing.level(sizes, 1024)
+        pieces = sorted(p for w in windows for p in w)
+        assert [max(e for i, _, e in pieces if i == k) for k in range(len(sizes))] == sizes
+        assert sum(e - b for _, b, e in pieces) == sum(sizes)
+        assert max(sum(e - b for _, b, e in w) for w in windows) <= 1024
+        assert len(windows) <= -(-sum(sizes) // 1024) * 1.02 + 1 and len(pieces) - len(sizes) <= len(windows)
 
 
 def test_token_counts(spark, texts, docs, none):
     from tokenizers import Tokenizer, models
 
     path = queries.tokenizer("piece_bpe_32k.model")
-    pieces = token_counts.sentencepiece_vocabulary(path)
-    library = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces.items()], unk_id=0, byte_fallback=False))
-    counter = token_counts.PieceCounter(pieces, byte_fallback=False)
-    for _, text in texts[:80]:
-        parts = re.findall("▁*[^▁]+|▁+", "▁" + (text or "").replace(" ", "▁"))
-        for part in set(parts):
-            assert counter.part(part) == len(library.encode(part, add_special_tokens=False).ids)
+    pieces = token_counts.unigram_vocabulary(path)
+    got = {r.doc_id: r.n_pieces for r in token_counts.count_pieces(docs, path).collect()}
+    for fallback in (True, False):
+        library = token_counts.unigram_model(pieces, fallback)
+        counter = token_counts.PieceCounter(pieces, fallback)
+        for key, text in texts:  # whole texts, by the library's own tokenizer
+            want = len(library.encode(text or "", add_special_tokens=False).ids) if text else 0
+            assert counter.count(text) == want
+            assert not fallback or got[key] == want
     # Scores that tie: the path that starts earliest stays, and unknown runs count as one.
     ties = {"a": -1.0, "b": -1.0, "ab": -2.0, "abc": -3.5, "c": -1.5}
     small = Tokenizer(models.Unigram([("<unk>", 0.0), *ties.items()], unk_id=0, byte_fallback=False))
     own = token_counts.PieceCounter(ties, byte_fallback=False)
     for text in ("ab", "abc", "aabbcc", "xyz", "axxb", "cabcab"):
         assert own.part(text) == len(small.encode(text).ids)
-    got = {r.doc_id: r.n_pieces for r in token_counts.count_pieces(docs, path).collect()}
     assert got[1] == got[2] == 0 and got[5] == got[6] > 0 and len(got) == len(texts)
     assert token_counts.count_pieces(none, path).count() == 0
 
