@@ -24,7 +24,7 @@ def sampled_spikes(spikes: DataFrame, keep: int, keys=("unit",), seed: int = 0)
     """``keep`` spikes of each unit at most, drawn by hash: the same ones each time."""
     from pyspark.sql import Window
 
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), "t_us"), "t_us"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("t_us").cast("string"))), "t_us"))
     return spikes.withColumn("_n", number).filter(F.col("_n") <= keep).drop("_n")
 
 
@@ -47,7 +47,8 @@ def train_times(train: DataFrame) -> DataFrame:
 
 def permutations(spark, n: int, seed: int = 0, least_ms: int = 15_000, most_ms: int = 60_000) -> DataFrame:
     """(perm, shift): one shift for each permutation, of ``least_ms`` to under ``most_ms`` either way, by hash."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(2 * (most_ms - least_ms)))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
+    draw = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % (2 * (most_ms - least_ms))
     shift = F.when(draw < most_ms - least_ms, draw + least_ms).otherwise(draw - (most_ms - least_ms) - most_ms)
     return spark.range(n).select(F.col("id").alias("perm"), shift.alias("shift"))
 
@@ -75,6 +76,63 @@ def spike_xcorr(spike_frames: DataFrame, frames: DataFrame, max_lag: int, keys=(
     return lags.join(frames, "frame").groupBy(*keys, "lag").agg(F.sum("v").alias("corr"))
 
 
+def shuffled_xcorr(train: DataFrame, shifts: DataFrame, frames: DataFrame, length_ms: int, lags: tuple[int, int] = (-50, 49), block: int = 50) -> DataFrame:
+    """(unit, perm, lag, corr): ``spike_xcorr`` of every cyclic shift of a train of distinct milliseconds.
+
+    Blocks of permutations of a unit are dealt over the cluster, each with the unit's train; a train is
+    counted in frames and correlated with the movement by Fourier transforms. Movement and shifts are one
+    session long (60 000 frames of 600 s, a thousand shifts) and are sent to every task.
+    """
+    import numpy as np
+
+    table = frames.orderBy("frame").select("frame", "v").toPandas()
+    drawn = shifts.orderBy("perm").select("perm", "shift").toPandas()
+    n = int(table["frame"].max()) + 1 if len(table) else 1
+    movement = np.zeros(n)
+    movement[table["frame"].to_numpy()] = table["v"].to_numpy()
+    size = 1 << (n + length_ms // 10 + 1).bit_length()
+    sent = train.sparkSession.sparkContext.broadcast((np.fft.rfft(movement, size).conj(), drawn["perm"].to_numpy(), drawn["shift"].to_numpy()))
+    at = np.arange(lags[0], lags[1] + 1)
+
+    def each(group):
+        import pandas as pd
+
+        moved, perms, by = sent.value
+        some = slice(int(group["part"].iloc[0]) * block, (int(group["part"].iloc[0]) + 1) * block)
+        out = []
+        for perm, shift in zip(perms[some], by[some]):
+            counts = np.bincount((group["ms"].to_numpy() + shift) % length_ms // 10, minlength=1)
+            whole = np.fft.irfft(np.fft.rfft(counts, size) * moved, size)  # at a lag: sum over frames of counts[frame] * v[frame - lag]
+            out.append(pd.DataFrame({"unit": group["unit"].iloc[0], "perm": perm, "lag": at, "corr": whole[at % size]}))
+        return pd.concat(out)
+
+    parts = train.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(0, (len(drawn) - 1) // block)))))
+    return parts.groupBy("unit", "part").applyInPandas(each, f"unit {train.schema['unit'].dataType.simpleString()}, perm long, lag long, corr double")
+
+
+def xcorr_peaks(xcorr: DataFrame, low: int = -50, high: int = 49, keys=("unit",)) -> DataFrame:
+    """Greatest and least correlation within the lags, and where; of equal ones the smaller lag."""
+    near = xcorr.filter(F.col("lag").between(low, high))
+    return near.groupBy(*keys).agg(
+        F.max_by("lag", F.struct("corr", -F.col("lag"))).alias("peak_lag"), F.max("corr").alias("peak"), F.min_by("lag", F.struct("corr", "lag")).alias("trough_lag"), F.min("corr").alias("trough")
+    )
+
+
+def xcorr_significance(xcorr: DataFrame, shuffled: DataFrame, first: int = -10, last: int = 0, share: float = 0.0005, keys=("unit",)) -> DataFrame:
+    """Peaks with the envelope of the shuffled correlations at their lags, and whether each lies outside of it at a lag of ``first`` to ``last``."""
+    on = list(keys)
+    envelope = shuffled.groupBy(*on, "lag").agg(F.percentile("corr", F.lit(share)).alias("low"), F.percentile("corr", F.lit(1 - share)).alias("high"))
+    peaks = xcorr_peaks(xcorr, keys=keys)
+    at = lambda n, c: envelope.select(*on, F.col("lag").alias(f"{n}_lag"), F.col(c).alias(f"{n}_bound"))
+    both = peaks.join(at("peak", "high"), [*on, "peak_lag"], "left").join(at("trough", "low"), [*on, "trough_lag"], "left")
+    within = lambda n: F.col(f"{n}_lag").between(first, last)
+    return both.select(
+        *on, "peak_lag", "peak", "peak_bound", "trough_lag", "trough", "trough_bound",
+        F.coalesce(within("peak") & (F.col("peak") > F.col("peak_bound")), F.lit(False)).alias("peak_significant"),
+        F.coalesce(within("trough") & (F.col("trough") < F.col("trough_bound")), F.lit(False)).alias("trough_significant"),
+    )
+
+
 def neighbour_channels(channels: DataFrame, keep: int = 9) -> DataFrame:
     """(channel, neighbour, place): the nearest channels of each, itself first. A probe has some dozen channels.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from posegrid.sources.scratch import settled
+
 from . import series
 
 
@@ -64,18 +66,46 @@ def ordinal_pairs(reference: DataFrame, target: DataFrame, key: str = "recording
     return r.join(t, [key, "k"])
 
 
-def crosscorr_align(reference: DataFrame, target: DataFrame, target_rate: float, max_lag: int | None = None, key: str = "recording") -> DataFrame:
+def lag_counts(reference: DataFrame, target: DataFrame, key: str = "recording") -> DataFrame:
+    """(recording, first, last, at_first, at_last): the pairs of ones of two binary signals by lag, reference less target.
+
+    Signals are runs of ones. Two runs of p and q samples meet at p + q - 1 lags in a number that rises,
+    stays and falls; as second differences these are four numbers a pair of runs, whatever their length.
+    Their running sums give the counts as straight pieces between the lags where the slope changes.
+    """
+    ends = lambda d, n: series.pulse_segments(d, keys=(key,)).select(key, F.col("start").cast("long").alias(f"{n}s"), F.col("end").cast("long").alias(f"{n}e"))
+    p, q = F.col("re") - F.col("rs") + 1, F.col("te") - F.col("ts") + 1
+    low = F.col("rs") - F.col("te")
+    turns = F.array(*(F.struct(at.alias("at"), F.lit(d).alias("d")) for at, d in ((low, 1), (low + p, -1), (low + q, -1), (low + p + q, 1))))
+    pairs = ends(reference, "r").join(ends(target, "t"), key).select(key, F.explode(turns).alias("x"))
+    second = pairs.groupBy(key, F.col("x.at").alias("at")).agg(F.sum("x.d").alias("d"))
+    over = Window.partitionBy(key).orderBy("at")
+    pieces = second.withColumn("slope", F.sum("d").over(over)).withColumn("next", F.lead("at").over(over)).filter("next is not null")
+    grown = pieces.withColumn("before", F.sum(F.col("slope") * (F.col("next") - F.col("at"))).over(over) - F.col("slope") * (F.col("next") - F.col("at")))
+    return grown.select(
+        key, F.col("at").alias("first"), (F.col("next") - 1).alias("last"), (F.col("before") + F.col("slope")).alias("at_first"), (F.col("before") + F.col("slope") * (F.col("next") - F.col("at"))).alias("at_last")
+    )
+
+
+def crosscorr_align(
+    reference: DataFrame, target: DataFrame, target_rate: float, max_lag: int | None = None, key: str = "recording", reference_rate: float | None = None
+) -> DataFrame:
     """Lag of the most coinciding ones of two binary signals, in samples and seconds; good if every edge coincides.
 
-    Ones are sparse (a pulse each ten seconds), so pairs of ones are counted by lag; ``max_lag`` bounds
-    them. Ties go to the lag nearest to one, then the smaller.
+    The target is first brought to the reference's rate, if that is given; the lag in seconds is by the
+    target's rate all the same. ``max_lag`` bounds the lags. Ties go to the lag nearest to one, then the smaller.
     """
-    bits = lambda d, n: d.filter(F.col("on") == 1).select(key, F.col("idx").alias(n))
-    pairs = bits(reference, "i").join(bits(target, "j"), key).select(key, (F.col("i") - F.col("j")).alias("lag"))
+    same = target if reference_rate in (None, target_rate) else resample(target, target_rate, reference_rate)
+    counts = lag_counts(reference, same, key)
     if max_lag is not None:
-        pairs = pairs.filter(F.abs("lag") <= max_lag)
-    counts = pairs.groupBy(key, "lag").agg(F.count("*").alias("corr"))
-    best = counts.groupBy(key).agg(F.max(F.struct(F.col("corr"), -F.abs(F.col("lag") - 1), -F.col("lag"))).alias("b"))
+        counts = counts.filter((F.col("last") >= -max_lag) & (F.col("first") <= max_lag))
+    bound = F.lit(2**40 if max_lag is None else max_lag)
+    low, high = F.greatest("first", -bound), F.least("last", bound)
+    slope = F.coalesce(F.try_divide(F.col("at_last") - F.col("at_first"), F.col("last") - F.col("first")).cast("long"), F.lit(0))
+    # A piece is greatest at an end; a level one may hold lag one.
+    lags = F.array(low, high, F.greatest(low, F.least(high, F.lit(1))))
+    tried = counts.select(key, "first", "at_first", slope.alias("slope"), F.explode(lags).alias("lag")).select(key, "lag", (F.col("at_first") + F.col("slope") * (F.col("lag") - F.col("first"))).alias("corr"))
+    best = tried.filter("corr > 0").groupBy(key).agg(F.max(F.struct(F.col("corr"), -F.abs(F.col("lag") - 1), -F.col("lag"))).alias("b"))
     edges = lambda d, n: d.groupBy(key).agg(F.count("*").alias(n))
     er, et = edges(series.rising_edges(reference, keys=(key,)), "er"), edges(series.rising_edges(target, keys=(key,)), "et")
     found = best.select(key, F.col("b.corr").alias("corr"), (-F.col("b.col3")).alias("lag")).join(er, key, "left").join(et, key, "left")
@@ -83,35 +113,53 @@ def crosscorr_align(reference: DataFrame, target: DataFrame, target_rate: float,
     return found.select(key, "lag", (F.col("lag") / target_rate).alias("lag_time"), "corr", (F.col("corr") == fewest).alias("good"))
 
 
-def regression_align(reference: DataFrame, target: DataFrame, rate_r: float, rate_t: float, max_rmse: float, lag: float = 0.0, key: str = "recording") -> DataFrame:
-    """Line of target on reference edge times: new lag and rate; good if the residuals are small. One pair is no line."""
-    pairs = ordinal_pairs(reference, target, key).select(key, (F.col("edge_r") / rate_r).alias("x"), (F.col("edge_t") / rate_t).alias("y"))
+def regression_align(reference: DataFrame, target: DataFrame, rate_r: float, rate_t: float | Column, max_rmse: float, lag: float | Column = 0.0, key: str = "recording") -> DataFrame:
+    """Line of target on reference edge times: new lag and rate; good if the residuals are small. One pair is no line.
+
+    ``rate_t`` and ``lag`` are numbers, or columns of ``target``: the state that earlier stages left.
+    """
+    rate, before = (x if isinstance(x, Column) else F.lit(float(x)) for x in (rate_t, lag))
+    known = target.select(key, "edge", rate.alias("_rate"), before.alias("_before"))
+    state = known.groupBy(key).agg(F.first("_rate").alias("_rate"), F.first("_before").alias("_before"))
+    pairs = ordinal_pairs(reference, known, key).join(state, key).select(key, (F.col("edge_r") / rate_r).alias("x"), (F.col("edge_t") / F.col("_rate")).alias("y"))
     line = pairs.groupBy(key).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.count("*").alias("pairs"))
     rest = F.col("y") - F.col("slope") * F.col("x") - F.col("intercept")
     error = pairs.join(line, key).groupBy(key).agg(F.sqrt(F.avg(rest * rest)).alias("rmse"))
-    found = line.join(error, key)
+    found = line.join(error, key).join(state, key)
     return found.select(
-        key, "slope", (F.col("slope") * (lag - F.col("intercept"))).alias("lag"), (F.col("slope") * rate_t).alias("sample_rate"), "rmse", "pairs",
+        key, "slope", (F.col("slope") * (F.col("_before") - F.col("intercept"))).alias("lag"), (F.col("slope") * F.col("_rate")).alias("sample_rate"), "rmse", "pairs",
         F.coalesce(F.col("rmse") < max_rmse, F.lit(False)).alias("good"),
     )
 
 
-def samplerate_align(reference: DataFrame, target: DataFrame, rate_r: float, rate_t: float, lag: float = 0.0, key: str = "recording") -> DataFrame:
-    """Ratio of the median gaps, in seconds, scales lag and rate."""
-    gap = lambda e, rate, n: series.median_gap(e, keys=(key,)).select(key, (F.col("gap") / rate).alias(n))
-    both = gap(reference, rate_r, "gr").join(gap(target, rate_t, "gt"), key)
-    ratio = F.try_divide(F.col("gt"), F.col("gr"))
-    return both.select(key, ratio.alias("ratio"), (lag * ratio).alias("lag"), (rate_t * ratio).alias("sample_rate"), ratio.isNotNull().alias("good"))
+def samplerate_align(reference: DataFrame, target: DataFrame, rate_r: float, rate_t: float | Column, lag: float | Column = 0.0, key: str = "recording") -> DataFrame:
+    """Ratio of the median gaps, in seconds, of as many edges as both have, scales lag and rate; good if there is one."""
+    rate, before = (x if isinstance(x, Column) else F.lit(float(x)) for x in (rate_t, lag))
+    known = target.select(key, "edge", rate.alias("_rate"), before.alias("_before"))
+    state = known.groupBy(key).agg(F.first("_rate").alias("_rate"), F.first("_before").alias("_before"))
+    over = Window.partitionBy(key).orderBy("k")
+    gap = lambda c: F.col(c) - F.lag(c).over(over)
+    gaps = ordinal_pairs(reference, known, key).select(key, gap("edge_r").alias("r"), gap("edge_t").alias("t"))
+    both = gaps.groupBy(key).agg(F.percentile("r", F.lit(0.5)).alias("r"), F.percentile("t", F.lit(0.5)).alias("t")).join(state, key)
+    ratio = F.try_divide(F.col("t") / F.col("_rate"), F.col("r") / rate_r)
+    return both.select(key, ratio.alias("ratio"), (F.col("_before") * ratio).alias("lag"), (F.col("_rate") * ratio).alias("sample_rate"), ratio.isNotNull().alias("good"))
 
 
 STAGES = ("crosscorr", "regression", "samplerate")
 
 
+def _cropped(signal: DataFrame, cut: DataFrame, column: str, order: str, key: str) -> DataFrame:
+    """A signal or its edges without the first samples of each key, on the new index, with the state of its key."""
+    return signal.join(cut, key).filter(F.col(order) >= F.col(column)).withColumn(order, F.col(order) - F.col(column))
+
+
 def align(reference: DataFrame, target: DataFrame, rate_r: float, rate_t: float, stages=STAGES, max_rmse: float = 0.05, max_lag: int | None = None, key: str = "recording") -> DataFrame:
     """Stages in order, each result kept only if good: (recording, lag, slope, sample_rate, good).
 
-    The result of the cross-correlation crops the edges that later stages pair. Recordings without
-    pulses keep the given rate and a null lag.
+    A stage works on the signals cropped by the state before it: a lag above zero cuts the target by
+    ``int(lag * sample_rate)`` samples, one below zero the reference by ``int(-lag * rate_r)``, with the
+    sample rate of that state. Regression sets lag, rate and slope, the gap ratio lag and rate. Recordings
+    without pulses on either side keep the given rate and a null lag.
     """
     if unknown := [s for s in stages if s not in STAGES]:
         raise ValueError(f"unknown stages: {unknown}")
@@ -120,22 +168,29 @@ def align(reference: DataFrame, target: DataFrame, rate_r: float, rate_t: float,
     )
     er, et = series.rising_edges(reference, keys=(key,)), series.rising_edges(target, keys=(key,))
     for stage in stages:
+        lag = F.coalesce("lag", F.lit(0.0))
+        cut = state.select(
+            key, lag.alias("_lag"), F.col("sample_rate").alias("_state"),
+            F.when(lag > 0, (lag * F.col("sample_rate")).cast("int")).otherwise(0).alias("_cut_t"), F.when(lag < 0, (-lag * rate_r).cast("int")).otherwise(0).alias("_cut_r"),
+        )
+        none = F.lit(None).cast("double")
         if stage == "crosscorr":
-            new = crosscorr_align(reference, target, rate_t, max_lag, key).select(key, F.col("lag_time").alias("nl"), F.lit(None).cast("double").alias("ns"), F.lit(None).cast("double").alias("nr"), F.col("good").alias("ng"))
+            r = _cropped(reference, cut, "_cut_r", "idx", key).select(key, "idx", "on")
+            t = _cropped(target, cut, "_cut_t", "idx", key).select(key, "idx", "on")
+            found = crosscorr_align(r, t, rate_t, max_lag, key, rate_r)
+            new = found.select(key, F.col("lag_time").alias("nl"), none.alias("ns"), none.alias("nr"), F.col("good").alias("ng"))
         else:
-            lag = state.select(key, F.coalesce("lag", F.lit(0.0)).alias("_lag"))
-            cut_t = F.greatest(F.lit(0), (-F.col("_lag") * rate_t).cast("int"))
-            cut_r = F.greatest(F.lit(0), (F.col("_lag") * rate_r).cast("int"))
-            r, t = crop_edges(er.join(lag, key), cut_r).drop("_lag"), crop_edges(et.join(lag, key), cut_t).drop("_lag")
+            r, t = _cropped(er, cut, "_cut_r", "edge", key).select(key, "edge"), _cropped(et, cut, "_cut_t", "edge", key)
             if stage == "regression":
-                a = regression_align(r, t, rate_r, rate_t, max_rmse, 0.0, key).join(lag, key)
-                new = a.select(key, (F.col("lag") + F.col("slope") * F.col("_lag")).alias("nl"), F.col("slope").alias("ns"), F.col("sample_rate").alias("nr"), F.col("good").alias("ng"))
+                found = regression_align(r, t, rate_r, F.col("_state"), max_rmse, F.col("_lag"), key)
+                slope = F.col("slope")
             else:
-                a = samplerate_align(r, t, rate_r, rate_t, 0.0, key).join(lag, key)
-                new = a.select(key, (F.col("_lag") * F.col("ratio")).alias("nl"), F.col("ratio").alias("ns"), F.col("sample_rate").alias("nr"), F.col("good").alias("ng"))
+                found, slope = samplerate_align(r, t, rate_r, F.col("_state"), F.col("_lag"), key), none
+            new = found.select(key, F.col("lag").alias("nl"), slope.alias("ns"), F.col("sample_rate").alias("nr"), F.col("good").alias("ng"))
         ok = F.coalesce("ng", F.lit(False))
         pick = lambda n, o: F.when(ok, F.coalesce(n, o)).otherwise(F.col(o)).alias(o)
         state = state.join(new, key, "left").select(key, pick("nl", "lag"), pick("ns", "slope"), pick("nr", "sample_rate"), (F.col("good") | ok).alias("good"))
+        state = settled(state, "alignment-state")  # a row a recording, read several times by the next stage
     return state
 
 

@@ -294,12 +294,14 @@ def g23_skeleton_segments(spark, sf_dir):
 
 
 def _edge_rows():
+    place = {k: i for i, k in enumerate(m.KEYPOINTS)}
     rows = [(n, i, a, ks[(i + 1) % len(ks)]) for n, ks in m.GROUPS.items() for i, a in enumerate(ks)]
-    return "edges(name, edge, a, b) AS (VALUES " + ", ".join(f"('{n}', {i}, '{a}', '{b}')" for n, i, a, b in rows) + ")"
+    values = ", ".join(f"('{n}', {i}, '{a}', '{b}', {place.get(a, -1)}, {place.get(b, -1)})" for n, i, a, b in rows)
+    return f"edges(name, edge, a, b, ka, kb) AS (VALUES {values})"
 
 
-G23 = f"""WITH {LONG}, {_edge_rows()}, p AS (SELECT *, {_names('kp')} AS keypoint FROM pose WHERE (frame + kp) % 5 > 0)
-SELECT u.recording, u.frame, a, b, round(u.x, 4) AS a_x, round(v.z, 4) AS b_z FROM edges JOIN p u ON u.keypoint = a JOIN p v ON v.keypoint = b AND v.recording = u.recording AND v.frame = u.frame"""
+G23 = f"""WITH {LONG}, {_edge_rows()}, p AS MATERIALIZED (SELECT recording, frame, kp, x, z FROM pose WHERE (frame + kp) % 5 > 0), u AS (SELECT p.*, a, b, kb FROM p JOIN edges ON kp = ka)
+SELECT u.recording, u.frame, a, b, round(u.x, 4) AS a_x, round(v.z, 4) AS b_z FROM u JOIN p v ON v.kp = kb AND v.recording = u.recording AND v.frame = u.frame"""
 
 
 def g24_group_edges(spark, sf_dir):

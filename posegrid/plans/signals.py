@@ -130,12 +130,15 @@ def _(spark, sf):
     return found.select("recording", _r("slope").alias("slope"), (_r("lag") + F.lit(0.0)).alias("lag"), "pairs", "good")
 
 
+E2 = """e2 AS (SELECT recording, idx AS edge FROM (SELECT *, lead("on") OVER (PARTITION BY recording ORDER BY idx) AS nx FROM z) WHERE nx - "on" > 0)"""
+NUMBERED = "row_number() OVER (PARTITION BY recording ORDER BY edge) AS k"
+
+
 @query(
     "y08_samplerate",
-    f"""WITH {ALIGN}, {EDGES % 'r'}, e2 AS (SELECT recording, idx AS edge FROM (SELECT *, lead("on") {W}) AS nx FROM z) WHERE nx - "on" > 0),
-    g1 AS (SELECT recording, quantile_cont(d, 0.5) AS m FROM (SELECT recording, edge - lag(edge) OVER (PARTITION BY recording ORDER BY edge) AS d FROM e) GROUP BY 1),
-    g2 AS (SELECT recording, quantile_cont(d, 0.5) AS m FROM (SELECT recording, edge - lag(edge) OVER (PARTITION BY recording ORDER BY edge) AS d FROM e2) GROUP BY 1)
-    SELECT recording, round((g2.m / 110.0) / nullif(g1.m / 100.0, 0), 4) AS ratio, round(110 * (g2.m / 110.0) / nullif(g1.m / 100.0, 0), 3) AS sample_rate FROM g1 JOIN g2 USING (recording) WHERE g1.m IS NOT NULL AND g2.m IS NOT NULL""",
+    f"""WITH {ALIGN}, {EDGES % 'r'}, {E2}, p AS (SELECT recording, k, a.edge AS x, b.edge AS y FROM (SELECT *, {NUMBERED} FROM e) a JOIN (SELECT *, {NUMBERED} FROM e2) b USING (recording, k)),
+    g AS (SELECT recording, x - lag(x) OVER w AS x, y - lag(y) OVER w AS y FROM p WINDOW w AS (PARTITION BY recording ORDER BY k)), m AS (SELECT recording, quantile_cont(x, 0.5) AS x, quantile_cont(y, 0.5) AS y FROM g GROUP BY 1)
+    SELECT recording, round((y / 110.0) / nullif(x / 100.0, 0), 4) AS ratio, round(110 * (y / 110.0) / nullif(x / 100.0, 0), 3) AS sample_rate FROM m WHERE x IS NOT NULL AND y IS NOT NULL""",
 )
 def _(spark, sf):
     r, z = (series.rising_edges(d(spark, sf)) for d in (derived.sync_reference, derived.sync_target))
@@ -143,10 +146,31 @@ def _(spark, sf):
     return found.select("recording", _r("ratio").alias("ratio"), _r("sample_rate", 3).alias("sample_rate"))
 
 
-@query("y09_align_stages")
+def _cropped_sql(edges, state, cut):
+    return f"SELECT recording, k, edge - cut AS edge FROM (SELECT recording, edge, cut, row_number() OVER (PARTITION BY recording ORDER BY edge) AS k FROM {edges} JOIN (SELECT recording, {cut} AS cut FROM {state}) USING (recording) WHERE edge >= cut)"
+
+
+CUT_T, CUT_R = "CASE WHEN lag > 0 THEN CAST(trunc(lag * rate) AS INTEGER) ELSE 0 END", "CASE WHEN lag < 0 THEN CAST(trunc(-lag * 100.0) AS INTEGER) ELSE 0 END"
+
+
+@query(
+    "y09_align_stages",
+    f"""WITH {ALIGN}, {EDGES % 'r'}, {E2}, zz AS (SELECT recording, idx // 2 AS idx, "on" FROM z WHERE idx % 2 = 0), {CROSS.replace('JOIN z ON r.recording = z.recording', 'JOIN zz z ON r.recording = z.recording')},
+    nr AS (SELECT recording, count(*) AS n FROM e GROUP BY 1), nt AS (SELECT recording, count(*) AS n FROM e2 GROUP BY 1),
+    s1 AS (SELECT u.recording, CASE WHEN corr = least(coalesce(nr.n, 0), coalesce(nt.n, 0)) THEN best.lag / 200.0 END AS lag, 1.0::DOUBLE AS slope, 200.0::DOUBLE AS rate, coalesce(corr = least(coalesce(nr.n, 0), coalesce(nt.n, 0)), false) AS good
+      FROM (SELECT DISTINCT recording FROM z) u LEFT JOIN best USING (recording) LEFT JOIN nr USING (recording) LEFT JOIN nt USING (recording)),
+    p AS (SELECT recording, a.edge / 100.0 AS x, b.edge / rate AS y FROM ({_cropped_sql('e', 's1', CUT_R)}) a JOIN ({_cropped_sql('e2', 's1', CUT_T)}) b USING (recording, k) JOIN s1 USING (recording)),
+    ln AS (SELECT recording, regr_slope(y, x) AS sl, regr_intercept(y, x) AS ic FROM p GROUP BY 1), er AS (SELECT recording, sqrt(avg(pow(y - sl * x - ic, 2))) AS rmse FROM p JOIN ln USING (recording) GROUP BY 1),
+    s2 AS (SELECT recording, CASE WHEN rmse < 0.05 THEN sl * (coalesce(lag, 0) - ic) ELSE lag END AS lag, CASE WHEN rmse < 0.05 THEN sl ELSE slope END AS slope, CASE WHEN rmse < 0.05 THEN sl * rate ELSE rate END AS rate, good OR coalesce(rmse < 0.05, false) AS good
+      FROM s1 LEFT JOIN ln USING (recording) LEFT JOIN er USING (recording)),
+    q AS (SELECT recording, k, a.edge AS x, b.edge AS y FROM ({_cropped_sql('e', 's2', CUT_R)}) a JOIN ({_cropped_sql('e2', 's2', CUT_T)}) b USING (recording, k)),
+    g AS (SELECT recording, x - lag(x) OVER w AS x, y - lag(y) OVER w AS y FROM q WINDOW w AS (PARTITION BY recording ORDER BY k)),
+    m AS (SELECT recording, (quantile_cont(y, 0.5) / rate) / nullif(quantile_cont(x, 0.5) / 100.0, 0) AS ratio FROM g JOIN s2 USING (recording) GROUP BY recording, rate)
+    SELECT recording, round(CASE WHEN ratio IS NOT NULL THEN coalesce(lag, 0) * ratio ELSE lag END, 4) + 0 AS lag, round(slope, 4) AS slope, round(rate * coalesce(ratio, 1), 3) AS sample_rate, good OR ratio IS NOT NULL AS good FROM s2 LEFT JOIN m USING (recording)""",
+)
 def _(spark, sf):
-    found = sync.align(derived.sync_reference(spark, sf), derived.sync_target(spark, sf), 100.0, 100.0)
-    return found.select("recording", _r("lag", 4).alias("lag"), _r("slope", 4).alias("slope"), _r("sample_rate", 3).alias("sample_rate"), "good")
+    found = sync.align(derived.sync_reference(spark, sf), derived.sync_target(spark, sf), 100.0, 200.0)
+    return found.select("recording", (_r("lag", 4) + F.lit(0.0)).alias("lag"), _r("slope", 4).alias("slope"), _r("sample_rate", 3).alias("sample_rate"), "good")
 
 
 @query(
@@ -207,7 +231,7 @@ def _(spark, sf):
     return spikes.mean_waveform(rows).select("channel", "off", "n", _r("v").alias("v"))
 
 
-@query("a20_sampled_spikes")
+@query("a20_sampled_spikes", f"WITH {SPIKES} SELECT unit, t_us FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY md5('0:' || t_us), t_us) AS k FROM sp) WHERE k <= 100")
 def _(spark, sf):
     return spikes.sampled_spikes(derived.spikes(spark, sf), 100)
 
@@ -222,14 +246,22 @@ def _(spark, sf):
 SHUFFLES = 1000
 
 
-@query("t04_cyclic_shuffle")
+PERM = f"""{SPIKES}, tr AS (SELECT DISTINCT unit, t_us // 1000 AS ms FROM sp), pm AS (SELECT id AS perm, CASE WHEN d < 45000 THEN d + 15000 ELSE d - 105000 END AS shift FROM (SELECT id, ('0x' || substr(md5('0:' || id), 1, 12))::BIGINT % 90000 AS d FROM (SELECT unnest(range({SHUFFLES})) AS id))),
+ sh AS (SELECT unit, perm, (((ms + shift) % 600001) + 600001) % 600001 AS ms FROM tr, pm)"""
+
+
+@query("t04_cyclic_shuffle", f"WITH {PERM} SELECT unit, perm, count(DISTINCT ms) AS n, min(ms) AS first FROM sh GROUP BY ALL")
 def _(spark, sf):
     train = spikes.spike_train(derived.spikes(spark, sf))
     shuffled = spikes.cyclic_shuffle(train, spikes.permutations(spark, SHUFFLES), 600_001)
     return shuffled.groupBy("unit", "perm").agg(F.countDistinct("ms").alias("n"), F.min("ms").alias("first"))
 
 
-@query("t05_tuning_envelope")
+@query(
+    "t05_tuning_envelope",
+    f"""WITH {PERM}, {TUNE[len(SPIKES) + 2:]}, h AS (SELECT unit, perm, bin, count(*) AS n FROM sh JOIN mb ON mb.frame = ms // 10 GROUP BY ALL), g AS (SELECT unit, perm, bin, seconds FROM (SELECT DISTINCT unit FROM tr), (SELECT perm FROM pm), tb),
+    c AS (SELECT unit, perm, bin, coalesce(n, 0) / seconds AS rate FROM g LEFT JOIN h USING (unit, perm, bin)) SELECT unit, bin, round(quantile_cont(rate, 0.025), 4) AS low, round(quantile_cont(rate, 0.975), 4) AS high FROM c GROUP BY ALL""",
+)
 def _(spark, sf):
     train = spikes.spike_train(derived.spikes(spark, sf))
     shuffled = spikes.cyclic_shuffle(train, spikes.permutations(spark, SHUFFLES), 600_001).select("unit", "perm", F.expr("ms div 10").alias("frame"))
@@ -237,19 +269,20 @@ def _(spark, sf):
     return curves.groupBy("unit", "bin").agg(_r(F.percentile("rate", F.lit(0.025))).alias("low"), _r(F.percentile("rate", F.lit(0.975))).alias("high"))
 
 
-XC = f"""{MOVE}, fr AS (SELECT unit, t_us // 10000 AS frame FROM sp), lg AS (SELECT unnest(range(-60, 61)) AS lag),
+XC = f"""{MOVE}, fr AS (SELECT unit, t_us // 10000 AS frame FROM sp), lg AS (SELECT unnest(range(-500, 500)) AS lag),
  xc AS (SELECT unit, lag, sum(v) AS corr FROM (SELECT unit, frame - lag AS frame, lag FROM fr, lg) q JOIN mv USING (frame) GROUP BY ALL)"""
+BACKGROUND = "lag BETWEEN -500 AND -201 OR lag >= 200"
 
 
 def _xcorr(spark, sf):
     framed = derived.spikes(spark, sf).select("unit", tables.frame_of(F.col("t_us")).alias("frame"))
-    return spikes.spike_xcorr(framed, derived.movement(spark, sf), 60)
+    return spikes.spike_xcorr(framed, derived.movement(spark, sf), 500).filter("lag < 500")
 
 
-@query("t06_spike_xcorr", f"WITH {XC}, bg AS (SELECT unit, avg(corr) AS b FROM xc WHERE abs(lag) > 50 GROUP BY 1) SELECT unit, lag, round(corr - b, 4) AS corr FROM xc JOIN bg USING (unit)")
+@query("t06_spike_xcorr", f"WITH {XC}, bg AS (SELECT unit, avg(corr) AS b FROM xc WHERE {BACKGROUND} GROUP BY 1) SELECT unit, lag, round(corr - b, 4) AS corr FROM xc JOIN bg USING (unit)")
 def _(spark, sf):
     xc = _xcorr(spark, sf)
-    background = xc.filter(F.abs("lag") > 50).groupBy("unit").agg(F.avg("corr").alias("b"))
+    background = xc.filter(BACKGROUND).groupBy("unit").agg(F.avg("corr").alias("b"))
     return xc.join(background, "unit").select("unit", "lag", _r(F.col("corr") - F.col("b")).alias("corr"))
 
 
@@ -258,7 +291,12 @@ def _(spark, sf):
     f"WITH {XC}, c AS (SELECT unit, lag, round(corr, 4) AS corr FROM xc WHERE lag BETWEEN -50 AND 49) SELECT unit, arg_max(lag, [corr, -lag]) AS peak_lag, max(corr) AS peak, arg_min(lag, [corr, lag]) AS trough_lag, min(corr) AS trough FROM c GROUP BY unit",
 )
 def _(spark, sf):
-    xc = _xcorr(spark, sf).filter("lag between -50 and 49").withColumn("corr", _r("corr"))
-    return xc.groupBy("unit").agg(
-        F.max_by("lag", F.struct("corr", -F.col("lag"))).alias("peak_lag"), F.max("corr").alias("peak"), F.min_by("lag", F.struct("corr", "lag")).alias("trough_lag"), F.min("corr").alias("trough")
-    )
+    return spikes.xcorr_peaks(_xcorr(spark, sf).withColumn("corr", _r("corr")))
+
+
+@query("t07_xcorr_significance")
+def _(spark, sf):
+    """Peaks outside of the envelope of a thousand shuffles, at lags of -0.1 s to 0."""
+    train = spikes.spike_train(derived.spikes(spark, sf))
+    shuffled = spikes.shuffled_xcorr(train, spikes.permutations(spark, SHUFFLES), derived.movement(spark, sf), 600_001)
+    return spikes.xcorr_significance(_xcorr(spark, sf).withColumn("corr", _r("corr")), shuffled.withColumn("corr", _r("corr")))
