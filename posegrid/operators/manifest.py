@@ -61,6 +61,12 @@ def match_calibration(recordings: DataFrame, calibrations: DataFrame) -> DataFra
     return r.join(c, (F.col("r.session") == F.col("c.session")) & agree).select("r.session", F.col("r.name").alias("recording"), F.col("c.name").alias("calibration"))
 
 
+def uncalibrated(recordings: DataFrame, matched: DataFrame) -> DataFrame:
+    """Recordings for which ``match_calibration`` found nothing: (session, name)."""
+    known = matched.select("session", F.col("recording").alias("name")).distinct()
+    return recordings.select("session", "name").join(known, ["session", "name"], "left_anti")
+
+
 def match_ephys(recordings: DataFrame, ephys: DataFrame, keys) -> DataFrame:
     """One to one, in alphabetical order of names within equal keys."""
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("name"))
@@ -69,6 +75,50 @@ def match_ephys(recordings: DataFrame, ephys: DataFrame, keys) -> DataFrame:
     return r.join(e, [*keys, "_n"]).drop("_n")
 
 
+def repeated_keys(files: DataFrame, keys) -> DataFrame:
+    """Keys that more than one file has, with their number: their pairing follows names alone."""
+    return files.groupBy(*keys).agg(F.count("*").alias("files")).filter("files > 1")
+
+
+def match_ephys_partial(recordings: DataFrame, ephys: DataFrame) -> DataFrame:
+    """One to one within a session, where no attribute that both have differs: (session, recording, ephys).
+
+    Recordings in alphabetical order take the first free file that agrees. The files of a session, of
+    which one experiment has some dozens, are matched in one group.
+    """
+
+    def each(table):
+        import pandas as pd
+
+        out, used = [], set()
+        sides = {k: g.sort_values("name") for k, g in table.groupby("side")}
+        none = table.iloc[:0]
+        for r in sides.get(0, none).itertuples():
+            for e in sides.get(1, none).itertuples():
+                mine, theirs = ({x["key"]: x["value"] for x in f.attributes} for f in (r, e))
+                if e.name not in used and all(mine[k] == theirs[k] for k in mine.keys() & theirs.keys()):
+                    used.add(e.name)
+                    out.append((r.session, r.name, e.name))
+                    break
+        return pd.DataFrame(out, columns=["session", "recording", "ephys"])
+
+    both = recordings.select("session", "name", "attributes", F.lit(0).alias("side")).union(ephys.select("session", "name", "attributes", F.lit(1)))
+    both = both.withColumn("attributes", F.map_entries("attributes"))
+    return both.groupBy("session").applyInPandas(each, "session string, recording string, ephys string")
+
+
+def summarise_manifest(files: DataFrame) -> DataFrame:
+    """(session, view, recordings, files): the views of each session, how many recordings have them, and files."""
+    named = files.withColumn("_name", recording_name(F.col("path"), F.col("view")))
+    return named.groupBy("session", "view").agg(F.count_distinct("_name").alias("recordings"), F.count("*").alias("files"))
+
+
+def keypoints_per_group(points: DataFrame, groups: DataFrame, keys=("recording",)) -> DataFrame:
+    """(keys, name, keypoints): how many keypoints of each group (name, keypoints) a table of points (keypoint) has."""
+    members = groups.select("name", F.explode("keypoints").alias("keypoint"))
+    return points.select(*keys, "keypoint").distinct().join(members, "keypoint").groupBy(*keys, "name").agg(F.count("*").alias("keypoints"))
+
+
 def session_status(available: DataFrame, configured: DataFrame) -> DataFrame:
     """Configured sessions that are there, then new ones, flagged."""
     kept = available.join(configured, "session", "left_semi").withColumn("status", F.lit("configured"))

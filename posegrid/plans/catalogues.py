@@ -91,6 +91,33 @@ def _(spark, sf):
     return manifest.match_calibration(r.filter("kind <> 'cal'"), r.filter("kind = 'cal'"))
 
 
+@query(
+    "m06_uncalibrated",
+    f"WITH {RECS} SELECT session, name FROM rc r WHERE kind <> 'cal' AND NOT EXISTS (SELECT 1 FROM rc c WHERE r.session = c.session AND c.kind = 'cal' AND left(r.date, 6) = left(c.date, 6))",
+)
+def _(spark, sf):
+    r = _recordings(spark, sf)
+    own = r.filter("kind <> 'cal'")
+    return manifest.uncalibrated(own, manifest.match_calibration(own, r.filter("kind = 'cal'")))
+
+
+@query("m07_repeated_keys", f"WITH {RECS} SELECT session, left(date, 4) AS year, count(*) AS files FROM rc WHERE kind = 'anes' GROUP BY ALL HAVING count(*) > 1")
+def _(spark, sf):
+    r = _recordings(spark, sf).filter("kind = 'anes'").withColumn("year", F.substring("date", 1, 4))
+    return manifest.repeated_keys(r, ["session", "year"])
+
+
+@query(
+    "m07_match_partial",
+    f"""WITH {RECS}, a AS (SELECT session, name, left(date, 6) AS mo, row_number() OVER (PARTITION BY session, left(date, 6) ORDER BY name) AS k FROM rc WHERE kind = 'awake'),
+    b AS (SELECT session, name, left(date, 6) AS mo, row_number() OVER (PARTITION BY session, left(date, 6) ORDER BY name) AS k FROM rc WHERE kind = 'anes') SELECT session, a.name AS recording, b.name AS ephys FROM a JOIN b USING (session, mo, k)""",
+)
+def _(spark, sf):
+    """Files share the month only; their other attributes have names of their own."""
+    r = _recordings(spark, sf)
+    return manifest.match_ephys_partial(r.filter("kind = 'awake'"), r.filter("kind = 'anes'"))
+
+
 @query(
     "m07_match_ephys",
     f"""WITH {RECS}, a AS (SELECT session, name, row_number() OVER (PARTITION BY session ORDER BY name) AS k FROM rc WHERE kind = 'awake'), b AS (SELECT session, name, row_number() OVER (PARTITION BY session ORDER BY name) AS k FROM rc WHERE kind = 'anes')
@@ -101,9 +128,21 @@ def _(spark, sf):
     return manifest.match_ephys(r.filter("kind = 'awake'"), r.filter("kind = 'anes'"), ["session"])
 
 
-@query("m08_summary", f"WITH {FILES} SELECT animal AS session, view, count(*) AS files FROM p GROUP BY ALL")
+@query("m08_summary", f"WITH {FILES} SELECT animal AS session, view, count(DISTINCT date || kind) AS recordings, count(*) AS files FROM p GROUP BY ALL")
+def _(spark, sf):
+    return manifest.summarise_manifest(_parsed(spark, sf).withColumnRenamed("animal", "session"))
+
+
+_GROUPS = ", ".join(f"('{n}', '{k}')" for n, ks in m.GROUPS.items() for k in ks)
+
+
+@query(
+    "m08_keypoint_groups",
+    f"WITH {POSE}, gr(name, keypoint) AS (VALUES {_GROUPS}), q AS (SELECT DISTINCT recording, list_extract({list(m.KEYPOINTS)!r}, kp + 1) AS keypoint FROM pose WHERE kp % 3 <> recording % 3) SELECT recording, name, count(*) AS keypoints FROM q JOIN gr USING (keypoint) GROUP BY ALL",
+)
 def _(spark, sf):
-    return _parsed(spark, sf).groupBy(F.col("animal").alias("session"), "view").agg(F.count("*").alias("files"))
+    points = derived.pose_long(spark, sf).filter("kp % 3 <> recording % 3")
+    return manifest.keypoints_per_group(points, spark.createDataFrame(list(m.GROUPS.items()), "name string, keypoints array<string>"))
 
 
 @query("m09_session_status", f"WITH {FILES} SELECT DISTINCT animal AS session, CASE WHEN CAST(substr(animal, 2) AS INTEGER) < 20 THEN 'configured' ELSE 'new' END AS status FROM p")

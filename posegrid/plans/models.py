@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from posegrid.functions import measurements as m
 from posegrid.operators import model, paired, series, spectral
 from posegrid.sources import derived, readers
+from posegrid.sources.scratch import scratch_folder
 
 from .geometry import SQL_MEASUREMENTS
 from .series import POSE, SYNC, S
@@ -61,7 +62,15 @@ def _(spark, sf):
     return found.select("recording", "seg", _r("t").alias("t"), *(_r(c).alias(c) for c in ("low", "delta", "theta")))
 
 
-@query("d03_band_series")
+D03 = SPECTRUM.replace("400", "64").replace("350", "56").replace("range(201)", "range(33)").replace("(n - 64) // 56", "(n - 64) // 56")
+
+
+@query(
+    "d03_band_series",
+    f"""WITH {D03}, bp AS (SELECT recording, seg, (32 + seg * 56) / 100.0 AS t, avg(power) FILTER (WHERE k * 100 / 64.0 < 1) AS low, avg(power) FILTER (WHERE k * 100 / 64.0 BETWEEN 1 AND 4) AS delta, avg(power) FILTER (WHERE k * 100 / 64.0 BETWEEN 5 AND 10) AS theta FROM sp GROUP BY recording, seg),
+    l AS (UNPIVOT bp ON low, delta, theta INTO NAME band VALUE v), o AS (SELECT *, count(*) OVER (PARTITION BY recording, band) AS n, avg(v) OVER (PARTITION BY recording, band ORDER BY seg ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s FROM l),
+    kk AS (SELECT * FROM o WHERE seg >= 2 AND seg < n - 2) SELECT recording, band, seg AS idx, round(t, 4) AS t, round((s - avg(s) OVER p) / CASE WHEN stddev_pop(s) OVER p = 0 THEN 1 ELSE stddev_pop(s) OVER p END, 4) AS z FROM kk WINDOW p AS (PARTITION BY recording, band)""",
+)
 def _(spark, sf):
     found = spectral.band_series(spectral.band_powers(spectral.spectrogram(derived.series(spark, sf), 100.0, 64)), 2)
     return found.select("recording", "band", "idx", _r("t").alias("t"), _r("z").alias("z"))
@@ -112,8 +121,11 @@ def _(spark, sf):
 def _(spark, sf):
     """Recordings that an earlier run has not written."""
     df = derived.sync_reference(spark, sf)
-    there = df.filter("recording % 3 = 0").select("recording").distinct()
-    return df.join(there, "recording", "left_anti").groupBy("recording").agg(F.count("*").alias("n"))
+    folder = scratch_folder(spark, "features")
+    readers.write_features(df.filter("recording % 3 = 0"), folder)
+    # The second run writes the rest only: what is there stays as it is.
+    readers.write_features(df.withColumn("idx", F.col("idx") + 1_000_000), folder)
+    return spark.read.parquet(folder).filter("idx >= 1000000").groupBy(F.col("recording").cast("long")).agg(F.count("*").alias("n"))
 
 
 # ---- regression of time on features
@@ -167,7 +179,7 @@ def _models(spark, sf):
     sessions = rows.select("session").distinct()
     splits = model.holdout_splits(sessions)
     folds = model.loso_folds(splits, sessions)
-    alphas = [10 ** (-3 + 3 * i / 19) for i in range(20)]
+    alphas = [10 ** (-1 + 3 * i / 99) for i in range(100)]
     return rows, splits, model.lasso_grid(model.gram(rows, NAMES, "minutes"), folds, len(NAMES), alphas)
 
 

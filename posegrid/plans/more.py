@@ -9,7 +9,7 @@ from posegrid.operators import pose, series, spikes, sync, tables
 from posegrid.sources import derived, readers
 from posegrid.sources.scratch import scratch_folder
 
-from .series import ALIGN, EDGES, INTERPOLATED, POSE, S, SYNC, W
+from .series import ALIGN, EDGES, INTERPOLATED, POSE, S, SPIKES, SYNC, W
 
 QUERIES, ORACLES = {}, {}
 
@@ -60,14 +60,25 @@ def _(spark, sf):
     return readers.cache_table(means.limit(0), folder)  # the second call finds the first one's table
 
 
-@query("s16_cameras", "SELECT camera, fx, width FROM (VALUES ('L', 820.0::DOUBLE, 1280), ('R', 830.0::DOUBLE, 1280)) v(camera, fx, width), (SELECT count(*) AS n FROM region) WHERE n > 0")
+@query(
+    "s16_cameras",
+    "SELECT 'cam' || n_nationkey AS camera, 1280 AS width, 800.0::DOUBLE + n_nationkey AS fx, 512.0::DOUBLE AS cy, n_regionkey / 10.0 AS turn FROM nation",
+)
 def _(spark, sf):
-    """Cameras of a calibration that are used while any region is on record."""
-    from .geometry import CAMERAS
-
-    used = derived.table(spark, sf, "region").limit(1)
-    cameras = pose.cameras_df(spark, {k: c for k, c in CAMERAS.items() if k in "LR"})
-    return cameras.join(F.broadcast(used.select(F.lit(1).alias("_u")))).select("camera", "fx", "width")
+    """A calibration file per region, with a camera per nation, written and read."""
+    n = derived.table(spark, sf, "nation")
+    fx = F.lit(800.0) + F.col("n_nationkey")
+    row = lambda *x: F.array(*(v if hasattr(v, "alias") else F.lit(float(v)) for v in x))
+    camera = F.struct(
+        F.concat(F.lit("cam"), F.col("n_nationkey").cast("string")).alias("name"), F.array(F.lit(1280), F.lit(1024)).alias("size"), F.array(row(fx, 0, 640), row(0, fx, 512), row(0, 0, 1)).alias("matrix"),
+        row(0, 0, 0, 0, 0).alias("distortions"), row(F.col("n_regionkey") / 10.0, 0, 0).alias("rotation"), row(0, 0, 100).alias("translation"),
+    )
+    files = n.groupBy("n_regionkey").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("c"), F.col("n_nationkey").cast("string")), camera))).alias("cameras"))
+    folder = scratch_folder(spark, "calibration")
+    files.select(F.to_json("cameras").alias("value"), F.concat(F.lit("calibration-"), F.col("n_regionkey").cast("string")).alias("name")).write.partitionBy("name").text(folder)
+    read = readers.read_cameras(spark, folder + "/name=*")
+    turn = F.get("rotation", F.lit(0)).alias("turn")
+    return read.select("camera", "width", "fx", "cy", turn)
 
 
 @query(
@@ -118,3 +129,15 @@ def _(spark, sf):
 
     df = derived.pose_long(spark, sf).select("recording", "frame", "kp")
     return df.withColumn("place", F.row_number().over(Window.partitionBy("recording").orderBy("frame", "kp"))).sortWithinPartitions("recording", "place")
+
+
+@query("s11_read_spikes", f"WITH {SPIKES}, n AS (SELECT unit, dense_rank() OVER (ORDER BY unit) AS cluster FROM sp GROUP BY unit) SELECT cluster AS unit, count(*) AS spikes, round(sum(t_us / 1e6), 3) AS total FROM sp JOIN n USING (unit) GROUP BY 1")
+def _(spark, sf):
+    """Spike times written as arrays, a file per unit and minute, and read."""
+    from pyspark.sql import Window
+
+    found = derived.spikes(spark, sf)
+    numbers = found.select("unit").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("unit")))  # a row per unit
+    folder = scratch_folder(spark, "spikes")
+    readers.write_spikes(found.join(numbers, "unit").select(F.col("cluster").alias("unit"), (F.col("t_us") / 1e6).alias("t")), folder)
+    return readers.read_spikes(spark, folder).groupBy("unit").agg(F.count("*").alias("spikes"), _r(F.sum("t"), 3).alias("total"))

@@ -118,7 +118,7 @@ def read_spikes(spark: SparkSession, path: str) -> DataFrame:
 
 def unit_table(units: DataFrame, session: str) -> DataFrame:
     """Units of a session by depth, names from their twelfth character."""
-    return units.filter(F.col("session") == session).select("depth", F.substring("name", 12, 1000).alias("name")).orderBy("depth", "name")
+    return units.filter(F.col("session") == session).select("depth", F.expr("substring(name, 12)").alias("name")).orderBy("depth", "name")
 
 
 def read_ephys(spark: SparkSession, path: str, n_channels: int, block: int = 30_000, channels: list[int] | None = None) -> DataFrame:
@@ -157,6 +157,41 @@ def cache_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+CALIBRATION = "map<string, struct<name: string, size: array<int>, matrix: array<array<double>>, distortions: array<double>, rotation: array<double>, translation: array<double>>>"
+
+
+def read_cameras(spark: SparkSession, path: str) -> DataFrame:
+    """A row per camera of every JSON calibration in a folder: file, camera, width, height, fx, fy, cx, cy, rotation, translation, distortions."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", CALIBRATION).alias("c"))
+    c = files.select("file", F.explode("c").alias("key", "c")).filter("c.matrix is not null")
+    at = lambda i, j: F.get(F.get("c.matrix", F.lit(i)), F.lit(j))
+    return c.select(
+        F.element_at(F.split("file", "/"), -1).alias("file"), F.coalesce("c.name", "key").alias("camera"), F.get("c.size", F.lit(0)).alias("width"), F.get("c.size", F.lit(1)).alias("height"),
+        at(0, 0).alias("fx"), at(1, 1).alias("fy"), at(0, 2).alias("cx"), at(1, 2).alias("cy"), "c.rotation", "c.translation", "c.distortions",
+    )
+
+
+def write_spikes(spikes: DataFrame, folder: str, part_seconds: int = 60) -> None:
+    """Spike times (unit number, t in seconds) as ``.npy`` files in ``folder``, a URI, a file per unit and part of the session."""
+
+    def each(group):
+        import io
+
+        import numpy as np
+        from pyarrow.fs import FileSystem
+
+        store, path = FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        data = io.BytesIO()
+        np.save(data, np.sort(group["t"].to_numpy()))
+        with store.open_output_stream(f"{path}/cluster{int(group['unit'].iloc[0])}-{int(group['part'].iloc[0]):06d}.npy") as out:
+            out.write(data.getvalue())
+        return group[["unit"]].head(1)
+
+    parts = spikes.select(F.col("unit").cast("long"), F.col("t").cast("double"), F.floor(F.col("t") / part_seconds).alias("part"))
+    parts.groupBy("unit", "part").applyInPandas(each, "unit long").write.format("noop").mode("overwrite").save()
+
+
 def read_calibration(text: str) -> dict[str, dict]:
     """Cameras of a JSON calibration, by name."""
     found = json.loads(text)
