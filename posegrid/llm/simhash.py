@@ -21,8 +21,8 @@ Jaccard similarity of 0.8. A fingerprint can't find all such pairs: at that simi
 64 bits differ, and keys that bear ten errors are too short to tell documents apart. So the Golay keys
 are one source of candidates there and bands of minima over the same shingle hashes are the other; every
 candidate pair is verified by the exact similarity of its shingle sets. Texts of equal words are one
-text from the start, and a bucket ties its members to two of them, which differ from band to band, so
-that no bucket makes all pairs. Two documents at the very threshold that are tied to others only may be missed.
+text from the start, and a bucket ties its members to its first, and in some bands to one drawn anew for
+the band, so that no bucket makes all pairs. Two documents near the threshold that meet others only may be missed.
 
 Defined cases: text without words (or null) has fingerprint zero; a null ``doc_id`` takes part but names
 no component while its group has another id; equal rows are each returned; no rows, no result rows.
@@ -217,49 +217,70 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
 #: A band is the hash of ROWS minima; two documents of similarity 0.8 share none of BANDS in 2 of 10 000 cases.
 BANDS, ROWS = 16, 4
+#: Of so many bands a member is also tied to one drawn for the band.
+DRAWN = 6
+
+
+def _node(words: list[bytes]) -> bytes:
+    """Name of a sequence of words."""
+    from hashlib import blake2b
+
+    return blake2b(b" ".join(words), digest_size=16).digest()
 
 
 def _marks(documents: DataFrame, width: int) -> DataFrame:
-    """(doc_id, node, bits, bands, shingles): node names the sequence of words, shingles are distinct hashes."""
+    """(doc_id, node, bits, bands): node names the sequence of words; bits and bands are of its shingles."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from hashlib import blake2b
-
         import xxhash
 
         odd = np.array([xxhash.xxh64_intdigest(str(i), SEED) | 1 for i in range(BANDS * ROWS)], np.uint64)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                nodes, bits, bands, sets = [], [], [], []
-                for text in batch.column("text"):
-                    words = words_of(text.as_py())
-                    hashes = shingle_hashes(words, width)
-                    distinct = np.unique(np.array(hashes, np.uint64))
-                    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-                    for some in np.array_split(distinct, len(distinct) // 4096 + 1):
-                        if len(some):
-                            least = np.minimum(least, (odd[:, None] * some[None, :]).min(axis=1))
-                    rows = least.reshape(BANDS, ROWS)
-                    nodes.append(blake2b(b" ".join(words), digest_size=16).digest())
-                    bits.append(majority(hashes))
-                    bands.append([xxhash.xxh64_intdigest(row.tobytes(), k) - 2**63 for k, row in enumerate(rows)] if hashes else [])
-                    sets.append(distinct.view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(bits, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))],
-                    names=["doc_id", "node", "bits", "bands", "shingles"],
-                )
+        for batch in batches:
+            nodes, bits, bands = [], [], []
+            for text in batch.column("text"):
+                words = words_of(text.as_py())
+                hashes = shingle_hashes(words, width)
+                distinct = np.unique(np.array(hashes, np.uint64))
+                least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+                for some in np.array_split(distinct, len(distinct) // 4096 + 1):
+                    if len(some):
+                        least = np.minimum(least, (odd[:, None] * some[None, :]).min(axis=1))
+                rows = least.reshape(BANDS, ROWS)
+                nodes.append(_node(words))
+                bits.append(majority(hashes))
+                bands.append([xxhash.xxh64_intdigest(row.tobytes(), k) - 2**63 for k, row in enumerate(rows)] if hashes else [])
+            columns = [batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(bits, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "bits", "bands"])
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(each, "doc_id long, node binary, bits long, bands array<long>, shingles array<long>")
+    return rows.mapInArrow(each, "doc_id long, node binary, bits long, bands array<long>")
+
+
+def _shingle_sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, shingles): the distinct shingles, as 32-bit hashes, of the wanted nodes."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = pa.array([_node(words_of(t.as_py())) for t in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([nodes, batch.column("text")], names=["node", "text"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(np.array(shingle_hashes(words_of(t.as_py()), width), np.uint64).astype(np.uint32)).view(np.int32) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int32()))], names=["node", "shingles"])
+
+    texts = documents.select(F.col("text").cast("string")).mapInArrow(named, "node binary, text string")
+    # Copies of a text go before it is read again; of each a task sends one.
+    one = texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    return one.mapInArrow(sets, "node binary, shingles array<int>")
 
 
-def _tied(members: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b: each node of every key of (key, node) with two others, drawn anew for each key."""
-    draw = F.xxhash64("key", "node")
-    ends = members.groupBy("key").agg(F.min_by("node", draw).alias("p"), F.max_by("node", draw).alias("q"), F.count("*").alias("n")).filter("n > 1").select("key", "p", "q")
-    met = members.join(ends, "key").select("node", F.explode(F.array("p", "q")).alias("other")).filter("node <> other")
-    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+def _tied(members: DataFrame, draws: bool = False) -> DataFrame:
+    """Pairs (a, b), a < b: each node of every key of (key, node) with the key's first, or with one drawn anew for each key."""
+    order = F.xxhash64("key", "node") if draws else F.col("node")
+    ends = members.groupBy("key").agg(F.min_by("node", order).alias("p"), F.count("*").alias("n")).filter("n > 1").select("key", "p")
+    met = members.join(ends, "key").filter("node <> p")
+    return met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
 
 
 def similar_documents(documents: DataFrame, width: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -268,15 +289,18 @@ def similar_documents(documents: DataFrame, width: int = SIMILAR_WORDS, similari
     ``component_id`` is the smallest doc_id reachable over found links, null if no id there is known.
     """
     marked = settle(_marks(documents, width), "marked")
-    classes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
+    classes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     classes = settle(classes, "word-classes")
     prints = classes.select(F.col("bits").alias("key"), "node")
     named = prints.groupBy("key").agg(F.min("node").alias("node"))
     near = linked_pairs(settle(named.select(F.col("key").alias("bits")), "distinct-fingerprints"))
     near = near.join(named.select(F.col("key").alias("a"), F.col("node").alias("m")), "a").join(named.select(F.col("key").alias("b"), F.col("node").alias("n")), "b")
-    pairs = _tied(classes.select(F.explode("bands").alias("key"), "node")).union(_tied(prints)).union(near.select(F.least("m", "n"), F.greatest("m", "n")))
+    banded = classes.select(F.explode("bands").alias("key"), "node")
+    drawn = classes.select(F.explode(F.slice("bands", 1, DRAWN)).alias("key"), "node")
+    pairs = _tied(banded).union(_tied(drawn, True)).union(_tied(prints)).union(near.select(F.least("m", "n"), F.greatest("m", "n")))
     pairs = settle(pairs.distinct(), "candidate-pairs")
-    sets = classes.select("node", "shingles")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = settle(_shingle_sets(documents, wanted, width), "shingle-sets")
     both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
     # Sets that differ in size by more than the similarity allows needn't be met.
     sizes = F.least(F.size("s"), F.size("t")) >= similarity * F.greatest(F.size("s"), F.size("t"))
