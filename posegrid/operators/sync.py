@@ -153,12 +153,14 @@ def _cropped(signal: DataFrame, cut: DataFrame, column: str, order: str, key: st
     return signal.join(cut, key).filter(F.col(order) >= F.col(column)).withColumn(order, F.col(order) - F.col(column))
 
 
-def align(reference: DataFrame, target: DataFrame, rate_r: float, rate_t: float, stages=STAGES, max_rmse: float = 0.05, max_lag: int | None = None, key: str = "recording") -> DataFrame:
+def align(reference: DataFrame, target: DataFrame, rate_r: float, rate_t: float, stages=STAGES, max_rmse: float = 0.05, max_lag: int | None = None, key: str = "recording", aligned: bool = False) -> DataFrame:
     """Stages in order, each result kept only if good: (recording, lag, slope, sample_rate, good).
 
     A stage works on the signals cropped by the state before it: a lag above zero cuts the target by
     ``int(lag * sample_rate)`` samples, one below zero the reference by ``int(-lag * rate_r)``, with the
-    sample rate of that state. Regression sets lag, rate and slope, the gap ratio lag and rate. Recordings
+    sample rate of that state. This rule is kept for equal results, though it cuts the side whose pulses
+    already come first and so moves equal edges further apart: a later regression then counts the lag
+    three times. ``aligned`` cuts the other side instead, which brings equal edges together. Regression sets lag, rate and slope, the gap ratio lag and rate. Recordings
     without pulses on either side keep the given rate and a null lag.
     """
     if unknown := [s for s in stages if s not in STAGES]:
@@ -167,11 +169,12 @@ def align(reference: DataFrame, target: DataFrame, rate_r: float, rate_t: float,
         key, F.lit(None).cast("double").alias("lag"), F.lit(1.0).alias("slope"), F.lit(float(rate_t)).alias("sample_rate"), F.lit(False).alias("good")
     )
     er, et = series.rising_edges(reference, keys=(key,)), series.rising_edges(target, keys=(key,))
+    side = -1 if aligned else 1
     for stage in stages:
         lag = F.coalesce("lag", F.lit(0.0))
         cut = state.select(
             key, lag.alias("_lag"), F.col("sample_rate").alias("_state"),
-            F.when(lag > 0, (lag * F.col("sample_rate")).cast("int")).otherwise(0).alias("_cut_t"), F.when(lag < 0, (-lag * rate_r).cast("int")).otherwise(0).alias("_cut_r"),
+            F.greatest(F.lit(0), (side * lag * F.col("sample_rate")).cast("int")).alias("_cut_t"), F.greatest(F.lit(0), (-side * lag * rate_r).cast("int")).alias("_cut_r"),
         )
         none = F.lit(None).cast("double")
         if stage == "crosscorr":

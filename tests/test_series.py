@@ -70,10 +70,55 @@ def test_crosscorr_finds_shift_and_clock(spark):
     slow = spark.createDataFrame([("r", 101 * k) for k in range(1, 9)], "recording string, edge int")
     line = sync.regression_align(edges, slow, 100.0, 100.0, 0.01).first()
     assert line.slope == pytest.approx(1.01) and line.rmse == pytest.approx(0, abs=1e-9) and line.good
-    both = sync.align(ref, late, 100.0, 100.0).first()
+    # The rule of the cut moves equal edges apart, so the regression adds twice the lag; the other side doesn't.
+    assert sync.align(ref, late, 100.0, 100.0).first().lag == pytest.approx(-0.21)
+    both = sync.align(ref, late, 100.0, 100.0, aligned=True).first()
     assert both.good and both.lag == pytest.approx(-0.07) and both.sample_rate == pytest.approx(100)
 
 
+def test_runs_count_the_same_lags_as_samples(spark):
+    """Cross-correlation by runs against all pairs of ones, with plateaus and a bound on the lag."""
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for n in range(12):
+        r, t = (np.repeat(rng.integers(0, 2, 12), rng.integers(1, 9, 12)) for _ in range(2))
+        rows.append((r, t))
+        lags = np.subtract.outer(np.flatnonzero(r), np.flatnonzero(t)).ravel()
+        for most in (None, 5):
+            near = lags if most is None else lags[np.abs(lags) <= most]
+            if len(near):
+                found, counts = np.unique(near, return_counts=True)
+                want[n, most] = min((-c, abs(x - 1), x) for x, c in zip(found.tolist(), counts.tolist()))
+    frame = lambda side: spark.createDataFrame([(n, i, int(v)) for n, pair in enumerate(rows) for i, v in enumerate(pair[side])], "recording int, idx int, on int")
+    for most in (None, 5):
+        got = {r.recording: (-r.corr, abs(r.lag - 1), r.lag) for r in sync.crosscorr_align(frame(0), frame(1), 100.0, most).collect()}
+        assert got == {n: w for (n, m), w in want.items() if m == most}
+
+
+def test_partial_match_and_reports(spark):
+    from posegrid.operators import manifest
+
+    rows = lambda *x: spark.createDataFrame(list(x), "session string, name string, attributes map<string,string>")
+    recordings = rows(("s", "b", {"k": "1"}), ("s", "a", {}), ("t", "c", {"k": "2"}))
+    files = rows(("s", "f2", {"k": "1"}), ("s", "f1", {"k": "1", "z": "0"}), ("t", "f3", {"k": "1"}))
+    assert sorted(map(tuple, manifest.match_ephys_partial(recordings, files).collect())) == [("s", "a", "f1"), ("s", "b", "f2")]
+    matched = manifest.match_calibration(recordings, files)
+    assert [tuple(r) for r in manifest.uncalibrated(recordings, matched).collect()] == [("t", "c")]
+
+
+def test_shuffled_correlation_equals_the_join(spark):
+    from posegrid.operators import spikes
+
+    rng = np.random.default_rng(6)
+    train = spark.createDataFrame([("u", int(m)) for m in np.unique(rng.integers(0, 30_001, 200))], "unit string, ms long")
+    frames = spark.createDataFrame([(i, float(rng.random())) for i in range(3001)], "frame long, v double")
+    shifts = spikes.permutations(spark, 7)
+    got = {(r.perm, r.lag): r.corr for r in spikes.shuffled_xcorr(train, shifts, frames, 30_001, block=3).collect()}
+    moved = spikes.cyclic_shuffle(train, shifts, 30_001).select("unit", "perm", F.expr("ms div 10").alias("frame"))
+    want = {(r.perm, r.lag): r.corr for r in spikes.spike_xcorr(moved, frames, 50, ("unit", "perm")).collect() if r.lag < 50}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
 def test_align_without_pulses_and_with_unknown_stage(spark):
     quiet = signal(spark, [0] * 10, "on")
     found = sync.align(quiet, quiet, 100.0, 50.0).first()
