@@ -176,8 +176,9 @@ def _keyed(distinct: DataFrame) -> DataFrame:
                     put(1, 3 + same, key, r)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sides, kinds, found, of)], names=["side", "kind", "key", "bits"])
 
-    # A settled table of eight bytes a row is few files, and each row becomes a hundred.
-    dealt = distinct.select("bits").repartition(F.col("bits"))
+    # A settled table of eight bytes a row is few files, and each row becomes a hundred; a number keeps Spark from joining small parts again.
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = distinct.select("bits").repartition(parts, "bits")
     return dealt.mapInArrow(keys, "side byte, kind byte, key long, bits long")
 
 
