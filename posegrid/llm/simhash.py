@@ -220,6 +220,8 @@ SIMILAR_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 #: Of so many bands a member is also tied to one drawn for the band.
 DRAWN = 6
+#: Up to so many names of candidates (16 bytes each) are sent to the tasks that read the texts; more are joined by a shuffle.
+SENT_NODES = 500_000
 
 
 def _node(words: list[bytes]) -> bytes:
@@ -258,7 +260,7 @@ def _marks(documents: DataFrame, width: int) -> DataFrame:
 
 
 def _shingle_sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, shingles): the distinct shingles, as 32-bit hashes, of the wanted nodes."""
+    """(node, shingles): the distinct shingles, as 32-bit hashes, of the nodes that ``wanted``, a written table, names."""
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,8 +273,12 @@ def _shingle_sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int32()))], names=["node", "shingles"])
 
     texts = documents.select(F.col("text").cast("string")).mapInArrow(named, "node binary, text string")
-    # Copies of a text go before it is read again; of each a task sends one.
-    one = texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    # Copies of a text go before it is shuffled; of each a task sends one.
+    one = F.first("text").alias("text")
+    if wanted.count() <= SENT_NODES:
+        one = texts.join(F.broadcast(wanted), "node", "left_semi").groupBy("node").agg(one)
+    else:
+        one = texts.groupBy("node").agg(one).join(wanted, "node", "left_semi")
     return one.mapInArrow(sets, "node binary, shingles array<int>")
 
 
@@ -300,7 +306,7 @@ def similar_documents(documents: DataFrame, width: int = SIMILAR_WORDS, similari
     drawn = classes.select(F.explode(F.slice("bands", 1, DRAWN)).alias("key"), "node")
     pairs = _tied(banded).union(_tied(drawn, True)).union(_tied(prints)).union(near.select(F.least("m", "n"), F.greatest("m", "n")))
     pairs = settle(pairs.distinct(), "candidate-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidates")
     sets = settle(_shingle_sets(documents, wanted, width), "shingle-sets")
     both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
     # Sets that differ in size by more than the similarity allows needn't be met.
