@@ -11,7 +11,8 @@ windowed together; they are rendered into one row of the result and so are bound
 
 Defined cases: turns are ordered by turn (null first), role, text, so equal turn numbers have a fixed
 order and repeated rows are turns of their own; a null role or text hashes apart from an empty one and
-renders as empty; rows with a null ``conv_id`` are one conversation; no rows, no result rows.
+renders as empty; a row with a null ``conv_id`` is a conversation of its own, its turn number aside, so such
+rows gather in no task; no rows, no result rows.
 """
 
 from __future__ import annotations
@@ -29,35 +30,43 @@ def _order() -> list[Column]:
     return [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
 
 
+def _hash(which: int, place: Column) -> Column:
+    """One of two hashes of a turn at its place."""
+    return F.xxhash64(F.lit(which), place, F.isnull("role"), F.col("role"), F.isnull("text"), F.col("text"))
+
+
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """(conv_id, place, high, low, length): the rolling hash of every prefix of every conversation."""
+    turns, loose = turns.filter("conv_id is not null"), turns.filter("conv_id is null")
     own = Window.partitionBy("conv_id")
     so_far = own.orderBy(*_order()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = turns.select("conv_id", "turn", "role", "text").withColumn("place", F.row_number().over(own.orderBy(*_order())))
-    content = [F.col("place"), F.isnull("role"), F.col("role"), F.isnull("text"), F.col("text")]
-    placed = placed.withColumn("h", F.xxhash64(F.lit(1), *content)).withColumn("l", F.xxhash64(F.lit(2), *content))
-    return placed.select(
+    placed = placed.withColumn("h", _hash(1, F.col("place"))).withColumn("l", _hash(2, F.col("place")))
+    known = placed.select(
         "conv_id", "place", F.bit_xor("h").over(so_far).alias("high"), F.bit_xor("l").over(so_far).alias("low"), F.count("*").over(own).alias("length")
     )
+    one = F.lit(1)
+    return known.union(loose.select("conv_id", one.alias("place"), _hash(1, one).alias("high"), _hash(2, one).alias("low"), one.cast("long").alias("length")))
 
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, n_copies) of the conversations that prefix no longer one, one of each group of equals."""
+    """(conv_id, n_turns, n_copies, high, low) of the conversations that prefix no longer one, one of each group of equals."""
     hashes = settle(prefix_hashes(turns), "prefix-hashes")
     whole = (
         hashes.filter("place = length").groupBy("length", "high", "low").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
     )
     shorter = hashes.filter("place < length").select(F.col("place").alias("length"), "high", "low").distinct()
-    return whole.join(shorter, ["length", "high", "low"], "left_anti").select("conv_id", F.col("length").alias("n_turns"), "n_copies")
+    return whole.join(shorter, ["length", "high", "low"], "left_anti").select("conv_id", F.col("length").alias("n_turns"), "n_copies", "high", "low")
+
+
+def _shown() -> Column:
+    none = F.lit("")
+    return F.concat(F.lit(OPEN), F.coalesce("role", none), F.lit("\n"), F.coalesce("text", none), F.lit(CLOSE))
 
 
 def render(turns: DataFrame) -> DataFrame:
     """(conv_id, rendered): the turns of every conversation in order, in chat markup."""
-    none = F.lit("")
-    text = F.concat(
-        F.lit(OPEN), F.coalesce("role", none), F.lit("\n"), F.coalesce("text", none), F.lit(CLOSE)
-    )
-    key = F.struct(F.col("turn"), F.col("role"), F.col("text"), text.alias("shown"))
+    key = F.struct(F.col("turn"), F.col("role"), F.col("text"), _shown().alias("shown"))
     ordered = F.sort_array(F.collect_list(key))
     return turns.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda t: t["shown"]), "").alias("rendered"))
 
@@ -65,8 +74,10 @@ def render(turns: DataFrame) -> DataFrame:
 def collapse_and_render(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies, rendered) of every maximal conversation."""
     kept = settle(maximal_conversations(turns), "maximal-conversations")
-    same = F.col("t.conv_id").eqNullSafe(F.col("k.conv_id"))
-    own = turns.alias("t").join(kept.select("conv_id").alias("k"), same, "left_semi")
-    shown = render(own).alias("s")
-    met = F.col("s.conv_id").eqNullSafe(F.col("k.conv_id"))
-    return kept.alias("k").join(shown, met).select("k.conv_id", "n_turns", "n_copies", "rendered")
+    shown = render(turns.join(kept.select("conv_id"), "conv_id", "left_semi"))
+    known = kept.join(shown, "conv_id").select("conv_id", "n_turns", "n_copies", "rendered")
+    # A conversation of one row without an id is found again by its hashes.
+    one, both = F.lit(1), ["high", "low"]
+    loose = turns.filter("conv_id is null").select(_hash(1, one).alias("high"), _hash(2, one).alias("low"), _shown().alias("rendered"))
+    lone = kept.filter("conv_id is null").join(loose.groupBy(*both).agg(F.first("rendered").alias("rendered")), both)
+    return known.union(lone.select("conv_id", "n_turns", "n_copies", "rendered"))

@@ -380,10 +380,15 @@ def test_chat(spark):
         (6, 0, "user", ""),
         (7, None, None, None),
         (7, 1, "user", "z"),
+        *((None, i, "user", "lone") for i in range(3)),  # rows without an id: each its own conversation
+        (None, 0, "user", "a"),  # begins a longer one
+        (None, 0, "user", None),  # equals 5
     ]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, n_turns string")
-    got = {r.conv_id: (r.n_turns, r.n_copies, r.rendered) for r in chat.collapse_and_render(frame).collect()}
-    assert set(got) == {2, 4, 5, 6, 7}
+    found = [(r.conv_id, (r.n_turns, r.n_copies, r.rendered)) for r in chat.collapse_and_render(frame).collect()]
+    got = dict(found)
+    assert len(found) == len(got) and set(got) == {2, 4, 5, 6, 7, None}
+    assert got[None] == (1, 3, "<|im_start|>user\nlone<|im_end|>\n") and got[5][1] == 2
     assert got[2] == (2, 2, "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n")
     assert chat.collapse_and_render(frame.limit(0)).count() == 0
 
