@@ -126,9 +126,51 @@ SELECT page_id, host, path, {_rule_case(lambda kind, of, start: of + start)} AS
 FROM p LEFT JOIN known USING (host)
 """
 
+#: The CRC-32 of a column's ASCII text, bit by bit.
+def _crc32(text: str) -> str:
+    bits = "list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    codes = f"list_transform(string_split({text}, ''), lambda s: ascii(s)::BIGINT)"
+    return f"xor(list_reduce([4294967295::BIGINT] || {codes}, lambda c, b: {bits}), 4294967295)"
+
+
+def _told(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR)::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+
+def _leaf(size: str) -> str:
+    return "sha256(" + " || ".join(_told(c) for c in ("doc_id", "source", "lang", size, "text")) + ")"
+
+
+def _sides(nodes: str, n: str, pos: str, where: str) -> str:
+    """Per leaf its siblings from the bottom up: L or R and the digest, or a dash where a node is alone in its run."""
+    return f"""SELECT p.row, list(CASE WHEN s.h IS NULL THEN '-' WHEN s.i % 2 = 0 THEN 'L' || s.h ELSE 'R' || s.h END ORDER BY lv.level) AS sides
+      FROM p JOIN (SELECT DISTINCT level, {n} FROM {nodes} WHERE n > 1) AS lv ON {where.format("lv")}
+      LEFT JOIN {nodes} AS s ON {where.format("s")} AND s.level = lv.level AND s.i = xor({pos} >> lv.level, 1) GROUP BY p.row"""
+
+
+OP13 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf("n_chars")} AS leaf,
+    CASE WHEN {_crc32("doc_id::VARCHAR")} % 7 = 0 THEN {_leaf("(n_chars + 1)")} END AS other FROM documents),
+p0 AS (SELECT doc_id, lang, leaf, coalesce(other, leaf) AS claim, row_number() OVER () AS row,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n,
+    dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM d),
+t AS (SELECT tree, 0 AS level, pos AS i, leaf AS h, n FROM p0
+    UNION ALL SELECT tree, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY tree, level, i // 2, n),
+u AS (SELECT 0 AS level, tree AS i, h, (SELECT count(DISTINCT tree) FROM p0) AS n FROM t WHERE n = 1
+    UNION ALL SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY level, i // 2, n),
+p AS (SELECT p0.*, t.h AS subroot, u.h AS root FROM p0 JOIN t ON t.tree = p0.tree AND t.n = 1 JOIN u ON u.n = 1),
+low AS ({_sides("t", "tree", "p.pos", "{}.tree = p.tree")}),
+high AS ({_sides("u", "0 AS z", "p.tree", "true")}),
+f AS (SELECT p.*, coalesce(low.sides, []) || coalesce(high.sides, []) AS sides FROM p LEFT JOIN low USING (row) LEFT JOIN high USING (row)),
+g AS (SELECT *, list_reduce([claim] || sides, lambda a, s: sha256(CASE s[1] WHEN 'L' THEN s[2:] || a WHEN 'R' THEN a || s[2:] ELSE a END)) AS folded_root FROM f)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(list_filter(sides, lambda s: s <> '-'), lambda s: s[2:]), '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified FROM g
+"""
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": OP1,
     "op2_chat_formatting": OP2,
     "op5_decontamination": OP5,
     "op9_url_reputation": OP9,
+    "op13_merkle_manifest": OP13,
 }

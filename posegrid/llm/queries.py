@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_rules, packing, phrase_index, secret_scan, simhash, token_counts, token_files, url_reputation, wrappers
-from .shared import read_table
+from . import chat, line_rules, merkle, packing, phrase_index, secret_scan, simhash, token_counts, token_files, url_reputation, wrappers
+from .shared import read_table, settle
 
 
 def tokenizer(name: str) -> str:
@@ -71,6 +71,21 @@ def op10_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_texts(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    key, source, part, size, text = (F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+    tampered = F.crc32(key.cast("string")) % 7 == 0
+    more = size.cast("decimal(20,0)") + 1
+    digests = documents.select(
+        part.cast("string").alias("part"),
+        key.cast("long").alias("id"),
+        merkle.leaf_digest(key, source, part, size, text).alias("leaf"),
+        F.when(tampered & size.isNotNull(), merkle.leaf_digest(key, source, part, more, text)).alias("other"),
+    )
+    leaves = settle(digests, "leaves").select("part", "id", "leaf", F.coalesce("other", "leaf").alias("claim"))
+    return merkle.manifest(leaves).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +99,7 @@ QUERIES = {
         op8_secret_scan,
         op9_url_reputation,
         op10_html_wrappers,
+        op13_merkle_manifest,
     )
 }
 
