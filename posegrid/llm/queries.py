@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_rules, merkle, packing, phrase_index, secret_scan, simhash, token_counts, token_files, url_reputation, wrappers
+from . import chat, line_rules, merkle, packing, phrase_index, repair, secret_scan, simhash, token_counts, token_files, url_reputation, wrappers
 from .shared import read_table, settle
 
 
@@ -71,6 +71,10 @@ def op10_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_texts(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(repair.damaged(read_table(spark, sf_dir, "conversations")))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     key, source, part, size, text = (F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
@@ -99,6 +103,7 @@ QUERIES = {
         op8_secret_scan,
         op9_url_reputation,
         op10_html_wrappers,
+        op11_structure_repair,
         op13_merkle_manifest,
     )
 }
