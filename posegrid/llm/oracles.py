@@ -167,10 +167,18 @@ SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(list_f
   folded_root, folded_root = root AS verified FROM g
 """
 
+OP12 = """
+WITH v AS (SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.row, a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.row <> b.row)
+SELECT query_id, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 5
+"""
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": OP1,
     "op2_chat_formatting": OP2,
     "op5_decontamination": OP5,
     "op9_url_reputation": OP9,
+    "op12_top_vectors": OP12,
     "op13_merkle_manifest": OP13,
 }

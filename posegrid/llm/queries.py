@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_rules, merkle, packing, phrase_index, repair, secret_scan, simhash, token_counts, token_files, url_reputation, wrappers
+from . import chat, line_rules, merkle, packing, phrase_index, pivot_index, repair, secret_scan, simhash, token_counts, token_files, url_reputation, wrappers
 from .shared import read_table, settle
 
 
@@ -75,6 +75,10 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_report(repair.damaged(read_table(spark, sf_dir, "conversations")))
 
 
+def op12_top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     key, source, part, size, text = (F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
@@ -104,6 +108,7 @@ QUERIES = {
         op9_url_reputation,
         op10_html_wrappers,
         op11_structure_repair,
+        op12_top_vectors,
         op13_merkle_manifest,
     )
 }
