@@ -25,6 +25,7 @@ GROUPS = {
     "ear(right)": ("ear(base)(right)", "ear(top)(right)", "ear(tip)(right)", "ear(bottom)(right)"),
 }
 
+# The names of the measurements, of both sides and of one.
 _SIDED = {
     "eye-height-{}-mm": lambda p: g.dist(p("eye(top)({})"), p("eye(bottom)({})")),
     "eye-width-{}-mm": lambda p: g.dist(p("eye(front)({})"), p("eye(back)({})")),
@@ -64,16 +65,23 @@ def missing_keypoints(poses: DataFrame) -> list[str]:
     return [k for k in KEYPOINTS if f"{k}_x" not in poses.columns]
 
 
+# Units and type of a measurement by the word in its name, the first that fits.
+KINDS = (
+    ("height", "mm", "distance"),
+    ("width", "mm", "distance"),
+    ("angle", "deg", "angle"),
+    ("area", "mm^2", "area"),
+    ("volume", "mm^3", "volume"),
+)
+
+
 def units_of(name: Column) -> Column:
-    return F.when(name.endswith("-mm3"), "mm3").when(name.endswith("-mm2"), "mm2").when(name.endswith("-mm"), "mm").when(name.endswith("-deg"), "deg")
+    """Units of a measurement, null for an unknown one."""
+    return F.coalesce(*(F.when(name.contains(word), units) for word, units, _ in KINDS))
 
 
 def kind_of(name: Column) -> Column:
-    kinds = ("height", "width", "angle", "area", "volume")
-    found = F.lit(None).cast("string")
-    for kind in reversed(kinds):
-        found = F.when(name.contains(f"-{kind}-"), kind).otherwise(found)
-    return found
+    return F.coalesce(*(F.when(name.contains(word), kind) for word, _, kind in KINDS), F.lit("unknown"))
 
 
 def long(measured: DataFrame, keys: tuple[str, ...] = ("recording", "frame")) -> DataFrame:

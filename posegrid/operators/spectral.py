@@ -1,4 +1,4 @@
-"""Filters and spectra of sampled signals."""
+"""Spectra of sampled signals."""
 
 from __future__ import annotations
 
@@ -7,30 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sos_filter(df: DataFrame, sections: list[list[float]], key: str = "recording") -> DataFrame:
-    """Second-order sections (b0, b1, b2, a0, a1, a2), one after the other, over each signal (idx, v).
-
-    The recursion needs a signal in order, so a signal is one group; signals are of telemetry rate, some
-    millions of samples.
-    """
-
-    def each(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("idx")
-        x = group["v"].to_numpy(dtype=float).tolist()
-        for b0, b1, b2, a0, a1, a2 in sections:
-            b0, b1, b2, a1, a2 = b0 / a0, b1 / a0, b2 / a0, a1 / a0, a2 / a0
-            z1 = z2 = 0.0
-            for i, value in enumerate(x):
-                y = b0 * value + z1
-                z1 = b1 * value - a1 * y + z2
-                z2 = b2 * value - a2 * y
-                x[i] = y
-        return pd.DataFrame({key: group[key], "idx": group["idx"], "v": x})
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, F.col("idx").cast("long"), F.col("v").cast("double")).groupBy(key).applyInPandas(each, f"{key} {kind}, idx long, v double")
-
-
 def tukey(n: int, share: float = 0.25):
     """Periodic Tukey window."""
     import numpy as np

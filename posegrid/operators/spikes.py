@@ -28,12 +28,15 @@ def sampled_spikes(spikes: DataFrame, keep: int, keys=("unit",), seed: int = 0)
     return spikes.withColumn("_n", number).filter(F.col("_n") <= keep).drop("_n")
 
 
-def firing_rate(spikes: DataFrame, bin_us: int = 10_000) -> DataFrame:
-    """Spikes per second in every bin of each unit up to the last spike of all; empty bins are zero."""
-    counted = spikes.groupBy("unit", F.floor(F.col("t_us") / bin_us).cast("long").alias("bin")).agg(F.count("*").alias("n"))
-    bins = counted.agg(F.max("bin").alias("last"))
-    spine = counted.select("unit").distinct().join(F.broadcast(bins)).select("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("bin"))
-    return spine.join(counted, ["unit", "bin"], "left").select("unit", "bin", (F.coalesce("n", F.lit(0)) * (1e6 / bin_us)).alias("rate"))
+def firing_rate(spikes: DataFrame, bin_us: int = 10_000, session=()) -> DataFrame:
+    """Spikes per second in every bin of each unit up to the last spike of its session; empty bins are zero."""
+    keys = [*session, "unit"]
+    counted = spikes.groupBy(*keys, F.floor(F.col("t_us") / bin_us).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    bins = counted.groupBy(*session).agg(F.max("bin").alias("last"))
+    units = counted.select(*keys).distinct()
+    spine = units.join(bins, list(session)) if session else units.join(F.broadcast(bins))
+    spine = spine.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("bin"))
+    return spine.join(counted, [*keys, "bin"], "left").select(*keys, "bin", (F.coalesce("n", F.lit(0)) * (1e6 / bin_us)).alias("rate"))
 
 
 def spike_train(spikes: DataFrame) -> DataFrame:
@@ -58,56 +61,27 @@ def cyclic_shuffle(train: DataFrame, shifts: DataFrame, length_ms: int) -> DataF
     return train.join(F.broadcast(shifts)).select("unit", "perm", F.pmod(F.col("ms") + F.col("shift"), F.lit(length_ms)).alias("ms"))
 
 
-def tuning_curve(spike_frames: DataFrame, frames: DataFrame, bins: int = 20, fps: int = 100, keys=("unit",)) -> DataFrame:
+def tuning_curve(spike_frames: DataFrame, frames: DataFrame, bins: int = 20, fps: int = 100, keys=("unit",), session=()) -> DataFrame:
     """Rate per bin of a movement value: spikes in the bin's frames over the time spent in it.
 
-    ``spike_frames`` has keys and frame, ``frames`` frame and bin.
+    ``spike_frames`` has session, keys and frame, ``frames`` session, frame and bin.
     """
-    time = frames.groupBy("bin").agg((F.count("*") / fps).alias("seconds"))
-    hits = spike_frames.join(frames.select("frame", "bin"), "frame").groupBy(*keys, "bin").agg(F.count("*").alias("spikes"))
-    grid = spike_frames.select(*keys).distinct().join(F.broadcast(time))  # bins are few and fixed
-    found = grid.join(hits, [*keys, "bin"], "left").withColumn("spikes", F.coalesce("spikes", F.lit(0)))
-    return found.select(*keys, "bin", "spikes", "seconds", F.coalesce(F.try_divide("spikes", "seconds"), F.lit(0.0)).alias("rate"))
+    on = list(session)
+    time = frames.groupBy(*on, "bin").agg((F.count("*") / fps).alias("seconds"))
+    hits = spike_frames.join(frames.select(*on, "frame", "bin"), [*on, "frame"]).groupBy(*on, *keys, "bin").agg(F.count("*").alias("spikes"))
+    units = spike_frames.select(*on, *keys).distinct()
+    grid = units.join(time, on) if on else units.join(F.broadcast(time))  # bins are few and fixed
+    found = grid.join(hits, [*on, *keys, "bin"], "left").withColumn("spikes", F.coalesce("spikes", F.lit(0)))
+    return found.select(*on, *keys, "bin", "spikes", "seconds", F.coalesce(F.try_divide("spikes", "seconds"), F.lit(0.0)).alias("rate"))
 
 
-def spike_xcorr(spike_frames: DataFrame, frames: DataFrame, max_lag: int, keys=("unit",)) -> DataFrame:
-    """Sum of the movement ``lag`` frames before each spike, for lags of either sign: sum over l of rate[l + lag] * v[l]."""
-    lags = spike_frames.withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag)))).withColumn("frame", F.col("frame") - F.col("lag"))
-    return lags.join(frames, "frame").groupBy(*keys, "lag").agg(F.sum("v").alias("corr"))
-
+def spike_xcorr(spike_frames: DataFrame, frames: DataFrame, max_lag: int, keys=("unit",), session=()) -> DataFrame:
+    """Sum of the movement ``lag`` frames before each spike, for lags of either sign: sum over l of rate[l + lag] * v[l].
 
-def shuffled_xcorr(train: DataFrame, shifts: DataFrame, frames: DataFrame, length_ms: int, lags: tuple[int, int] = (-50, 49), block: int = 50) -> DataFrame:
-    """(unit, perm, lag, corr): ``spike_xcorr`` of every cyclic shift of a train of distinct milliseconds.
-
-    Blocks of permutations of a unit are dealt over the cluster, each with the unit's train; a train is
-    counted in frames and correlated with the movement by Fourier transforms. Movement and shifts are one
-    session long (60 000 frames of 600 s, a thousand shifts) and are sent to every task.
+    A row a spike and lag, for few spikes or lags; ``permutations.spike_xcorr`` takes whole windows by Fourier transforms.
     """
-    import numpy as np
-
-    table = frames.orderBy("frame").select("frame", "v").toPandas()
-    drawn = shifts.orderBy("perm").select("perm", "shift").toPandas()
-    n = int(table["frame"].max()) + 1 if len(table) else 1
-    movement = np.zeros(n)
-    movement[table["frame"].to_numpy()] = table["v"].to_numpy()
-    size = 1 << (n + length_ms // 10 + 1).bit_length()
-    sent = train.sparkSession.sparkContext.broadcast((np.fft.rfft(movement, size).conj(), drawn["perm"].to_numpy(), drawn["shift"].to_numpy()))
-    at = np.arange(lags[0], lags[1] + 1)
-
-    def each(group):
-        import pandas as pd
-
-        moved, perms, by = sent.value
-        some = slice(int(group["part"].iloc[0]) * block, (int(group["part"].iloc[0]) + 1) * block)
-        out = []
-        for perm, shift in zip(perms[some], by[some]):
-            counts = np.bincount((group["ms"].to_numpy() + shift) % length_ms // 10, minlength=1)
-            whole = np.fft.irfft(np.fft.rfft(counts, size) * moved, size)  # at a lag: sum over frames of counts[frame] * v[frame - lag]
-            out.append(pd.DataFrame({"unit": group["unit"].iloc[0], "perm": perm, "lag": at, "corr": whole[at % size]}))
-        return pd.concat(out)
-
-    parts = train.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(0, (len(drawn) - 1) // block)))))
-    return parts.groupBy("unit", "part").applyInPandas(each, f"unit {train.schema['unit'].dataType.simpleString()}, perm long, lag long, corr double")
+    lags = spike_frames.withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag)))).withColumn("frame", F.col("frame") - F.col("lag"))
+    return lags.join(frames, [*session, "frame"]).groupBy(*session, *keys, "lag").agg(F.sum("v").alias("corr"))
 
 
 def xcorr_peaks(xcorr: DataFrame, low: int = -50, high: int = 49, keys=("unit",)) -> DataFrame:
@@ -118,10 +92,9 @@ def xcorr_peaks(xcorr: DataFrame, low: int = -50, high: int = 49, keys=("unit",)
     )
 
 
-def xcorr_significance(xcorr: DataFrame, shuffled: DataFrame, first: int = -10, last: int = 0, share: float = 0.0005, keys=("unit",)) -> DataFrame:
-    """Peaks with the envelope of the shuffled correlations at their lags, and whether each lies outside of it at a lag of ``first`` to ``last``."""
+def xcorr_significance(xcorr: DataFrame, envelope: DataFrame, first: int = -10, last: int = 0, keys=("unit",)) -> DataFrame:
+    """Peaks with the ``envelope`` (keys, lag, low, high) of shuffled correlations at their lags, and whether each lies outside of it at a lag of ``first`` to ``last``."""
     on = list(keys)
-    envelope = shuffled.groupBy(*on, "lag").agg(F.percentile("corr", F.lit(share)).alias("low"), F.percentile("corr", F.lit(1 - share)).alias("high"))
     peaks = xcorr_peaks(xcorr, keys=keys)
     at = lambda n, c: envelope.select(*on, F.col("lag").alias(f"{n}_lag"), F.col(c).alias(f"{n}_bound"))
     both = peaks.join(at("peak", "high"), [*on, "peak_lag"], "left").join(at("trough", "low"), [*on, "trough_lag"], "left")

@@ -201,3 +201,56 @@ def apply_alignment(df: DataFrame, params: DataFrame, key: str = "recording") ->
     """Adds the corrected time idx / rate + lag of every sample."""
     p = params.select(key, "lag", "sample_rate")
     return df.join(p, key).withColumn("time", F.col("idx") / F.col("sample_rate") + F.coalesce("lag", F.lit(0.0))).drop("lag", "sample_rate")
+
+
+def dense_lag_sums(reference: DataFrame, target: DataFrame, max_lag: int | None = None, key: str = "recording", value: str = "on", block: int = 1 << 16) -> DataFrame:
+    """(key, lag, corr): sums over i of reference[i + lag] * target[i] of real signals (idx, value), missing samples zero.
+
+    Signals are cut into blocks. A block of the reference meets the blocks of the target that its lags can
+    reach, each pair is correlated by Fourier transforms, and the sums of all pairs are added by lag. With a bound on the lags the cost
+    goes with the length of the signals, however often they change; without one all pairs of blocks meet. Only
+    lags between two samples that are there have a row.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    far = None if max_lag is None else -(-max_lag // block)
+
+    def packed(df: DataFrame, n: str) -> DataFrame:
+        rows = df.select(key, F.col("idx").cast("long").alias("i"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("x"))
+        cut = rows.withColumn("b", F.floor(F.col("i") / block).cast("long"))
+        return cut.groupBy(key, F.col("b").alias(f"{n}b")).agg(F.collect_list(F.struct((F.col("i") - F.col("b") * block).alias("i"), "x")).alias(n))
+
+    r, t = packed(reference, "r"), packed(target, "t")
+    if far is None:
+        pairs = r.join(t, key)
+    else:
+        pairs = r.withColumn("tb", F.explode(F.sequence(F.col("rb") - far - 1, F.col("rb") + far + 1))).join(t, [key, "tb"])
+    part = lambda n, c: F.transform(n, lambda s: s[c]).alias(n + c)
+    sent = pairs.select(key, (F.col("rb") - F.col("tb")).alias("apart"), *(part(n, c) for n in "rt" for c in "ix"))
+    size = 1 << (2 * block - 1).bit_length()
+
+    def correlate(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ri, rx, ti, tx = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("ri", "rx", "ti", "tx"))
+                found = np.fft.irfft(np.fft.rfft(np.bincount(ri, rx, block), size) * np.fft.rfft(np.bincount(ti, tx, block), size).conj(), size)
+                lags = np.arange(ri.min() - ti.max(), ri.max() - ti.min() + 1)
+                whole = lags + batch.column("apart")[row].as_py() * block
+                near = slice(None) if max_lag is None else np.abs(whole) <= max_lag
+                whole, corr = whole[near], found[lags[near] % size]
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(row, 1).take(pa.array(np.zeros(len(whole), np.int32))), pa.array(whole), pa.array(corr)], names=[key, "lag", "corr"])
+
+    parts = sent.mapInArrow(correlate, f"`{key}` {reference.schema[key].dataType.simpleString()}, lag long, corr double")
+    return parts.groupBy(key, "lag").agg(F.sum("corr").alias("corr"))
+
+
+def dense_crosscorr_align(reference: DataFrame, target: DataFrame, target_rate: float, max_lag: int | None = None, key: str = "recording", binary: bool = True) -> DataFrame:
+    """``crosscorr_align`` for signals that flicker, or of real values: (key, lag, lag_time, corr), with the same rule for ties.
+
+    Sums of binary signals are whole numbers and are rounded to them; those of real ones to nine digits, so that equal peaks tie.
+    """
+    sums = dense_lag_sums(reference, target, max_lag, key)
+    exact = sums.withColumn("corr", F.round("corr").cast("long") if binary else F.round("corr", 9)).filter("corr > 0")
+    best = exact.groupBy(key).agg(F.max(F.struct(F.col("corr"), -F.abs(F.col("lag") - 1), -F.col("lag"))).alias("b"))
+    return best.select(key, (-F.col("b.col3")).alias("lag"), (-F.col("b.col3") / target_rate).alias("lag_time"), F.col("b.corr").alias("corr"))

@@ -116,3 +116,29 @@ def equal_bins(df: DataFrame, bins: int, value: str = "v", keys=("recording",))
     ends = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     share = F.coalesce(F.try_divide(F.col(value) - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
     return df.join(ends, list(keys)).withColumn("bin", F.least(F.floor(share * bins), F.lit(bins - 1)))
+
+
+def frame_at(events: DataFrame, frames: DataFrame, time: str = "t_us", keys=("session",), width: int = 60_000_000) -> DataFrame:
+    """``events`` with ``frame``: the last frame (keys, frame, time) at or before each, on uneven frame times.
+
+    Events before the first frame get the first, those after the last one the last; a key without frames gives null. Both tables
+    are dealt by key and stretches of ``width``; what a stretch lacks at its start comes from one row for each
+    stretch before it, so a long session is many tasks.
+    """
+    keys = list(keys)
+    cut = F.floor(F.col(time) / width).cast("long")
+    at = frames.select(*keys, F.col(time).alias("_t"), F.col("frame").alias("_f"), F.floor(F.col(time) / width).cast("long").alias("_part"))
+    ends = at.groupBy(*keys, "_part").agg(F.max(F.struct("_t", "_f")).getField("_f").alias("_last"), F.min(F.struct("_t", "_f")).getField("_f").alias("_first"))
+    # Stretches of events and of frames together, so that those without a frame are carried over too.
+    parts = events.select(*keys, cut.alias("_part")).distinct().join(ends, [*keys, "_part"], "full")
+    over = Window.partitionBy(*keys).orderBy("_part")
+    carried = parts.select(
+        *keys, "_part", F.last("_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_first", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_least"),
+    )
+    row = F.struct(*events.columns)
+    both = events.select(*keys, F.col(time).alias("_t"), F.lit(None).cast(frames.schema["frame"].dataType).alias("_f"), cut.alias("_part"), F.lit(1).alias("_kind"), row.alias("_row"))
+    both = both.unionByName(at.select("*", F.lit(0).alias("_kind"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row")))
+    so_far = Window.partitionBy(*keys, "_part").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_here", F.last("_f", ignorenulls=True).over(so_far)).filter("_kind = 1").join(carried, [*keys, "_part"])
+    return found.select("_row.*", F.coalesce("_here", "_before", "_least").alias("frame"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from . import aggregates, catalogues, geometry, models, more, series, signals
+    from . import aggregates, catalogues, geometry, models, more, recordings, series, signals
 
-    return [geometry, series, aggregates, signals, catalogues, models, more]
+    return [geometry, series, aggregates, signals, catalogues, models, more, recordings]
 
 
 def queries() -> dict:

@@ -193,9 +193,9 @@ def g17_measurement_summary(spark, sf_dir):
 
 
 G17 = f"""WITH {SQL_LONG}
-SELECT recording, split_part(measurement_name, '-', 1) AS measurement_group, measurement_name, split_part(measurement_name, '-', -1) AS measurement_units,
-  CASE WHEN measurement_name LIKE '%height%' THEN 'height' WHEN measurement_name LIKE '%width%' THEN 'width' WHEN measurement_name LIKE '%angle%' THEN 'angle'
-    WHEN measurement_name LIKE '%area%' THEN 'area' ELSE 'volume' END AS measurement_type,
+SELECT recording, split_part(measurement_name, '-', 1) AS measurement_group, measurement_name,
+  CASE split_part(measurement_name, '-', -1) WHEN 'mm2' THEN 'mm^2' WHEN 'mm3' THEN 'mm^3' ELSE split_part(measurement_name, '-', -1) END AS measurement_units,
+  CASE split_part(measurement_name, '-', -1) WHEN 'mm' THEN 'distance' WHEN 'deg' THEN 'angle' WHEN 'mm2' THEN 'area' ELSE 'volume' END AS measurement_type,
   round(avg(value), 4) AS measurement_value, round(stddev_pop(value), 4) AS std, count(*) AS count
 FROM ml GROUP BY recording, measurement_name"""
 
@@ -316,19 +316,18 @@ SELECT a, b, count(*) AS frames FROM edges JOIN p u ON u.keypoint = a JOIN p v O
 
 
 def g25_triangulate(spark, sf_dir):
-    """Points that were projected into six cameras come back from their pixels."""
-    plain = {k: c | {"distortions": []} for k, c in CAMERAS.items()}
-    cameras = pose.cameras_df(spark, plain)
+    """Points that were projected into six cameras, distortion included, come back from their pixels."""
+    cameras = pose.cameras_df(spark, CAMERAS)
     points = derived.pose_long(spark, sf_dir).select("recording", "frame", "kp", "x", "y", "z")
     seen = pose.project_points(points, cameras).drop("x", "y", "z")
     weak = (F.col("frame") + F.col("kp") + F.length("camera")) % 3 == 0
     scored = seen.withColumn("score", F.when(weak, 0.5).otherwise(0.95))
     found = pose.triangulate(scored, cameras, 0.9, ("recording", "frame", "kp"))
-    return found.select("recording", "frame", "kp", *(F.round(a, 3).alias(a) for a in "xyz"), "ncams")
+    return found.select("recording", "frame", "kp", *(F.round(a, 3).alias(a) for a in "xyz"), "ncams", F.round("error", 3).alias("error"))
 
 
 G25 = f"""WITH {LONG}, n AS (SELECT *, (CASE WHEN (frame + kp + 2) % 3 = 0 THEN 0 ELSE 4 END) + (CASE WHEN (frame + kp + 1) % 3 = 0 THEN 0 ELSE 2 END) AS ncams FROM pose)
-SELECT recording, frame, kp, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, CAST(ncams AS BIGINT) AS ncams FROM n WHERE ncams >= 2"""
+SELECT recording, frame, kp, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, CAST(ncams AS BIGINT) AS ncams, 0.0::DOUBLE AS error FROM n WHERE ncams >= 2"""
 
 
 def g26_reorient(spark, sf_dir):

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from posegrid.functions import measurements as m
-from posegrid.operators import model, paired, series, spectral
+from posegrid.operators import model, paired, recursive, series, spectral
 from posegrid.sources import derived, readers
-from posegrid.sources.scratch import scratch_folder
+from posegrid.sources.scratch import scratch_folder, settled
 
 from .geometry import SQL_MEASUREMENTS
 from .series import POSE, SYNC, S
@@ -33,9 +33,25 @@ def _r(column, digits=4):
 SOS = [[0.00482434, 0.00964869, 0.00482434, 1.0, -1.04859958, 0.29614036], [1.0, 2.0, 1.0, 1.0, -1.32091343, 0.63273879]]
 
 
-@query("d01_sos_filter")
+def _sos_sql(sections):
+    """One step of the recursion: what each section gives, and its two states."""
+    steps, enters = [], "s.v"
+    for i, (b0, b1, b2, a0, a1, a2) in enumerate(sections):
+        b0, b1, b2, a1, a2 = (float(x / a0) for x in (b0, b1, b2, a1, a2))
+        leaves = f"({b0!r} * {enters} + coalesce(p{i}, 0.0))"
+        steps.append((leaves, f"{b1!r} * {enters} - {a1!r} * {leaves} + coalesce(q{i}, 0.0)", f"{b2!r} * {enters} - {a2!r} * {leaves}"))
+        enters = leaves
+    names = ", ".join(f"{p}::DOUBLE AS p{i}, {q}::DOUBLE AS q{i}" for i, (_, p, q) in enumerate(steps))
+    return f"s.recording, s.idx, {steps[-1][0]}::DOUBLE AS v, {names}"
+
+
+@query(
+    "d01_sos_filter",
+    f"""WITH RECURSIVE {S}, f AS (SELECT {_sos_sql(SOS).replace("coalesce(p0, 0.0)", "0.0").replace("coalesce(q0, 0.0)", "0.0").replace("coalesce(p1, 0.0)", "0.0").replace("coalesce(q1, 0.0)", "0.0")} FROM s WHERE idx = 0
+    UNION ALL SELECT {_sos_sql(SOS)} FROM f JOIN s ON s.recording = f.recording AND s.idx = f.idx + 1) SELECT recording, idx::BIGINT AS idx, round(v, 4) AS v FROM f""",
+)
 def _(spark, sf):
-    done = spectral.sos_filter(derived.series(spark, sf), SOS)
+    done = recursive.sos_filter(derived.series(spark, sf), SOS, chunk=1024)
     return done.select("recording", "idx", _r("v").alias("v"))
 
 
@@ -130,30 +146,32 @@ def _(spark, sf):
 
 # ---- regression of time on features
 
-FEATURES = ["mouth-area-mm2", "eye-height-left-mm", "ear-angle-left-deg"]
-SQL_FEATURES = ", ".join(f"({SQL_MEASUREMENTS[f]}) AS f{i}" for i, f in enumerate(FEATURES))
+FEATURES = list(SQL_MEASUREMENTS)
+SHORT = [f"f{i}" for i in range(len(FEATURES))]
+SQUARES = [f"q{i}" for i in range(len(FEATURES))]
+NAMES = [*SHORT, *SQUARES]
+SQL_FEATURES = ", ".join(f"({SQL_MEASUREMENTS[f]}) AS {n}" for n, f in zip(SHORT, FEATURES))
 FRAME_SQL = "f AS (SELECT label AS recording, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS frame, embedding AS e FROM embeddings)"
 D6 = f"""{FRAME_SQL}, w AS (SELECT recording, frame, {SQL_FEATURES} FROM f), o AS (SELECT *, count(*) OVER p AS n, """ + ", ".join(
-    f"avg(f{i}) OVER (PARTITION BY recording ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS s{i}" for i in range(3)
+    f"avg({n}) OVER (PARTITION BY recording ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS s{n}" for n in SHORT
 ) + """ FROM w WINDOW p AS (PARTITION BY recording)), k AS (SELECT * FROM o WHERE frame >= 4 AND frame < n - 4 AND frame % 2 = 0)"""
-D6Z = D6 + ", z AS (SELECT recording, frame, frame / 100.0 AS minutes, " + ", ".join(f"(s{i} - avg(s{i}) OVER p) / stddev_pop(s{i}) OVER p AS z{i}" for i in range(3)) + " FROM k WINDOW p AS (PARTITION BY recording))"
+D6Z = D6 + ", z AS (SELECT recording, frame, frame / 100.0 AS minutes, " + ", ".join(
+    f"(s{n} - avg(s{n}) OVER p) / stddev_pop(s{n}) OVER p AS z{n[1:]}" for n in SHORT
+) + " FROM k WINDOW p AS (PARTITION BY recording))"
 
 
 def _time_features(spark, sf):
-    """Smoothed, strided, z-scored measurements with squares; target: time."""
-    wide = m.measurements(derived.pose_wide(spark, sf)).select("recording", "frame", *(F.col(f"`{f}`").alias(f"f{i}") for i, f in enumerate(FEATURES)))
-    long = wide.unpivot(["recording", "frame"], ["f0", "f1", "f2"], "name", "v").withColumnRenamed("frame", "idx")
+    """All measurements, smoothed, strided and z-scored, with their squares; target: time."""
+    wide = m.measurements(derived.pose_wide(spark, sf)).select("recording", "frame", *(F.col(f"`{f}`").alias(n) for n, f in zip(SHORT, FEATURES)))
+    long = wide.unpivot(["recording", "frame"], SHORT, "name", "v").withColumnRenamed("frame", "idx")
     smooth = series.moving_avg(long, 4, 2, keys=("recording", "name"))
     scored = series.zscore(smooth, "smooth", ("recording", "name"))
-    z = scored.groupBy("recording", "idx").pivot("name", ["f0", "f1", "f2"]).agg(F.first("z"))
-    squares = series.poly_features(z, ["f0", "f1", "f2"], 2, False).toDF("recording", "frame", "f0", "f1", "f2", "one", "a", "b", "c", "q0", "q1", "q2")
-    return squares.select(F.col("recording").alias("session"), "frame", (F.col("frame") / 100.0).alias("minutes"), "f0", "f1", "f2", "q0", "q1", "q2")
-
+    z = scored.groupBy("recording", "idx").pivot("name", SHORT).agg(F.first("z"))
+    squares = series.poly_features(z, SHORT, 2, False).toDF("session", "frame", *SHORT, "one", *(f"same_{n}" for n in SHORT), *SQUARES)
+    return squares.select("session", "frame", (F.col("frame") / 100.0).alias("minutes"), *NAMES)
 
-NAMES = ["f0", "f1", "f2", "q0", "q1", "q2"]
 
-
-@query("d06_time_features", f"WITH {D6Z} SELECT recording AS session, frame, round(minutes, 4) AS minutes, " + ", ".join(f"round(z{i}, 4) AS f{i}, round(z{i} * z{i}, 4) AS q{i}" for i in range(3)) + " FROM z")
+@query("d06_time_features", f"WITH {D6Z} SELECT recording AS session, frame, round(minutes, 4) AS minutes, " + ", ".join(f"round(z{n[1:]}, 4) AS {n}, round(z{n[1:]} * z{n[1:]}, 4) AS q{n[1:]}" for n in SHORT) + " FROM z")
 def _(spark, sf):
     return _time_features(spark, sf).select("session", "frame", *(_r(c).alias(c) for c in ("minutes", *NAMES)))
 
@@ -167,32 +185,42 @@ def _(spark, sf):
     return model.loso_folds(model.holdout_splits(sessions), sessions).select("split", "fold")
 
 
-@query("d08_gram", f"WITH {D6Z} SELECT recording AS session, round(sum(z0 * z1), 3) AS z01, round(sum(z0 * minutes), 3) AS zt, count(*) AS n FROM z GROUP BY 1")
+_COLUMNS = ["1.0::DOUBLE", *(f"z{n[1:]}" for n in SHORT), *(f"z{n[1:]} * z{n[1:]}" for n in SHORT), "minutes::DOUBLE"]
+
+
+@query(
+    "d08_gram",
+    f"""WITH {D6Z}, c AS (SELECT recording, frame, unnest([{", ".join(_COLUMNS)}]) AS x, unnest(range({len(_COLUMNS)})) AS i FROM z)
+    SELECT a.recording AS session, a.i::INTEGER AS i, b.i::INTEGER AS j, round(sum(a.x * b.x), 3) AS total FROM c a JOIN c b ON a.recording = b.recording AND a.frame = b.frame AND a.i <= b.i GROUP BY ALL""",
+)
 def _(spark, sf):
     grams = model.gram(_time_features(spark, sf), NAMES, "minutes")
-    at = lambda i, j: F.get("gram", F.lit(sum(range(8, 8 - i, -1)) + j - i))
-    return grams.select("session", _r(at(1, 2), 3).alias("z01"), _r(at(1, 7), 3).alias("zt"), at(0, 0).cast("long").alias("n"))
+    width = len(NAMES) + 2
+    places = spark.createDataFrame([(k, i, j) for k, (i, j) in enumerate((i, j) for i in range(width) for j in range(i, width))], "at int, i int, j int")
+    entries = grams.select("session", F.posexplode("gram").alias("at", "total")).join(F.broadcast(places), "at")
+    return entries.select("session", "i", "j", (_r("total", 3) + F.lit(0.0)).alias("total"))
 
 
 def _models(spark, sf):
-    rows = _time_features(spark, sf)
+    rows = settled(_time_features(spark, sf), "time-features")
     sessions = rows.select("session").distinct()
     splits = model.holdout_splits(sessions)
     folds = model.loso_folds(splits, sessions)
     alphas = [10 ** (-1 + 3 * i / 99) for i in range(100)]
-    return rows, splits, model.lasso_grid(model.gram(rows, NAMES, "minutes"), folds, len(NAMES), alphas)
+    return splits, model.lasso_grid(model.gram(rows, NAMES, "minutes"), folds, len(NAMES), alphas)
 
 
 @query("d08_lasso_grid")
 def _(spark, sf):
-    return _models(spark, sf)[2].select("split", _r("alpha", 6).alias("alpha"), _r("score").alias("score"), _r("intercept").alias("intercept"))
+    """A proven fit of each split: the gap is within a billionth of the target's variance."""
+    found = _models(spark, sf)[1]
+    return found.select("split", _r("alpha", 6).alias("alpha"), _r("score").alias("score"), _r("intercept").alias("intercept"), _r("gap", 6).alias("gap"))
 
 
 @query("d09_session_scores")
 def _(spark, sf):
-    rows, splits, models = _models(spark, sf)
-    scored = model.score_sessions(model.predict_time(rows, models, NAMES), splits, "minutes")
-    return scored.select("split", "session", "set", _r("rmse").alias("rmse"))
+    splits, models = _models(spark, sf)
+    return model.session_scores(models, splits).select("split", "session", "set", _r("rmse").alias("rmse"))
 
 
 # ---- tests

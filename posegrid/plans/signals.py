@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from posegrid.operators import series, spikes, sync, tables
+from posegrid.operators import permutations, series, spikes, sync, tables
 from posegrid.sources import derived
 
 from .aggregates import BINS, MOVE
@@ -264,9 +264,42 @@ def _(spark, sf):
 )
 def _(spark, sf):
     train = spikes.spike_train(derived.spikes(spark, sf))
-    shuffled = spikes.cyclic_shuffle(train, spikes.permutations(spark, SHUFFLES), 600_001).select("unit", "perm", F.expr("ms div 10").alias("frame"))
-    curves = spikes.tuning_curve(shuffled, _binned_movement(spark, sf), keys=("unit", "perm"))
-    return curves.groupBy("unit", "bin").agg(_r(F.percentile("rate", F.lit(0.025))).alias("low"), _r(F.percentile("rate", F.lit(0.975))).alias("high"))
+    found = permutations.tuning_envelope(train, _binned_movement(spark, sf), 600_001, SHUFFLES)
+    return found.select("unit", "bin", _r("low").alias("low"), _r("high").alias("high"))
+
+
+def _by_session(df):
+    """Spikes dealt to three sessions by their millisecond; two of these have movements."""
+    return df.withColumn("session", F.concat(F.lit("s"), F.expr("ms % 3").cast("string")))
+
+
+def _session_moves(spark, sf):
+    """Two features of two sessions, of different length."""
+    moves = derived.movement(spark, sf).select("frame", "v", F.explode(F.array(F.lit("s0"), F.lit("s1"))).alias("session"))
+    moves = moves.filter("session = 's0' or frame % 5 < 4").select("session", "frame", F.explode(F.array(F.lit("fast"), F.lit("slow"))).alias("feature"), "v")
+    return moves.withColumn("v", F.when(F.col("feature") == "slow", F.pmod(F.expr("frame div 50"), F.lit(40)) / 40.0).otherwise(F.col("v")))
+
+
+SESSIONS = f"""{MOVE}, tr AS (SELECT DISTINCT unit, t_us // 1000 AS ms FROM sp), tq AS (SELECT 's' || (ms % 3) AS session, unit, ms FROM tr),
+ mf AS (SELECT session, feature, frame, CASE feature WHEN 'slow' THEN ((frame // 50) % 40) / 40.0 ELSE v END::DOUBLE AS v
+   FROM mv, (VALUES ('s0'), ('s1')) AS a(session), (VALUES ('fast'), ('slow')) AS b(feature) WHERE session = 's0' OR frame % 5 < 4)"""
+
+
+@query(
+    "t05_session_envelopes",
+    f"""WITH {SESSIONS}, pm AS (SELECT id AS perm, CASE WHEN d < 45000 THEN d + 15000 ELSE d - 105000 END AS shift FROM (SELECT id, ('0x' || substr(md5('7:' || id), 1, 12))::BIGINT % 90000 AS d FROM (SELECT unnest(range(200)) AS id))),
+    mb AS (SELECT session, feature, frame, least(CAST(floor(v / max(v) OVER (PARTITION BY session, feature) * 20) AS INTEGER), 19) AS bin FROM mf), tb AS (SELECT session, feature, bin, count(*) / 100.0 AS seconds FROM mb GROUP BY ALL),
+    sh AS (SELECT session, unit, perm, ((ms + shift) % 600001 + 600001) % 600001 // 10 AS frame FROM tq, pm), h AS (SELECT session, feature, unit, perm, bin, count(*) AS n FROM sh JOIN mb USING (session, frame) GROUP BY ALL),
+    g AS (SELECT u.session, unit, feature, perm, bin, seconds FROM (SELECT DISTINCT session, unit FROM tq) u JOIN tb USING (session), (SELECT perm FROM pm)),
+    c AS (SELECT session, unit, feature, bin, perm, coalesce(n, 0) / seconds AS rate FROM g LEFT JOIN h USING (session, unit, feature, perm, bin))
+    SELECT session, unit, feature, bin, round(quantile_cont(rate, 0.025), 4) AS low, round(quantile_cont(rate, 0.975), 4) AS high FROM c GROUP BY ALL""",
+)
+def _(spark, sf):
+    """Envelopes of 200 shuffles for every unit and feature of every session that has movements."""
+    train = _by_session(spikes.spike_train(derived.spikes(spark, sf)))
+    bins = tables.equal_bins(_session_moves(spark, sf), 20, "v", ("session", "feature"))
+    found = permutations.tuning_envelope(train, bins, 600_001, 200, 7, session=["session"], feature=["feature"])
+    return found.select("session", "unit", "feature", "bin", _r("low").alias("low"), _r("high").alias("high"))
 
 
 XC = f"""{MOVE}, fr AS (SELECT unit, t_us // 10000 AS frame FROM sp), lg AS (SELECT unnest(range(-500, 500)) AS lag),
@@ -275,8 +308,8 @@ BACKGROUND = "lag BETWEEN -500 AND -201 OR lag >= 200"
 
 
 def _xcorr(spark, sf):
-    framed = derived.spikes(spark, sf).select("unit", tables.frame_of(F.col("t_us")).alias("frame"))
-    return spikes.spike_xcorr(framed, derived.movement(spark, sf), 500).filter("lag < 500")
+    train = derived.spikes(spark, sf).select("unit", F.expr("t_us div 1000").alias("ms"))
+    return permutations.spike_xcorr(train, derived.movement(spark, sf), 600_010)
 
 
 @query("t06_spike_xcorr", f"WITH {XC}, bg AS (SELECT unit, avg(corr) AS b FROM xc WHERE {BACKGROUND} GROUP BY 1) SELECT unit, lag, round(corr - b, 4) AS corr FROM xc JOIN bg USING (unit)")
@@ -298,5 +331,17 @@ def _(spark, sf):
 def _(spark, sf):
     """Peaks outside of the envelope of a thousand shuffles, at lags of -0.1 s to 0."""
     train = spikes.spike_train(derived.spikes(spark, sf))
-    shuffled = spikes.shuffled_xcorr(train, spikes.permutations(spark, SHUFFLES), derived.movement(spark, sf), 600_001)
-    return spikes.xcorr_significance(_xcorr(spark, sf).withColumn("corr", _r("corr")), shuffled.withColumn("corr", _r("corr")))
+    envelope = permutations.xcorr_envelope(train, derived.movement(spark, sf), 600_001, SHUFFLES)
+    return spikes.xcorr_significance(_xcorr(spark, sf).withColumn("corr", _r("corr")), envelope)
+
+
+@query(
+    "t07_session_peaks",
+    f"""WITH {SESSIONS}, lg AS (SELECT unnest(range(-50, 50)) AS lag), xc AS (SELECT session, unit, feature, lag, round(sum(v), 4) AS corr FROM (SELECT session, unit, ms // 10 - lag AS frame, lag FROM tq, lg) q JOIN mf USING (session, frame) GROUP BY ALL)
+    SELECT session, unit, feature, arg_max(lag, [corr, -lag]) AS peak_lag, max(corr) AS peak, arg_min(lag, [corr, lag]) AS trough_lag, min(corr) AS trough FROM xc GROUP BY ALL""",
+)
+def _(spark, sf):
+    """Peaks of every unit and feature of every session, each against the movements of its own session."""
+    train = _by_session(spikes.spike_train(derived.spikes(spark, sf)))
+    found = permutations.spike_xcorr(train, _session_moves(spark, sf), 600_010, (-50, 49), ["session"], feature=["feature"])
+    return spikes.xcorr_peaks(found.withColumn("corr", _r("corr")), keys=("session", "unit", "feature"))

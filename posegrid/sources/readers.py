@@ -121,29 +121,6 @@ def unit_table(units: DataFrame, session: str) -> DataFrame:
     return units.filter(F.col("session") == session).select("depth", F.expr("substring(name, 12)").alias("name")).orderBy("depth", "name")
 
 
-def read_ephys(spark: SparkSession, path: str, n_channels: int, block: int = 30_000, channels: list[int] | None = None) -> DataFrame:
-    """Raw float32 samples, interleaved by sample: channel, sample, v.
-
-    The file is read by Spark as fixed-length binary records of a block of samples, so a recording is as
-    many tasks as it has splits, wherever it is stored; only the channels asked for are unpacked. The
-    last part of a file that fills no block is given by a record length of one sample (``block=1``).
-    """
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        wanted = list(range(n_channels)) if channels is None else channels
-        for batch in batches:
-            for at, data in zip(batch.column("at").to_pylist(), batch.column("data").to_pylist()):
-                values = np.frombuffer(data, "<f4").reshape(-1, n_channels)
-                n = len(values)
-                for c in wanted:
-                    yield pa.RecordBatch.from_arrays([pa.array([c] * n, pa.int32()), pa.array(np.arange(at * block, at * block + n)), pa.array(values[:, c])], names=["channel", "sample", "v"])
-
-    records = spark.sparkContext.binaryRecords(path, block * n_channels * 4).zipWithIndex().map(lambda x: (x[1], bytearray(x[0])))
-    return spark.createDataFrame(records, "at long, data binary").mapInArrow(unpack, "channel int, sample long, v float")
-
-
 def select_signals(df: DataFrame, kind: str, n_channels: int) -> DataFrame:
     """Channels by class: all but the last six are primary, then two auxiliary, two digital in, two digital out."""
     ends = {"primary": (0, n_channels - 6), "aux": (n_channels - 6, n_channels - 4), "digital_in": (n_channels - 4, n_channels - 2), "digital_out": (n_channels - 2, n_channels)}

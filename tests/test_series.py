@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from posegrid.operators import jitter, model, paired, series, spectral, spikes, sync, tables
+from posegrid.operators import jitter, model, paired, recursive, series, spectral, spikes, sync, tables
 
 
 def signal(spark, values, name="v", key="r"):
@@ -106,17 +106,40 @@ def test_partial_match_and_reports(spark):
     assert [tuple(r) for r in manifest.uncalibrated(recordings, matched).collect()] == [("t", "c")]
 
 
-def test_shuffled_correlation_equals_the_join(spark):
-    from posegrid.operators import spikes
+def test_shuffled_correlations_equal_the_join_session_by_session(spark):
+    from posegrid.operators import permutations
 
     rng = np.random.default_rng(6)
-    train = spark.createDataFrame([("u", int(m)) for m in np.unique(rng.integers(0, 30_001, 200))], "unit string, ms long")
-    frames = spark.createDataFrame([(i, float(rng.random())) for i in range(3001)], "frame long, v double")
-    shifts = spikes.permutations(spark, 7)
-    got = {(r.perm, r.lag): r.corr for r in spikes.shuffled_xcorr(train, shifts, frames, 30_001, block=3).collect()}
-    moved = spikes.cyclic_shuffle(train, shifts, 30_001).select("unit", "perm", F.expr("ms div 10").alias("frame"))
-    want = {(r.perm, r.lag): r.corr for r in spikes.spike_xcorr(moved, frames, 50, ("unit", "perm")).collect() if r.lag < 50}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    length = 30_001
+    rows = [(s, u, int(m)) for s in ("one", "two") for u in ("a", "b") for m in np.unique(np.concatenate([rng.integers(0, length, 150), [0, 5, length - 1]]))]
+    train = spark.createDataFrame(rows, "session string, unit string, ms long")
+    moves = [(s, f, i, float(rng.random())) for s in ("one", "two") for f in ("x", "y") for i in range(3001 if s == "one" else 2000)]
+    frames = spark.createDataFrame(moves, "session string, feature string, frame long, v double")
+    shifts = permutations.drawn_shifts(9)
+    assert shifts.tolist() == [r.shift for r in spikes.permutations(spark, 9).orderBy("perm").collect()]
+    on = ("session", "unit", "feature")
+    got = {tuple(r)[:4]: (r.low, r.high) for r in permutations.xcorr_envelope(train, frames, length, 9, 0, (-50, 49), 0.1, 9, ["session"], ["unit"], ["feature"]).collect()}
+    shuffled = spikes.cyclic_shuffle(train.withColumn("unit", F.struct("session", "unit")), spikes.permutations(spark, 9), length)
+    moved = shuffled.select("unit.session", "unit.unit", "perm", F.expr("ms div 10").alias("frame"))
+    joined = spikes.spike_xcorr(moved, frames, 50, ("unit", "feature", "perm"), ("session",)).filter("lag < 50").collect()
+    want = {}
+    for r in joined:
+        want.setdefault((r.session, r.unit, r.feature, r.lag), []).append(r.corr)
+    assert got.keys() == want.keys()
+    for key, values in want.items():
+        values += [0.0] * (9 - len(values))
+        assert np.allclose(got[key], np.quantile(values, [0.1, 0.9]), atol=1e-6)
+    # Without a shuffle, and each spike counted: equal times of a unit are two spikes.
+    twice = train.union(train)
+    whole = {(r.session, r.unit, r.feature, r.lag): r.corr for r in permutations.spike_xcorr(twice, frames, 30_010, (-50, 49), ["session"], ["unit"], ["feature"]).collect()}
+    framed = twice.select("session", "unit", F.expr("ms div 10").alias("frame"))
+    for r in spikes.spike_xcorr(framed, frames, 50, ("unit", "feature"), ("session",)).filter("lag < 50").collect():
+        assert abs(whole[r.session, r.unit, r.feature, r.lag] - r.corr) < 1e-6
+    assert permutations.tuning_envelope(train.limit(0), frames.select("session", "frame", F.lit(0).alias("bin")), length, 3, session=["session"]).count() == 0
+    peaks = spikes.xcorr_significance(
+        permutations.spike_xcorr(train, frames, 30_010, session=["session"], feature=["feature"]), permutations.xcorr_envelope(train, frames, length, 9, session=["session"], feature=["feature"]), keys=on
+    )
+    assert peaks.count() == 8
 
 
 def test_align_without_pulses_and_with_unknown_stage(spark):
@@ -157,7 +180,7 @@ def test_sine_is_in_the_delta_band(spark):
 
 def test_filter_passes_steps(spark):
     sections = [[0.2, 0.2, 0.0, 1.0, -0.6, 0.0]]
-    got = column(spectral.sos_filter(signal(spark, [1.0] * 60), sections), "v")
+    got = column(recursive.sos_filter(signal(spark, [1.0] * 60), sections), "v")
     assert got[0] == pytest.approx(0.2) and got[-1] == pytest.approx(1.0)
 
 
@@ -199,8 +222,37 @@ def test_lasso_on_grams_equals_plain_descent(spark):
         # optimality: the gradient of the squared error is within alpha
         rest = train[:, 2] - r.intercept - train[:, :2] @ np.array(r.weights)
         assert np.all(np.abs(train[:, :2].T @ rest / len(train)) <= 0.01 + 1e-6)
-    scored = model.score_sessions(model.predict_time(df, models, ["a", "b"]), splits, "y").collect()
-    assert len(scored) == 16 and all(s.rmse < 0.3 for s in scored) and sum(s.set == "Test" for s in scored) == 4
+        assert 0 <= r.gap <= 1e-8
+    asked = df.join(splits.select("split"))
+    scored = {(s.split, s.session): (s.rmse, s.set) for s in model.score_sessions(model.predict_time(asked, models, ["a", "b"]), splits, "y").collect()}
+    assert len(scored) == 16 and all(rmse < 0.3 for rmse, _ in scored.values()) and sum(kind == "Test" for _, kind in scored.values()) == 4
+    by_gram = {(s.split, s.session): (s.rmse, s.set) for s in model.session_scores(models, splits).collect()}
+    assert by_gram.keys() == scored.keys()
+    for key, (rmse, kind) in scored.items():
+        assert by_gram[key][1] == kind and abs(by_gram[key][0] - rmse) < 1e-9
+
+
+def test_lasso_path_is_proven_at_every_alpha():
+    rng = np.random.default_rng(5)
+    for n, p in ((40, 6), (60, 34), (200, 34)):
+        x = rng.normal(size=(n, p))
+        x[:, 1] = x[:, 0] + 1e-3 * x[:, 1]
+        x[:, p - 1] = x[:, 2]  # a repeated feature
+        y = x[:, 0] - 2 * x[:, 3] + 0.3 * rng.normal(size=n)
+        x, y = x - x.mean(0), y - y.mean()
+        a, b, c = x.T @ x / n, x.T @ y / n, y @ y / n
+        alphas = [10 ** (1 - 4 * i / 99) for i in range(100)]
+        for alpha, w in zip(alphas, model.lasso_path(a, b, alphas)):
+            w, gap = model.proven(a, b, c, alpha, w, 1e-9)
+            assert gap <= 1e-9 * c and np.abs(x.T @ (y - x @ w) / n).max() <= alpha * (1 + 1e-3) + 1e-6
+    with pytest.raises(ArithmeticError):
+        model.proven(a, b, c, 1e-3, np.zeros(p), 1e-15, steps=1)
+
+
+def test_gram_leaves_out_rows_with_missing_values(spark):
+    rows = [("s", 1.0, 2.0), ("s", None, 5.0), ("s", 3.0, 1.0), (None, 2.0, 2.0), ("t", None, 1.0)]
+    found = {r.session: r.gram for r in model.gram(spark.createDataFrame(rows, "session string, a double, y double"), ["a"], "y").collect()}
+    assert found == {"s": [2.0, 4.0, 3.0, 10.0, 5.0, 5.0], None: [1.0, 2.0, 2.0, 4.0, 4.0, 4.0]}
 
 
 def test_jitter_of_a_line(spark):

@@ -39,13 +39,80 @@ def test_alignment_round_trip(spark, tmp_path):
     assert [tuple(r) for r in readers.read_alignment(spark, path).collect()] == [rows[0]]
 
 
-def test_spikes_and_ephys(spark, tmp_path):
+def test_spikes(spark, tmp_path):
     np.save(tmp_path / "cluster12_x.npy", np.array([0.5, 1.5]))
     assert [tuple(r) for r in readers.read_spikes(spark, str(tmp_path)).orderBy("t").collect()] == [(12, 0.5), (12, 1.5)]
-    raw = np.arange(24, dtype="<f4").reshape(8, 3)
-    raw.tofile(tmp_path / "x.dat")
-    got = readers.read_ephys(spark, str(tmp_path / "x.dat"), 3, block=4, channels=[2]).orderBy("sample").collect()
-    assert [(r.channel, r.sample, r.v) for r in got] == [(2, i, float(raw[i, 2])) for i in range(8)]
+
+
+def raw_recording(folder, name, n, channels, first=100, rate=50.0, lost=0):
+    values = np.arange(n * channels, dtype="<f4").reshape(n, channels)
+    values.tofile(folder / f"{name}_data.xdat")
+    np.arange(first, first + n - lost, dtype="<i8").tofile(folder / f"{name}_timestamp.xdat")
+    status = {"samp_freq": rate, "timestamp_range": [first, first + n], "t_range": [first / rate, (first + n) / rate], "signals": {"total": channels}}
+    (folder / f"{name}.xdat.json").write_text(json.dumps({"status": status}))
+    return values
+
+
+def test_raw_recordings(spark, tmp_path, monkeypatch):
+    from posegrid.sources import xdat
+
+    values = {"a": raw_recording(tmp_path, "a", 1003, 5), "b 1": raw_recording(tmp_path, "b 1", 64, 5, 0)}
+    first = {"a": 100, "b 1": 0}
+    want = sorted((k, c, first[k] + i, first[k] + i, (first[k] + i) / 50, float(v[i, c])) for k, v in values.items() for i in range(len(v)) for c in range(5))
+    whole = xdat.read_xdat(spark, str(tmp_path))
+    assert sorted(map(tuple, whole.collect())) == want
+    # Blocks of 100 samples: eleven parts of the first, the last of three samples.
+    cut = spark.read.format("xdat").option("block", 100).load(f"file://{tmp_path}/a")
+    assert cut.rdd.getNumPartitions() == 11 and sorted(map(tuple, cut.collect())) == [w for w in want if w[0] == "a"]
+    some = xdat.read_xdat(spark, f"{tmp_path}/a", 2.5, 3.0, [4, 1])
+    assert sorted(map(tuple, some.collect())) == [w for w in want if w[0] == "a" and 125 <= w[2] < 150 and w[1] in (1, 4)]
+    assert xdat.read_xdat(spark, f"{tmp_path}/a", 3.0, 3.0).count() == 0
+
+
+def test_raw_recordings_filters_narrow_the_read(spark, tmp_path):
+    from posegrid.sources import xdat
+
+    raw_recording(tmp_path, "a", 1000, 3)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        rows = xdat.read_xdat(spark, str(tmp_path)).filter("sample >= 300 and sample < 310 and channel = 2")
+        assert [(r.channel, r.sample) for r in rows.orderBy("sample").collect()] == [(2, s) for s in range(300, 310)]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
+
+    reader = xdat.PushedXdatReader({"path": str(tmp_path)})
+    asked = [GreaterThanOrEqual(("sample",), 300), LessThan(("sample",), 310), EqualTo(("channel",), 2)]
+    assert list(reader.pushFilters(asked)) == asked
+    (part,) = reader.partitions()
+    assert (part.low, part.high, reader.channels) == (200, 211, [2])
+
+
+def test_raw_recordings_that_are_wrong_raise(spark, tmp_path):
+    from posegrid.sources import xdat
+
+    raw_recording(tmp_path, "a", 100, 2)
+    raw_recording(tmp_path, "short", 100, 2, lost=-5)
+    for start, end, said in ((1.0, 3.0, "before"), (2.0, 9.0, "after")):
+        with pytest.raises(Exception, match=said):
+            xdat.read_xdat(spark, f"{tmp_path}/a", start, end).collect()
+    with pytest.raises(Exception, match="no channels"):
+        xdat.read_xdat(spark, f"{tmp_path}/a", channels=[2]).collect()
+    with pytest.raises(Exception, match="metadata"):
+        xdat.read_xdat(spark, f"{tmp_path}/none").collect()
+    with pytest.raises(Exception, match="100 samples of signals, 105 time stamps"):
+        xdat.read_xdat(spark, f"{tmp_path}/short", 2.0, 4.06).collect()
+
+
+def test_raw_recordings_round_trip(spark, tmp_path):
+    from posegrid.sources import xdat
+
+    rows = [(k, i, 7 + i, [float(i), None if i == 2 else -float(i)]) for k in "xyz" for i in range(3, 40)]
+    xdat.write_xdat(spark.createDataFrame(rows, "recording string, sample long, timestamp long, v array<float>"), f"file://{tmp_path}/raw", 10.0, 2)
+    got = {(r.recording, r.channel, r.sample): (r.timestamp, r.v) for r in xdat.read_xdat(spark, f"{tmp_path}/raw").collect()}
+    assert got == {(k, c, i): (7 + i, v[c]) for k, i, _, v in rows for c in (0, 1)}
+    with pytest.raises(Exception, match="does not follow"):
+        xdat.write_xdat(spark.createDataFrame([("q", 0, 0, [1.0]), ("q", 2, 2, [1.0])], "recording string, sample long, timestamp long, v array<float>"), f"file://{tmp_path}/bad", 10.0, 1)
 
 
 def test_cache_table(spark, tmp_path):
