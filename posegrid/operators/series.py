@@ -137,10 +137,29 @@ def lagged_features(df: DataFrame, columns, lags: int, bias: bool = True, initia
 
 
 def avg_rank(df: DataFrame, value: str, keys=()) -> DataFrame:
-    """Rank from one; ties share the mean of their places."""
-    own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ties = F.count("*").over(Window.partitionBy(*keys, value))
-    return df.withColumn("rank", F.rank().over(own.orderBy(value)) + (ties - 1) / 2)
+    """Rank from one; ties share the mean of their places, missing values come first.
+
+    Different values are counted, and the counts before each are summed, in pieces of a range sort where there are no keys: no
+    task holds all rows. The ranks are joined back by key and value.
+    """
+    from posegrid.sources.scratch import settled
+
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    if keys:
+        before = F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+        placed = counts.withColumn("_before", F.coalesce(before, F.lit(0)))
+    else:
+        pieces = settled(counts.repartitionByRange(F.col(value).asc_nulls_first()).withColumn("_piece", F.spark_partition_id()), "pieces")
+        earlier = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+        shifts = pieces.groupBy("_piece").agg(F.sum("_n").alias("_all")).select("_piece", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_shift"))
+        inside = Window.partitionBy("_piece").orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+        known = pieces.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(shifts, "_piece")
+        placed = known.withColumn("_before", F.col("_inside") + F.col("_shift"))
+    named = placed.select(*(F.col(k).alias(f"_of_{k}") for k in [*keys, value]), (F.col("_before") + 1 + (F.col("_n") - 1) / 2).alias("rank"))
+    same = F.lit(True)
+    for k in [*keys, value]:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return df.join(named, same).select(*df.columns, "rank")
 
 
 def poly_features(df: DataFrame, columns, degree: int, interaction: bool = True) -> DataFrame:

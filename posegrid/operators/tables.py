@@ -142,3 +142,92 @@ def frame_at(events: DataFrame, frames: DataFrame, time: str = "t_us", keys=("se
     so_far = Window.partitionBy(*keys, "_part").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_here", F.last("_f", ignorenulls=True).over(so_far)).filter("_kind = 1").join(carried, [*keys, "_part"])
     return found.select("_row.*", F.coalesce("_here", "_before", "_least").alias("frame"))
+
+
+def with_key_columns(df: DataFrame, parts: dict[str, int], words: dict[str, str] | None = None, path: str = "path", separator: str = "_") -> DataFrame:
+    """Key columns from file names: ``parts`` by their number from one, ``words`` as whether the name holds one."""
+    cut = {name: F.split_part(path, F.lit(separator), F.lit(i)) for name, i in parts.items()}
+    return df.withColumns(cut | {name: F.col(path).contains(word) for name, word in (words or {}).items()})
+
+
+def without_names(df: DataFrame, names: list[str], column: str, exact: bool = False) -> DataFrame:
+    """Rows whose name holds none of ``names`` (so '8' drops '48' too), or with ``exact`` is none of them."""
+    if exact:
+        return df.filter(~F.col(column).isin(names))
+    for name in names:
+        df = df.filter(~F.col(column).contains(name))
+    return df
+
+
+def of_keys(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows that have one of the key tuples."""
+    return df.join(keys, keys.columns, "left_semi")
+
+
+def renamed_values(column: Column, names: dict[str, str], otherwise: Column | None = None) -> Column:
+    """A value's other name, or the value itself."""
+    if not names:
+        return column if otherwise is None else otherwise
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    return F.coalesce(table[column], column if otherwise is None else otherwise)
+
+
+def filled(df: DataFrame, grid: DataFrame, values: dict[str, float]) -> DataFrame:
+    """Every row of ``grid``, with the values of ``df`` or their fillings."""
+    keys = grid.columns
+    found = grid.join(df.select(*keys, *values), keys, "left")
+    return found.select(*keys, *(F.coalesce(c, F.lit(v)).alias(c) for c, v in values.items()))
+
+
+def axes_long(df: DataFrame, keys, axes=("x", "y", "z")) -> DataFrame:
+    """A row for each axis of a point."""
+    return df.unpivot(list(keys), list(axes), "axis", "value")
+
+
+def values_wide(df: DataFrame, keys, name: str, names: list[str], values) -> DataFrame:
+    """A row of keys with columns ``name/value``; the names are given, so Spark need not look for them."""
+    rows = df.select(*keys, name, *(F.col(v).alias(f"_{v}") for v in values)).groupBy(*keys).pivot(name, names).agg(*(F.first(f"_{v}").alias(v) for v in values))
+    # Spark names a pivoted column name_value, and by the name alone where there is one value.
+    return rows.toDF(*keys, *(f"{n}/{v}" for n in names for v in values))
+
+
+def exploded(df: DataFrame, keys, arrays) -> DataFrame:
+    """(keys, i, arrays): a row for each place of parallel arrays."""
+    rows = df.select(*keys, F.posexplode(F.arrays_zip(*arrays)).alias("i", "_x"))
+    return rows.select(*keys, F.col("i").cast("long").alias("i"), *(F.col("_x").getField(a).alias(a) for a in arrays))
+
+
+def all_rows(*tables: DataFrame) -> DataFrame:
+    """Rows of all tables by column name; what a table lacks is null."""
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
+def side_rank(name: Column) -> Column:
+    """0 for the left side, 1 for the right, 2 for what has none."""
+    return F.when(name.endswith("(left)"), 0).when(name.endswith("(right)"), 1).otherwise(2)
+
+
+def numeric_text(text: Column) -> Column:
+    """The first number in a text, or null."""
+    return F.regexp_extract(text, r"[0-9.]+", 0).try_cast("double")
+
+
+def condition_origin(df: DataFrame, ends: Column, zeros: int, key: str = "recording", order: str = "idx", value: str = "v") -> DataFrame:
+    """(key, t, value): series that ``ends`` holds for stop at time zero, the others start ``zeros`` steps later; in between all are zero."""
+    first = df.filter(ends)
+    length = first.groupBy(key).agg((F.max(order) + 1).alias("_n"))
+    before = first.join(length, key).select(key, (F.col(order) - F.col("_n")).cast("long").alias("t"), value)
+    after = df.filter(~ends).select(key, (F.col(order) + zeros).cast("long").alias("t"), value)
+    steps = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(zeros - 1).cast("long")))
+    quiet = df.select(key).distinct().select(key, steps.alias("t"), F.lit(0.0).alias(value))
+    return before.unionByName(after).unionByName(quiet)
+
+
+def common_origin(df: DataFrame, starts: Column, length: int, key: str = "recording", order: str = "idx") -> DataFrame:
+    """``df`` from each series' first row that ``starts`` holds for, ``length`` steps at most, with the time ``t`` since then."""
+    origin = df.filter(starts).groupBy(key).agg(F.min(order).alias("_o"))
+    since = F.col(order) - F.col("_o")
+    return df.join(origin, key).withColumn("t", since).filter((F.col("t") >= 0) & (F.col("t") < length)).drop("_o")

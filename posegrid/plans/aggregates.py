@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from posegrid.functions import measurements as m
-from posegrid.operators import jitter, series, tables
+from posegrid.operators import jitter, series, summaries, tables
 from posegrid.sources import derived
 
 from .geometry import SQL_LONG
@@ -155,13 +155,13 @@ def _(spark, sf):
 @query(
     "d12_clean_measurements",
     f"""WITH {SQL_LONG}, {ART.replace("f AS", "f_ AS", 1).replace("FROM f,", "FROM f_,")},
-    sel AS (SELECT * FROM ml WHERE measurement_name IN ('mouth-area-mm2', 'eye-height-left-mm')),
+    sel AS (SELECT * FROM ml),
     fl AS (SELECT s.*, art.frame IS NOT NULL AS b FROM sel s LEFT JOIN art USING (recording, measurement_name, frame)),
     src AS (SELECT recording || '/' || measurement_name AS recording, frame AS idx, CASE WHEN max(CAST(b AS INTEGER)) OVER (PARTITION BY recording, measurement_name ORDER BY frame ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) = 0 THEN value END AS v FROM fl),
     {INTERPOLATED}""",
 )
 def _(spark, sf):
-    long = m.long(m.measurements(derived.pose_wide(spark, sf))).filter(F.col("measurement_name").isin("mouth-area-mm2", "eye-height-left-mm"))
+    long = m.long(m.measurements(derived.pose_wide(spark, sf)))
     done = jitter.clean_measurements(long, _artefacts(spark, sf), 2)
     return done.select(F.concat(F.col("recording").cast("string"), F.lit("/"), "measurement_name").alias("recording"), F.col("frame").alias("idx"), _r("value").alias("v"))
 
@@ -238,7 +238,8 @@ def _(spark, sf):
 
 @query("a05_region_means", f"WITH {POST} SELECT view, kp // 9 AS region, round(avg(x), 4) AS mean_x FROM pre GROUP BY ALL")
 def _(spark, sf):
-    return _pre_post(spark, sf)[0].groupBy("view", F.floor(F.col("kp") / 9).cast("int").alias("region")).agg(_r(F.avg("x")).alias("mean_x"))
+    pre = _pre_post(spark, sf)[0].withColumn("region", F.floor(F.col("kp") / 9).cast("int"))
+    return summaries.group_means(pre, ["view", "region"], "x").select("view", "region", _r("mean").alias("mean_x"))
 
 
 @query(
@@ -248,27 +249,24 @@ def _(spark, sf):
 )
 def _(spark, sf):
     pre, post = _pre_post(spark, sf)
-    common = pre.filter("kp < 10").select("view").intersect(post.filter("kp > 23").select("view"))
-    names = F.array(*map(F.lit, m.KEYPOINTS))
-    region = F.split_part(tables.region_of(F.get(names, "kp")), F.lit("("), F.lit(1))
-    means = pre.join(common, "view", "left_semi").groupBy("view", "kp").agg(F.avg("x").alias("a"))
-    return means.groupBy(region.alias("region")).agg(_r(F.avg("a")).alias("mean_x"))
+    common = summaries.common_views(pre.filter("kp < 10"), post.filter("kp > 23"))
+    region = tables.region_of(F.get(F.array(*map(F.lit, m.KEYPOINTS)), "kp"))
+    return summaries.common_view_means(pre, common, region).select("region", _r("mean").alias("mean_x"))
 
 
 @query("a07_mean_trace", f"WITH {S} SELECT idx, count(*) AS n, round(avg(v), 4) AS mean_v FROM s GROUP BY idx")
 def _(spark, sf):
-    return derived.series(spark, sf).groupBy("idx").agg(F.count("*").alias("n"), _r(F.avg("v")).alias("mean_v"))
+    return summaries.mean_trace(derived.series(spark, sf)).select("idx", "n", _r("mean").alias("mean_v"))
 
 
 @query("a08_thresholds", f"WITH {POSE} SELECT recording, kp, round(stddev_pop(x), 4) AS std FROM pose GROUP BY ALL HAVING stddev_pop(x) > 12.5")
 def _(spark, sf):
-    std = derived.pose_long(spark, sf).groupBy("recording", "kp").agg(F.stddev_pop("x").alias("std"))
-    return std.filter("std > 12.5").select("recording", "kp", _r("std").alias("std"))
+    return summaries.groups_above(derived.pose_long(spark, sf), 12.5, "x", ["recording", "kp"]).select("recording", "kp", _r("std").alias("std"))
 
 
 @query("a09_mean_std", f"WITH {S} SELECT recording, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, count(*) AS n FROM s GROUP BY recording")
 def _(spark, sf):
-    return derived.series(spark, sf).groupBy("recording").agg(_r(F.avg("v")).alias("mean"), _r(F.stddev_samp("v")).alias("std"), F.count("*").alias("n"))
+    return summaries.mean_std(derived.series(spark, sf)).select("recording", _r("mean").alias("mean"), _r("std").alias("std"), "n")
 
 
 @query(
@@ -302,23 +300,23 @@ def _(spark, sf):
 
 @query("a16_mean_per_run", f"WITH {S} SELECT recording, idx % 7 AS run, round(avg(v), 4) AS score FROM s WHERE event_id % 3 = 0 GROUP BY ALL")
 def _(spark, sf):
-    return derived.series(spark, sf).filter("event_id % 3 = 0").groupBy("recording", (F.col("idx") % 7).alias("run")).agg(_r(F.avg("v")).alias("score"))
+    tested = derived.series(spark, sf).filter("event_id % 3 = 0").withColumn("run", F.col("idx") % 7)
+    return summaries.group_means(tested, ["recording", "run"], "v", "score").select("recording", "run", _r("score").alias("score"))
 
 
 @query("a18_extremes", f"WITH {S} SELECT min(v) AS least, max(v) AS most FROM s")
 def _(spark, sf):
-    return derived.series(spark, sf).agg(F.min("v").alias("least"), F.max("v").alias("most"))
+    return summaries.extremes(derived.series(spark, sf))
 
 
 @query("a21_recording_length", f"WITH {S} SELECT recording, max(idx) + 1 AS frames FROM s GROUP BY recording")
 def _(spark, sf):
-    return derived.series(spark, sf).groupBy("recording").agg((F.max("idx") + 1).alias("frames"))
+    return summaries.recording_lengths(derived.series(spark, sf))
 
 
 @query("a22_distinct_groups", f"WITH {SQL_LONG} SELECT split_part(measurement_name, '-', 1) AS grp, count(DISTINCT measurement_name) AS names FROM ml GROUP BY 1")
 def _(spark, sf):
-    long = m.long(m.measurements(derived.pose_wide(spark, sf)))
-    return long.groupBy(F.split_part("measurement_name", F.lit("-"), F.lit(1)).alias("grp")).agg(F.countDistinct("measurement_name").alias("names"))
+    return summaries.measurement_groups(m.long(m.measurements(derived.pose_wide(spark, sf))))
 
 
 @query(
@@ -327,15 +325,12 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = derived.series(spark, sf).withColumn("v", F.col("v") + F.col("idx") * 1e-7)
-    bucket = F.floor(F.col("idx") / 20).cast("int")
-    return df.groupBy("recording", bucket.alias("bucket")).agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.min_by("idx", "v").alias("at_lo"), F.max_by("idx", "v").alias("at_hi")
-    )
+    return summaries.peak_preserving(df, 20)
 
 
 @query("a24_keypoints_per_view", f"WITH {POSE} SELECT kp % 6 AS view, count(DISTINCT kp) AS n, min(kp) AS first FROM pose GROUP BY 1")
 def _(spark, sf):
-    return derived.pose_long(spark, sf).groupBy((F.col("kp") % 6).alias("view")).agg(F.countDistinct("kp").alias("n"), F.min("kp").alias("first"))
+    return summaries.keypoints_present(derived.pose_long(spark, sf).withColumn("view", F.col("kp") % 6), keypoint="kp")
 
 
 @query(
@@ -346,42 +341,34 @@ def _(spark, sf):
 )
 def _(spark, sf):
     pre, post = _pre_post(spark, sf)
-    common = pre.filter("kp < 10").select("view").intersect(post.filter("kp > 23").select("view"))
-    keys = ("tracker", "mouse", "view", "kp", "frame")
-    both = pre.withColumn("tracker", F.lit("pre")).unionByName(post.withColumn("tracker", F.lit("post"))).join(common, "view", "left_semi")
-    from pyspark.sql import Window
-
-    over = Window.partitionBy("tracker", "mouse", "kp").orderBy("frame")
-    step = F.sqrt(sum(((F.col(a) - F.lag(a).over(over)) * (F.col(a) - F.lag(a).over(over)) for a in "y"), (F.col("x") - F.lag("x").over(over)) * (F.col("x") - F.lag("x").over(over)))) * 100
-    sp = both.select(*keys, step.alias("sp"))
-    return sp.groupBy("kp").pivot("tracker", ["pre", "post"]).agg(_r(F.avg("sp"), 3))
+    common = summaries.common_views(pre.filter("kp < 10"), post.filter("kp > 23"))
+    found = summaries.common_view_speed({"pre": pre, "post": post}, common)
+    return found.select("kp", _r("pre", 3).alias("pre"), _r("post", 3).alias("post"))
 
 
 @query("o02_frame_union", f"WITH {POSE} SELECT recording, frame FROM pose WHERE kp = 1 AND x > 5 UNION SELECT recording, frame FROM pose WHERE kp = 2 AND x > 5")
 def _(spark, sf):
     df = derived.pose_long(spark, sf).filter("x > 5")
-    return df.filter("kp = 1").select("recording", "frame").union(df.filter("kp = 2").select("recording", "frame")).distinct()
+    return summaries.frames_of_any(*(df.filter(F.col("kp") == k).select("recording", "frame") for k in (1, 2)))
 
 
 @query("o03_view_intersection", f"WITH {POSE} SELECT recording, frame FROM pose WHERE kp = 1 AND x > 0 INTERSECT SELECT recording, frame FROM pose WHERE kp = 2 AND x > 0")
 def _(spark, sf):
     df = derived.pose_long(spark, sf).filter("x > 0")
-    return df.filter("kp = 1").select("recording", "frame").intersect(df.filter("kp = 2").select("recording", "frame"))
+    return summaries.frames_of_all(*(df.filter(F.col("kp") == k).select("recording", "frame") for k in (1, 2)))
 
 
 @query("o05_difference", f"WITH {POSE} SELECT recording, frame FROM pose WHERE kp = 1 AND x > 0 EXCEPT SELECT recording, frame FROM pose WHERE kp = 2 AND x > 0")
 def _(spark, sf):
     df = derived.pose_long(spark, sf).filter("x > 0")
-    return df.filter("kp = 1").select("recording", "frame").subtract(df.filter("kp = 2").select("recording", "frame"))
+    return summaries.frames_of_first(*(df.filter(F.col("kp") == k).select("recording", "frame") for k in (1, 2)))
 
 
 @query("o06_peak", f"WITH {S} SELECT recording, arg_max(idx, [v, -idx]) AS idx, max(v) AS v FROM s GROUP BY recording")
 def _(spark, sf):
-    best = F.max_by("idx", F.struct("v", -F.col("idx")))
-    return derived.series(spark, sf).groupBy("recording").agg(best.alias("idx"), F.max("v").alias("v"))
+    return summaries.peaks(derived.series(spark, sf))
 
 
 @query("d04_downsample_factor", f"WITH {S} SELECT recording, count(*) AS n, CAST(floor(100 / (count(*) / 600.0)) AS BIGINT) AS factor FROM s GROUP BY recording")
 def _(spark, sf):
-    rate = F.count("*") / 600.0
-    return derived.series(spark, sf).groupBy("recording").agg(F.count("*").alias("n"), F.floor(100 / rate).alias("factor"))
+    return summaries.downsample_factor(derived.series(spark, sf), 600.0)

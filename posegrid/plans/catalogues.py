@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from posegrid.functions import measurements as m
 from posegrid.operators import annotations as ann
-from posegrid.operators import manifest
-from posegrid.sources import derived
+from posegrid.operators import manifest, tables
+from posegrid.sources import derived, readers
 
 from .series import POSE
 
@@ -43,14 +43,14 @@ def _(spark, sf):
 
 @query("s02_key_columns", f"WITH {FILES} SELECT animal, kind = 'awake' AS awake, count(*) AS n FROM p GROUP BY ALL")
 def _(spark, sf):
-    files = derived.files(spark, sf)
-    return files.groupBy(F.split_part("path", F.lit("_"), F.lit(2)).alias("animal"), F.col("path").contains("awake").alias("awake")).agg(F.count("*").alias("n"))
+    files = tables.with_key_columns(derived.files(spark, sf), {"animal": 2}, {"awake": "awake"})
+    return files.groupBy("animal", "awake").agg(F.count("*").alias("n"))
 
 
 @query("s03_skip_inputs", f"WITH {FILES} SELECT path FROM p WHERE date >= '19950101' AND kind <> 'awake' AND NOT contains(path, 'TC')")
 def _(spark, sf):
-    f = F.col("path")
-    return derived.files(spark, sf).filter((F.substring(f, 1, 8) >= "19950101") & ~f.contains("awake") & ~f.contains("TC"))
+    files = tables.with_key_columns(derived.files(spark, sf), {"date": 1})
+    return tables.without_names(files.filter("date >= '19950101'"), ["awake", "TC"], "path").select("path")
 
 
 @query("m03_select_sessions", f"WITH {FILES} SELECT path FROM p WHERE animal = 'B3' OR (animal = 'B7' AND kind = 'anes')")
@@ -225,15 +225,13 @@ def _(spark, sf):
     """Keypoints that a view can see; the list of visible pairs is configuration."""
     seen = [(v, m.KEYPOINTS[k]) for v, ks in (("left", range(11, 15)), ("right", range(15, 19))) for k in ks]
     visible = spark.createDataFrame(seen, "view string, keypoint string")
-    found = derived.pose_long(spark, sf).join(F.broadcast(visible), "keypoint")
+    found = readers.pose2d_long(derived.pose_long(spark, sf), visible)
     return found.select("recording", "frame", "kp", "view", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 @query("s05_normalise_side", f"WITH {POSE} SELECT view, keypoint, count(*) AS n FROM (SELECT CASE WHEN kp % 2 = 0 THEN 'TL' ELSE 'R' END AS view, CASE WHEN kp BETWEEN 11 AND 18 THEN 'eye' || CASE WHEN kp % 2 = 0 THEN '(left)' ELSE '(right)' END ELSE 'other' END AS keypoint FROM pose) GROUP BY ALL")
 def _(spark, sf):
-    from posegrid.sources.readers import normalise_side
-
     rows = derived.pose_long(spark, sf).select(
         F.when(F.col("kp") % 2 == 0, "TL").otherwise("R").alias("view"), F.when(F.col("kp").between(11, 18), "eye").otherwise("other").alias("keypoint")
     )
-    return normalise_side(rows).groupBy("view", "keypoint").agg(F.count("*").alias("n"))
+    return readers.normalise_side(rows).groupBy("view", "keypoint").agg(F.count("*").alias("n"))

@@ -26,11 +26,11 @@ def _r(column, digits=4):
     return F.round(column, digits)
 
 
-@query("s01_pose_csv", f"WITH {POSE} SELECT CAST(recording AS BIGINT) AS recording, CAST(frame AS BIGINT) AS frame, list_extract({list(KEYPOINTS)!r}, kp + 1) AS keypoint, round(x, 3) AS x, round(z, 3) AS z FROM pose WHERE kp < 5")
+@query("s01_pose_csv", f"WITH {POSE} SELECT CAST(recording AS BIGINT) AS recording, CAST(frame AS BIGINT) AS frame, list_extract({list(KEYPOINTS)!r}, kp + 1) AS keypoint, round(x, 3) AS x, round(z, 3) AS z FROM pose")
 def _(spark, sf):
     """Poses written as CSV files, one folder per recording, and read back long by their header."""
     folder = scratch_folder(spark, "pose-csv")
-    names = KEYPOINTS[:5]
+    names = KEYPOINTS
     wide = derived.pose_wide(spark, sf)
     columns = [_r(f"`{n}_{a}`", 3).alias(f"{n}_{a}") for n in names for a in "xyz"]
     wide.select(F.col("recording").alias("of"), "frame", *columns).write.partitionBy("of").option("header", True).csv(folder)

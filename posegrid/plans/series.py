@@ -225,58 +225,57 @@ def _(spark, sf):
 @query("p05_key_tuples", f"WITH {POSE} SELECT recording, frame, kp FROM pose WHERE (recording, kp) IN ((1, 2), (2, 4), (9, 18))")
 def _(spark, sf):
     keys = spark.createDataFrame([(1, 2), (2, 4), (9, 18)], "recording int, kp int")
-    return derived.pose_long(spark, sf).join(keys, ["recording", "kp"], "left_semi").select("recording", "frame", "kp")
+    return t.of_keys(derived.pose_long(spark, sf), keys).select("recording", "frame", "kp")
 
 
 @query("p06_drop_named", f"WITH {SPIKES} SELECT unit, count(*) AS n FROM sp WHERE NOT (contains(unit, 'ar') OR contains(unit, 'c')) GROUP BY unit")
 def _(spark, sf):
-    named = F.col("unit").contains("ar") | F.col("unit").contains("c")
-    return derived.spikes(spark, sf).filter(~named).groupBy("unit").agg(F.count("*").alias("n"))
+    return t.without_names(derived.spikes(spark, sf), ["ar", "c"], "unit").groupBy("unit").agg(F.count("*").alias("n"))
 
 
-@query("p07_rename", f"WITH {POSE} SELECT recording AS mouse, frame, CASE kp WHEN 0 THEN 'nb' WHEN 8 THEN 'lip' ELSE 'kp' || kp END AS landmark FROM pose WHERE kp < 12")
+@query("p07_rename", f"WITH {POSE} SELECT recording AS mouse, frame, CASE kp WHEN 0 THEN 'nb' WHEN 8 THEN 'lip' ELSE 'kp' || kp END AS landmark FROM pose")
 def _(spark, sf):
-    names = F.create_map(*map(F.lit, ("nose(bottom)", "nb", "lowerlip", "lip")))
-    df = derived.pose_long(spark, sf).filter("kp < 12").withColumnsRenamed({"recording": "mouse"})
-    return df.select("mouse", "frame", F.coalesce(names[F.col("keypoint")], F.concat(F.lit("kp"), F.col("kp").cast("string"))).alias("landmark"))
+    df = derived.pose_long(spark, sf).withColumnsRenamed({"recording": "mouse"})
+    landmark = t.renamed_values(F.col("keypoint"), {"nose(bottom)": "nb", "lowerlip": "lip"}, F.concat(F.lit("kp"), F.col("kp").cast("string")))
+    return df.select("mouse", "frame", landmark.alias("landmark"))
 
 
 @query("p08_fill_missing", f"WITH {POSE} SELECT recording, frame, kp, CASE WHEN kp % 4 = 0 THEN 0 ELSE round(x, 4) END AS x FROM pose")
 def _(spark, sf):
     poses = derived.pose_long(spark, sf)
-    grid = poses.select("recording", "frame", "kp")
-    found = grid.join(poses.filter("kp % 4 <> 0").select("recording", "frame", "kp", "x"), ["recording", "frame", "kp"], "left")
-    return found.select("recording", "frame", "kp", _r(F.coalesce("x", F.lit(0.0))).alias("x"))
+    found = t.filled(poses.filter("kp % 4 <> 0"), poses.select("recording", "frame", "kp"), {"x": 0.0})
+    return found.select("recording", "frame", "kp", _r("x").alias("x"))
 
 
 @query("p09_unpivot", f"WITH {POSE} SELECT recording, frame, kp, axis, round(value, 4) AS value FROM (UNPIVOT (SELECT recording, frame, kp, x, y, z FROM pose) ON x, y, z INTO NAME axis VALUE value)")
 def _(spark, sf):
-    long = derived.pose_long(spark, sf).unpivot(["recording", "frame", "kp"], ["x", "y", "z"], "axis", "value")
+    long = t.axes_long(derived.pose_long(spark, sf), ["recording", "frame", "kp"])
     return long.select("recording", "frame", "kp", "axis", _r("value").alias("value"))
 
 
+PIVOTED = range(27)
+
+
 @query(
     "p10_pivot",
-    f"WITH {POSE} SELECT recording, frame, " + ", ".join(f'round(max(CASE WHEN kp = {k} THEN {a} END), 4) AS "k{k}/{a}"' for k in (0, 1, 2) for a in "xy") + " FROM pose GROUP BY recording, frame",
+    f"WITH {POSE} SELECT recording, frame, " + ", ".join(f'round(max(CASE WHEN kp = {k} THEN {a} END), 4) AS "k{k}/{a}"' for k in PIVOTED for a in "xy") + " FROM pose GROUP BY recording, frame",
 )
 def _(spark, sf):
     df = derived.pose_long(spark, sf).select("recording", "frame", F.concat(F.lit("k"), F.col("kp").cast("string")).alias("k"), _r("x").alias("x"), _r("y").alias("y"))
-    wide = df.groupBy("recording", "frame").pivot("k", ["k0", "k1", "k2"]).agg(F.first("x").alias("x"), F.first("y").alias("y"))
-    return wide.toDF(*(c.replace("_", "/") for c in wide.columns))
+    return t.values_wide(df, ["recording", "frame"], "k", [f"k{k}" for k in PIVOTED], ["x", "y"])
 
 
-@query("p11_explode_arrays", "SELECT vec_id, i - 1 AS i, round(embedding[i]::DOUBLE, 5) AS a, round(embedding[i]::DOUBLE * 2, 5) AS b FROM embeddings, unnest(range(1, 65)) AS u(i) WHERE vec_id % 5 = 0")
+@query("p11_explode_arrays", "SELECT vec_id, i - 1 AS i, round(embedding[i]::DOUBLE, 5) AS a, round(embedding[i]::DOUBLE * 2, 5) AS b FROM embeddings, unnest(range(1, 65)) AS u(i)")
 def _(spark, sf):
-    e = derived.table(spark, sf, "embeddings").filter("vec_id % 5 = 0")
+    e = derived.table(spark, sf, "embeddings")
     e = e.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"), F.transform("embedding", lambda x: x.cast("double") * 2).alias("b"))
-    rows = e.select("vec_id", F.posexplode(F.arrays_zip("a", "b")).alias("i", "x"))
-    return rows.select("vec_id", F.col("i").cast("long").alias("i"), _r("x.a", 5).alias("a"), _r("x.b", 5).alias("b"))
+    return t.exploded(e, ["vec_id"], ["a", "b"]).select("vec_id", "i", _r("a", 5).alias("a"), _r("b", 5).alias("b"))
 
 
 @query("p12_union", f"WITH {S} SELECT recording, idx, v, -1 AS event_id FROM s WHERE idx % 2 = 0 UNION ALL SELECT recording, idx, v, event_id FROM s WHERE idx % 2 = 1")
 def _(spark, sf):
     df = derived.series(spark, sf)
-    both = df.filter("idx % 2 = 0").drop("event_id").unionByName(df.filter("idx % 2 = 1"), allowMissingColumns=True)
+    both = t.all_rows(df.filter("idx % 2 = 0").drop("event_id"), df.filter("idx % 2 = 1"))
     return both.select("recording", "idx", "v", F.coalesce("event_id", F.lit(-1)).cast("long").alias("event_id"))
 
 
@@ -313,8 +312,7 @@ def _(spark, sf):
 def _(spark, sf):
     from pyspark.sql import Window
 
-    side = F.when(F.col("keypoint").endswith("(left)"), 0).when(F.col("keypoint").endswith("(right)"), 1).otherwise(2)
-    k = derived.pose_long(spark, sf).select("kp", side.alias("side")).distinct()
+    k = derived.pose_long(spark, sf).select("kp", t.side_rank(F.col("keypoint")).alias("side")).distinct()
     # A row per keypoint of the configuration: one window over all of them.
     return k.select("kp", "side", F.row_number().over(Window.orderBy("side", "kp")).alias("place"))
 
@@ -322,7 +320,7 @@ def _(spark, sf):
 @query("p18_numeric_text", "SELECT event_id, try_cast(regexp_extract(props, '[0-9.]+') AS DOUBLE) AS number, user_id FROM events")
 def _(spark, sf):
     e = derived.table(spark, sf, "events")
-    return e.select("event_id", F.expr("try_cast(regexp_extract(props, '[0-9.]+', 0) as double)").alias("number"), "user_id")
+    return e.select("event_id", t.numeric_text(F.col("props")).alias("number"), "user_id")
 
 
 @query(
@@ -333,13 +331,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Series of one condition end at zero and go on with 30 zeros; the others start after 30 zeros."""
-    df = derived.series(spark, sf)
-    first = df.filter("recording < 'd'")
-    length = first.groupBy("recording").agg((F.max("idx") + 1).alias("n"))
-    before = first.join(length, "recording").select("recording", (F.col("idx") - F.col("n")).cast("long").alias("t"), "v")
-    after = df.filter("recording >= 'd'").select("recording", (F.col("idx") + 30).cast("long").alias("t"), "v")
-    zeros = df.select("recording").distinct().select("recording", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))).alias("t"), F.lit(0.0).alias("v"))
-    return before.unionByName(after).unionByName(zeros)
+    return t.condition_origin(derived.series(spark, sf), F.col("recording") < "d", 30)
 
 
 @query(
@@ -348,8 +340,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = derived.series(spark, sf)
-    origin = df.filter("v > 480").groupBy("recording").agg(F.min("idx").alias("o"))
-    return df.join(origin, "recording").filter("idx >= o and idx - o < 450").select("recording", (F.col("idx") - F.col("o")).alias("t"), "v")
+    return t.common_origin(df, F.col("v") > 480, 450).select("recording", "t", "v")
 
 
 @query(

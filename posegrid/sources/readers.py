@@ -38,6 +38,15 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(F.url_decode(path), r"([^/]+)$", 1), r"\.[^.]*$", "")
 
 
+def pose2d_long(df: DataFrame, view_keypoints: DataFrame) -> DataFrame:
+    """Points in the views that can see them; ``view_keypoints`` (view, keypoint) is configuration, some dozen rows.
+
+    A table without ``view`` gets a row for each view of its keypoint.
+    """
+    on = ["view", "keypoint"] if "view" in df.columns else ["keypoint"]
+    return df.join(F.broadcast(view_keypoints), on)
+
+
 def normalise_side(df: DataFrame) -> DataFrame:
     """Eye names of a tracker without sides get the side of the view."""
     left = F.col("view").isin("L", "TL", "TC")

@@ -183,3 +183,19 @@ def test_labels_of_measurements(spark):
     names = ["eye-height-left-mm", "ear-width-right-mm", "ear-angle-left-deg", "mouth-area-mm2", "nose-bulge-volume-mm3", "snout"]
     rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", m.units_of(F.col("n")), m.kind_of(F.col("n"))).collect()
     assert [tuple(r)[1:] for r in rows] == [("mm", "distance"), ("mm", "distance"), ("deg", "angle"), ("mm^2", "area"), ("mm^3", "volume"), (None, "unknown")]
+
+
+def test_average_ranks_with_and_without_keys(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, None if rng.random() < 0.05 else float(v)) for k, v in zip(rng.choice(["a", "b"], 300).tolist(), rng.integers(0, 40, 300))] + [(None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+
+    def brute(values):
+        ordered = sorted(-np.inf if v is None else v for v in values)
+        return lambda v: (ordered.index(-np.inf if v is None else v) + 1) + (ordered.count(-np.inf if v is None else v) - 1) / 2
+
+    whole = brute([v for _, v in rows])
+    assert sorted(map(str, (tuple(r) for r in series.avg_rank(df, "v").collect()))) == sorted(str((k, v, whole(v))) for k, v in rows)
+    own = {k: brute([v for kk, v in rows if kk == k]) for k in ("a", "b", None)}
+    assert sorted(map(str, (tuple(r) for r in series.avg_rank(df, "v", ("k",)).collect()))) == sorted(str((k, v, own[k](v))) for k, v in rows)
+    assert series.avg_rank(df.limit(0), "v").count() == 0
