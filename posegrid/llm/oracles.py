@@ -122,7 +122,7 @@ h1 AS (SELECT h.*, a / (a + b) AS mean FROM h JOIN dd USING (domain, suffix)),
 hh AS ({_posterior("h1", "host")}),
 known AS (SELECT host, round(a / (a + b), 6) AS host_rate, round(greatest(0, a / (a + b) - {urls.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))), 6) AS host_bound FROM hh)
 SELECT page_id, host, path, {_rule_case(lambda kind, of, start: of + start)} AS rule,
-  coalesce({_rule_case(lambda kind, of, start: kind)}, CASE WHEN host_bound > (SELECT round(overall, 6) FROM al) THEN 'block' ELSE 'allow' END) AS verdict, host_rate, host_bound
+  coalesce({_rule_case(lambda kind, of, start: kind)}, CASE WHEN host_bound > (SELECT round(least({urls.SURE}, {urls.ODDS} * overall / (1 + ({urls.ODDS} - 1) * overall)), 6) FROM al) THEN 'block' ELSE 'allow' END) AS verdict, host_rate, host_bound
 FROM p LEFT JOIN known USING (host)
 """
 

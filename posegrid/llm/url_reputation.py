@@ -11,8 +11,10 @@ and suffix, and each level's rate is shrunk to the level above by a beta-binomia
 with the prior strengths k0, k1, k2 estimated from the spread of the rates of each level by the method
 of moments, within ``STRENGTH``. Every host has a posterior, labelled or not: without labels it is its
 domain's. A host is blocked when the lower posterior bound (mean less ``Z`` deviations) of its rate of
-bad pages is above the overall rate, that is when it is worse than the web at large with a probability
-of about four in five; few labels on a host of an ordinary domain leave a wide bound and an allowed host.
+bad pages is above a limit that stands clear of the overall rate: ``ODDS`` times its odds of a bad page, or ``SURE`` where that is
+less. So a host goes when it is, with a probability of about four in five, at least twice as likely bad as the web at large. More labels make
+bounds narrow but move no limit: a host near the overall rate stays at any number of labels, and few labels on a host of an
+ordinary domain leave a wide bound and an allowed host.
 
 The registered domain is the label before the public suffix, which is the last label or one of
 ``SUFFIXES``. A port, a user name and a last dot are no part of the name; an address is its own domain.
@@ -23,8 +25,7 @@ the driver. The join back to the pages is an equi-join on the host that Spark sp
 many pages. The label table is joined on its key.
 
 Defined cases: a null url, or one without ``://``, has host and path empty and is judged by the rate of
-the empty host; a host without a dot is its own domain and suffix; no labels at all, or none of them
-bad, allow everything; equal rows are each returned, repeated labels each count; urls of any length are
+the empty host; a host without a dot is its own domain and suffix; no labels at all allow everything; equal rows are each returned, repeated labels each count; urls of any length are
 read whole; other columns are not read; no pages, no rows.
 """
 
@@ -45,6 +46,8 @@ RULES = (
 )
 #: Deviations between mean and bound, for a probability of four in five.
 Z = 0.8416
+#: Odds of a bad page, as a multiple of those of all pages, that block a host; and a rate that does so anyhow.
+ODDS, SURE = 2.0, 0.9
 #: Bounds of the estimated prior strengths, in pages: a prior never outweighs fifty labels of a host's own.
 STRENGTH = (1.0, 50.0)
 #: Public suffixes of two labels under which anyone can register a name.
@@ -148,11 +151,16 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame | None = None) -> Data
     return found.select("host", "n", "bad", F.col("posterior").alias("rate"), bound.alias("bound"), F.lit(overall).alias("overall"))
 
 
+def block_limit(overall: Column) -> Column:
+    """The rate that a host's bound must pass, given the rate of all outcomes."""
+    return F.least(F.lit(SURE), ODDS * overall / (1 + (ODDS - 1) * overall))
+
+
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES) -> DataFrame:
     """``pages`` (page_id, url) with host, path, rule, verdict and the host's shrunk rate and bound."""
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = host_reputation(outcomes, split.select("host"))
-    worse = F.coalesce(F.round("bound", 6) > F.round("overall", 6), F.lit(False))
+    worse = F.coalesce(F.round("bound", 6) > F.round(block_limit(F.col("overall")), 6), F.lit(False))
     known = known.select("host", F.round("rate", 6).alias("host_rate"), F.round("bound", 6).alias("host_bound"), F.when(worse, "block").otherwise("allow").alias("own"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     return split.join(known, "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, "own").alias("verdict"), "host_rate", "host_bound")

@@ -455,6 +455,19 @@ def test_planted_spam_hosts_rank_above_others(spark):
     assert url_reputation.judge_urls(frame.limit(0), spark.createDataFrame(outcomes, "host string, bad int")).count() == 0
 
 
+@pytest.mark.parametrize("labels", [40, 400, 4000])
+def test_verdicts_do_not_follow_the_number_of_labels(spark, labels):
+    """200 hosts near the overall rate are allowed, and hosts of rate 0.7 blocked, however many labels there are."""
+    rng = np.random.default_rng(labels)
+    rates = {f"h{i}.site{i}.net": min(max(float(rng.normal(0.25, 0.03)), 0), 1) for i in range(200)} | {f"bad{i}.spam{i}.net": 0.7 for i in range(5)}
+    counts = spark.createDataFrame([(h, labels, int(rng.binomial(labels, r))) for h, r in rates.items()], "host string, n int, k int")
+    outcomes = counts.select("host", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"), "k").select("host", (F.col("i") <= F.col("k")).cast("int").alias("bad"))
+    pages = spark.createDataFrame([(i, f"https://{h}/x") for i, h in enumerate(rates)], "page_id long, url string")
+    got = {r.host: r.verdict for r in url_reputation.judge_urls(pages, outcomes).collect()}
+    assert sum(v == "block" for h, v in got.items() if not h.startswith("bad")) < 4
+    assert all(v == "block" for h, v in got.items() if h.startswith("bad"))
+
+
 def test_main_texts(spark):
     pages = [r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
     frame = spark.createDataFrame(pages)
