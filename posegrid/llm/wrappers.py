@@ -2,27 +2,31 @@
 
 Pages of one host are made by the same program, so their DOM trees differ where the content is. Every
 host gets a template from a bounded sample of its pages, the ``SAMPLE_PAGES`` with the least hashes of
-their html (pages over ``SAMPLE_CHARS`` characters are not sampled). The trees of the sample, runs of
-equal siblings folded to one, are aligned by simple tree matching: the template starts as the first
-tree, each further tree is matched to it node by node, and what finds no partner is added. A template
-node whose whole text is the same on most sampled pages that have it is constant, and part of the
-template; nodes whose text varies are slots. Near copies of one page count as one page there.
-
-Every page, sampled or not, is then matched to its host's template. Constant nodes go; of the slots,
-those in menus, headers, footers, sidebars, notices, adverts, forms and comments go, known by their
-elements, roles and class words (which don't count on an element that holds the page's content,
-``_lift``); where slots stand in an article or main element, these are the content. The blocks that
-remain are joined in page order. A page of nothing but constants keeps them.
+their html. The trees of the sample, repeated siblings folded, are aligned by simple tree matching: the template
+starts as the first tree, each further tree is matched to it node by node, and what finds no partner is added, up to
+``TEMPLATE_NODES``. Near copies of one page count as one page.
+
+Over the aligned sample each template node gets its figures: words of different texts, words in links, blocks, pages. From
+these the host's content is found: from the root the search goes down into the child with most of the words that vary and are no
+links, as long as no other child is content as well (``RIVAL``) and the child is more than one kind of block. The node where it ends
+is the content slot of the host. Outside of it all is template: menus, headers, notices, adverts and footers, whether their text varies or not.
+Inside, nodes whose words are mostly links go, and, where no article or main element says that they are content, those
+with one text on most pages.
+
+Every page, sampled or not, is then matched to its host's template, and the blocks below its content slot are kept in page order. Elements,
+roles and class words break ties: parts that they name are no content wherever they stand (but not an element that holds the
+page's content, ``_lift``), and an article or main element is the content where a page has one, which sets
+the slot's border on such pages. A page without its host's slot has what these names leave. A page of nothing but template keeps that.
 
 Pages are shuffled once, by host, and meet their host's template at the head of their group; a host
 with more pages than ``GROUP_PAGES`` and a 50 000th of the table is dealt over several groups, each
-with the template. Groups are streamed, so none is held in memory, and no result depends on the dealing.
+with the template. Groups are streamed, so none is held in memory, and no result depends on the dealing. A sample is read page by page, and of
+each page only figures are kept.
 
 Defined cases: null html has the empty text, a null url the empty host; broken and cut-off markup is
-read as far as it goes, however deep or long (all walks are loops, linear in the page but for sibling
-lists of up to ``LONG_LIST``, longer ones are matched by label); equal rows are each returned; a host
-with fewer than ``LEAST_VOICES`` different pages has no constant nodes; other columns are not read; no
-rows, no result rows.
+read as far as it goes, however deep or long (all walks are loops); equal rows are each returned; a host
+with fewer than ``LEAST_VOICES`` different pages has no constant nodes; of a host with long pages only (over
+``SAMPLE_CHARS``) the shortest are sampled; other columns are not read; no rows, no result rows.
 """
 
 from __future__ import annotations
@@ -32,9 +36,11 @@ import json
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
+from heapq import nsmallest
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,17 +48,29 @@ from pyspark.sql import functions as F
 from .shared import settle
 from .url_reputation import host_of
 
-#: Pages of a host that its template is made from, and the longest page taken.
+#: Pages of a host that its template is made from, and the length up to which they are taken by hash.
 SAMPLE_PAGES = 24
 SAMPLE_CHARS = 1_000_000
+#: Sampled pages that are longer, where a host has no others.
+LONG_PAGES = 2
+#: Nodes of a template.
+TEMPLATE_NODES = 5000
 #: A node is constant when its commonest text stands on this share of the different pages that have it,
 SAME_SHARE = 0.6
 #: and on this many of them.
 LEAST_VOICES = 3
 #: Pages are different unless all their slots share this share of their words.
 COPY_SHARE = 0.8
-#: Longer lists of siblings are matched by label alone.
-LONG_LIST = 256
+#: Numbers kept of a sampled page to know its copies.
+SKETCH = 4096
+#: The content has this share of the words of the node above it, and a node with this share of the content's words is content too.
+DOMINANT, RIVAL = 0.5, 0.2
+#: Nodes with this share of their words in links are lists of links.
+LINKS = 0.6
+#: Repeated rows of siblings up to this long are folded.
+PERIOD = 8
+#: Cells of an alignment's table that are kept at once.
+CELLS = 4_000_000
 #: Least pages of a group that pages are dealt by.
 GROUP_PAGES = 256
 
@@ -80,6 +98,7 @@ ASIDE_STARTS = ("comment", "sidebar", "advert", "sponsor", "cookie", "newsletter
 #: These are a page's header only outside of its content.
 HEADER_WORDS = frozenset(("header", "masthead"))
 CONTENT = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|$)|</([a-zA-Z][^\s>]*)[^>]*(?:>|$)|<[!?/][^>]*(?:>|$)", re.S
@@ -107,6 +126,7 @@ class Page:
         self.root = Node("#", "#")
         self.nodes = [self.root]
         self.blocks: list[str] = []
+        self.links: list[int] = []  # characters of each block that stand in links
         self.owner: list[Node] = []
         self._open = [self.root]
         self._tags: Counter[str] = Counter()  # of the open elements
@@ -115,6 +135,13 @@ class Page:
     def _parse(self, html: str) -> None:
         open_, tags = self._open, self._tags
         text: list[str] = []
+        linked: list[str] = []
+        in_link = False
+
+        def say(part: str) -> None:
+            text.append(part)
+            if in_link:
+                linked.append(part)
 
         def end_block() -> None:
             if text:
@@ -122,8 +149,10 @@ class Page:
                 if found:
                     open_[-1].blocks.append(len(self.blocks))
                     self.blocks.append(found)
+                    self.links.append(min(len(found), len(" ".join("".join(linked).split()))))
                     self.owner.append(open_[-1])
                 text.clear()
+                linked.clear()
 
         def close(to: int) -> None:
             end_block()
@@ -134,10 +163,10 @@ class Page:
         while at < size:
             found = _TOKEN.search(html, at)
             if found is None:
-                text.append(html[at:])
+                say(html[at:])
                 break
             if found.start() > at:
-                text.append(html[at : found.start()])
+                say(html[at : found.start()])
             at = found.end()
             start, attributes, end = found.groups()
             if start:
@@ -149,6 +178,7 @@ class Page:
                 elif tag == "br":
                     text.append(" ")
                 elif tag in INLINE:
+                    in_link = in_link or tag == "a"
                     if attributes and _is_aside(tag, attributes):  # an inline advert or the like is a block of its own
                         end_block()
                         self._enter(tag, attributes)
@@ -174,6 +204,7 @@ class Page:
                     self._enter(tag, attributes)
             elif end:
                 tag = end.lower()
+                in_link = in_link and tag != "a"
                 if tag == "br":
                     text.append(" ")
                 if tags[tag] > 0:
@@ -302,16 +333,31 @@ def _kept(page: Page) -> tuple[list[bool], list[bool]]:
     return free, [f and place[n][1] for f, n in zip(free, page.owner)]
 
 
-def candidates(page: Page) -> list[int]:
-    """Blocks in places of content: inside the content element if one has text, else all that no mark drops."""
-    _lift(page)
-    free, inside = _kept(page)
-    chosen = inside if any(inside) else free
-    return [b for b, yes in enumerate(chosen) if yes]
+def folded_siblings(shapes: list[int]) -> tuple[list[int], list[int]]:
+    """Siblings with repeated rows of up to ``PERIOD`` taken once, and the place of each sibling in that list.
+
+    A row ends where the siblings before it are the same again: a, b, a, b, a, b is a, b, whatever its length.
+    """
+    out: list[int] = []
+    place: list[int] = []
+    at = 0
+    while at < len(shapes):
+        for wide in range(1, min(PERIOD, len(out)) + 1):
+            row = out[-wide:]
+            if shapes[at : at + wide] == row:
+                while shapes[at : at + wide] == row:
+                    place += range(len(out) - wide, len(out))
+                    at += wide
+                break
+        else:
+            place.append(len(out))
+            out.append(shapes[at])
+            at += 1
+    return out, place
 
 
 class Shapes:
-    """Folded trees by number: a label and the numbers of the children, a run of equal siblings taken once."""
+    """Folded trees by number: a label and the numbers of the children, repeated rows of equal siblings taken once."""
 
     def __init__(self) -> None:
         self._known: dict[tuple[str, tuple[int, ...]], int] = {}
@@ -320,11 +366,7 @@ class Shapes:
 
     def fold(self, page: Page) -> None:
         for n in reversed(page.nodes):
-            kids: list[int] = []
-            for child in n.children:
-                if not kids or kids[-1] != child.shape:
-                    kids.append(child.shape)
-            key = (n.label, tuple(kids))
+            key = (n.label, tuple(folded_siblings([c.shape for c in n.children])[0]) if n.children else ())
             if (found := self._known.get(key)) is None:
                 found = self._known[key] = len(self.labels)
                 self.labels.append(n.label)
@@ -333,12 +375,17 @@ class Shapes:
 
 
 class Template:
-    """A tree that grows by the pages added to it; ``constant`` maps a node to the digest of its text."""
+    """A tree that grows by the pages added to it; ``constant`` maps a node to the digest of its text.
+
+    ``content`` is the node of the host's content slot (0, the root, if it has none), ``side`` are nodes that are no content.
+    """
 
     def __init__(self) -> None:
         self.labels = ["#"]
         self.children: list[list[int]] = [[]]
         self.constant: dict[int, str] = {}
+        self.content = 0
+        self.side: set[int] = set()
         self.forget()
 
     def forget(self) -> None:
@@ -346,28 +393,61 @@ class Template:
         self._scores: dict[tuple[int, int], int] = {}
         self._partners: dict[tuple[int, int], list[int]] = {}
 
-    def _table(self, shape: int, node: int) -> list[list[int]]:
-        """Best matches of the first i children of a shape with the first j of a node, in order."""
-        labels, mine, theirs = self.shapes.labels, self.shapes.kids[shape], self.children[node]
-        table = [[0] * (len(theirs) + 1)]
+    def _weights(self, child: int, others: list[int]) -> np.ndarray:
+        label = self.shapes.labels[child]
+        return np.array([self._scores[child, o] if self.labels[o] == label else 0 for o in others], np.int64)
+
+    def _rows(self, mine, others: list[int]) -> Iterator[np.ndarray]:
+        """Rows of the table of best matches: of the first i of ``mine`` with the first j of ``others``, in order."""
+        weights: dict[int, np.ndarray] = {}
+        last = np.zeros(len(others) + 1, np.int64)
+        yield last
+        for child in mine:
+            if (own := weights.get(child)) is None:
+                own = weights[child] = self._weights(child, others)
+            row = last.copy()
+            np.maximum(row[1:], np.where(own > 0, last[:-1] + own, 0), out=row[1:])
+            last = np.maximum.accumulate(row)
+            yield last
+
+    def _best(self, mine, others: list[int]) -> int:
+        if len(mine) * len(others) > 64:
+            for last in self._rows(mine, others):
+                pass
+            return int(last[-1])
+        last = [0] * (len(others) + 1)
         for child in mine:
-            last, row, label = table[-1], [0], labels[child]
-            for j, other in enumerate(theirs):
+            row, label = [0], self.shapes.labels[child]
+            for j, other in enumerate(others):
                 best = last[j + 1] if last[j + 1] > row[j] else row[j]
                 if self.labels[other] == label and last[j] + self._scores[child, other] > best:
                     best = last[j] + self._scores[child, other]
                 row.append(best)
-            table.append(row)
-        return table
-
-    def _is_long(self, shape: int, node: int) -> bool:
-        return max(len(self.shapes.kids[shape]), len(self.children[node])) > LONG_LIST
-
-    def _by_label(self, shape: int, node: int) -> list[int]:
-        first: dict[str, int] = {}
-        for other in self.children[node]:
-            first.setdefault(self.labels[other], other)
-        return [first.get(self.shapes.labels[child], -1) for child in self.shapes.kids[shape]]
+            last = row
+        return last[-1]
+
+    def _align(self, mine, others: list[int]) -> list[int]:
+        """The partner of each of ``mine``, or -1, in a best match. Long lists are halved, so that the table stays small."""
+        if len(mine) * len(others) > CELLS and len(mine) > 1:
+            half = len(mine) // 2
+            for upper in self._rows(mine[:half], others):
+                pass
+            for lower in self._rows(mine[half:][::-1], others[::-1]):
+                pass
+            cut = int((upper + lower[::-1]).argmax())
+            return self._align(mine[:half], others[:cut]) + self._align(mine[half:], others[cut:])
+        table = [row.tolist() for row in self._rows(mine, others)]
+        found = [-1] * len(mine)
+        i, j = len(mine), len(others)
+        while i and j:
+            if table[i][j] == table[i - 1][j]:
+                i -= 1
+            elif table[i][j] == table[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                found[i] = others[j]
+        return found
 
     def _score(self, shape: int, node: int) -> None:
         """Simple tree matching: size of the largest match of two trees that keeps order and parents."""
@@ -378,39 +458,22 @@ class Template:
             if (s, t) in scores:
                 open_.pop()
                 continue
-            if self._is_long(s, t):
-                pairs = {(c, o) for c, o in zip(self.shapes.kids[s], self._by_label(s, t)) if o >= 0}
-            else:
-                pairs = {(c, o) for c in set(self.shapes.kids[s]) for o in self.children[t] if labels[c] == self.labels[o]}
+            pairs = {(c, o) for c in set(self.shapes.kids[s]) for o in self.children[t] if labels[c] == self.labels[o]}
             if missing := [p for p in pairs if p not in scores]:
                 open_ += missing
             else:
-                scores[s, t] = 1 + (sum(scores[p] for p in pairs) if self._is_long(s, t) else self._table(s, t)[-1][-1])
+                scores[s, t] = 1 + (self._best(self.shapes.kids[s], self.children[t]) if pairs else 0)
                 open_.pop()
 
     def partners(self, shape: int, node: int) -> list[int]:
         """The template node of each folded child, or -1."""
         if (found := self._partners.get((shape, node))) is None:
-            if self._is_long(shape, node):
-                found = self._by_label(shape, node)
-            else:
-                mine, theirs = self.shapes.kids[shape], self.children[node]
-                found = [-1] * len(mine)
-                for child in set(mine):
-                    for other in theirs:
-                        if self.labels[other] == self.shapes.labels[child]:
-                            self._score(child, other)
-                table = self._table(shape, node)
-                i, j = len(mine), len(theirs)
-                while i and j:
-                    if table[i][j] == table[i - 1][j]:
-                        i -= 1
-                    elif table[i][j] == table[i][j - 1]:
-                        j -= 1
-                    else:
-                        i, j = i - 1, j - 1
-                        found[i] = theirs[j]
-            self._partners[shape, node] = found
+            mine, theirs = self.shapes.kids[shape], self.children[node]
+            for child in set(mine):
+                for other in theirs:
+                    if self.labels[other] == self.shapes.labels[child]:
+                        self._score(child, other)
+            found = self._partners[shape, node] = self._align(mine, theirs)
         return found
 
     def places(self, page: Page, grow: bool = False) -> dict[Node, int]:
@@ -423,12 +486,9 @@ class Template:
             if (own := out.get(n)) is None or not n.children:
                 continue
             found = self.partners(n.shape, own)
-            if grow and -1 in found:
+            if grow and -1 in found and len(self.labels) < TEMPLATE_NODES:
                 found = self._added(n.shape, own, found)
-            k, last = -1, None
-            for child in n.children:
-                if child.shape != last:
-                    k, last = k + 1, child.shape
+            for child, k in zip(n.children, folded_siblings([c.shape for c in n.children])[1]):
                 if found[k] >= 0:
                     out[child] = found[k]
         if grow:
@@ -455,13 +515,13 @@ class Template:
         return found
 
     def dumps(self) -> bytes:
-        return zlib.compress(json.dumps([self.labels, self.children, list(self.constant.items())]).encode())
+        return zlib.compress(json.dumps([self.labels, self.children, list(self.constant.items()), self.content, sorted(self.side)]).encode())
 
     @classmethod
     def loads(cls, data: bytes) -> Template:
         out = cls()
-        out.labels, out.children, constant = json.loads(zlib.decompress(data))
-        out.constant = dict(map(tuple, constant))
+        out.labels, out.children, constant, out.content, side = json.loads(zlib.decompress(data))
+        out.constant, out.side = dict(map(tuple, constant)), set(side)
         return out
 
 
@@ -469,58 +529,171 @@ def _digest(text: str) -> str:
     return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 
-def _said(page: Page, places: dict[Node, int], blocks: list[int]) -> dict[int, str]:
-    """Text of a page by template node."""
-    out: dict[int, list[str]] = {}
-    for b in blocks:
-        if (node := places.get(page.owner[b])) is not None:
-            out.setdefault(node, []).append(page.blocks[b])
-    return {node: "\n".join(texts) for node, texts in out.items()}
+def _said(page: Page, places: dict[Node, int]) -> dict[int, list[int]]:
+    """Blocks of a page by template node."""
+    out: dict[int, list[int]] = {}
+    for b, owner in enumerate(page.owner):
+        if (node := places.get(owner)) is not None:
+            out.setdefault(node, []).append(b)
+    return out
 
 
-def _are_copies(one: dict[int, Counter], other: dict[int, Counter]) -> bool:
+def _sketch(texts: dict[int, str]) -> dict[int, frozenset[bytes]]:
+    """By node, the least hashes of its words, each as often as it stands there; ``SKETCH`` in all, eight a node at least."""
+    most = max(8, SKETCH // max(len(texts), 1))
+    out = {}
+    for node, text in texts.items():
+        times: Counter[str] = Counter()
+        hashes = []
+        for word in text.split():
+            times[word] += 1
+            hashes.append(blake2b(f"{times[word]} {word}".encode("utf-8", "surrogatepass"), digest_size=8).digest())
+        out[node] = frozenset(nsmallest(most, hashes))
+    return out
+
+
+def _are_copies(one: dict[int, frozenset[bytes]], other: dict[int, frozenset[bytes]]) -> bool:
+    """Whether all nodes of two pages share ``COPY_SHARE`` of their words, by the least hashes of both."""
     if one.keys() != other.keys():
         return False
-    for node, words in one.items():
-        most = max(words.total(), other[node].total())
-        if min(words.total(), other[node].total()) < COPY_SHARE * most or (words & other[node]).total() < COPY_SHARE * most:
+    for node, mine in one.items():
+        theirs = other[node]
+        least = nsmallest(max(len(mine), len(theirs)), mine | theirs)
+        if sum(h in mine and h in theirs for h in least) < COPY_SHARE / (2 - COPY_SHARE) * len(least):
             return False
     return True
 
 
-def induce(pages: list[str | None]) -> Template:
+class Figures:
+    """What the aligned sample says of a template node: its different texts, words, words in links, pages, and how often names call it aside."""
+
+    __slots__ = ("texts", "words", "links", "pages", "marked", "seen")
+
+    def __init__(self) -> None:
+        self.texts: Counter[str] = Counter()
+        self.words = self.links = 0.0
+        self.pages = self.marked = self.seen = 0
+
+
+def induce(pages: Iterable[str | None]) -> Template:
     """The template of some pages of one host."""
     template = Template()
-    read: list[tuple[Page, list[int], dict[Node, int]]] = []
+    figures: dict[int, Figures] = {}
+    known: list[dict[int, frozenset[bytes]]] = []
     for html in pages:
         page = Page(html or "")
-        read.append((page, candidates(page), template.places(page, True)))
-    voices: list[dict[int, Counter]] = []
-    said: dict[int, Counter[str]] = {}
-    for page, blocks, places in read:
-        texts = _said(page, places, blocks)
-        words = {node: Counter(text.split()) for node, text in texts.items()}
-        if not words or any(_are_copies(words, known) for known in voices):
+        _lift(page)
+        places = template.places(page, True)
+        near: dict[Node, int] = {}  # a full template has no place for some elements: their text is that of the next one above
+        for element in page.nodes:
+            near[element] = places.get(element, near[element.parent] if element.parent is not None else 0)
+        said = _said(page, near)
+        texts = {node: "\n".join(page.blocks[b] for b in blocks) for node, blocks in said.items()}
+        sketch = _sketch(texts)
+        if not texts or any(_are_copies(sketch, other) for other in known):
             continue
-        voices.append(words)
-        for node, text in texts.items():
-            said.setdefault(node, Counter())[_digest(text)] += 1
-    for node, found in said.items():
-        (text, n), = found.most_common(1)
-        if n >= LEAST_VOICES and n >= SAME_SHARE * found.total():
-            template.constant[node] = text
+        known.append(sketch)
+        for element, node in places.items():
+            own = figures.setdefault(node, Figures())
+            own.seen += 1
+            own.marked += element.aside
+        for node, blocks in said.items():
+            own = figures[node]
+            own.pages += 1
+            digest = _digest(texts[node])
+            own.texts[digest] += 1
+            if own.texts[digest] == 1:  # a text that stands on many pages counts once
+                for b in blocks:
+                    words = len(page.blocks[b].split())
+                    own.words += words
+                    own.links += words * page.links[b] / len(page.blocks[b])
+    _judge(template, figures)
     template.forget()
     return template
 
 
+def _tag(label: str) -> str:
+    return label.split(".", 1)[0]
+
+
+def _judge(template: Template, figures: dict[int, Figures]) -> None:
+    """Finds the content slot and the side nodes of a template from the figures of its nodes."""
+    n = len(template.labels)
+    parent = [0] * n
+    for node, kids in enumerate(template.children):
+        for kid in kids:
+            parent[kid] = node
+    words, links = [0.0] * n, [0.0] * n
+    aside = [False] * n
+    for node, own in figures.items():
+        words[node], links[node] = own.words, own.links
+        aside[node] = node > 0 and 2 * own.marked > own.seen
+    for node in range(n - 1, 0, -1):  # parents have lower numbers
+        if aside[node]:
+            words[node] = links[node] = 0.0
+        words[parent[node]] += words[node]
+        links[parent[node]] += links[node]
+    plain = [w - k for w, k in zip(words, links)]
+
+    at = 0
+    while True:
+        kids = [k for k in template.children[at] if not aside[k]]
+        best = max(kids, key=plain.__getitem__, default=None)
+        if best is None or not template.children[best] or plain[best] <= 0 or plain[best] < DOMINANT * plain[at]:
+            break
+        others = [k for k in kids if k != best]
+        if any(plain[k] >= RIVAL * plain[best] or _tag(template.labels[k]) in HEADINGS and plain[k] > 0 for k in others):
+            break
+        at = best
+    template.content = at
+    named = False  # whether the slot is one that names call content, or lies in one
+    node = at
+    while node and not named:
+        named, node = _tag(template.labels[node]) in CONTENT, parent[node]
+    for node in range(1, n):
+        own = figures.get(node)
+        if own is None:
+            continue
+        if words[node] and links[node] >= LINKS * words[node] and template.children[node]:
+            template.side.add(node)
+        if own.texts and not named:
+            ((text, times),) = own.texts.most_common(1)
+            if times >= LEAST_VOICES and times >= SAME_SHARE * own.texts.total():
+                template.constant[node] = text
+
+
+def chosen_blocks(page: Page, template: Template) -> tuple[list[int], bool]:
+    """The content's blocks of a page, and whether the template chose them (else names alone)."""
+    _lift(page)
+    free, inside = _kept(page)
+    places = template.places(page)
+    slot: dict[Node, bool] = {}
+    out: dict[Node, bool] = {}
+    for element in page.nodes:
+        node = places.get(element)
+        slot[element] = node == template.content or element.parent is not None and slot[element.parent]
+        dropped = element.parent is not None and out[element.parent]
+        out[element] = dropped or node in template.side and node != template.content
+    same = {
+        node
+        for node, blocks in _said(page, places).items()
+        if node in template.constant and template.constant[node] == _digest("\n".join(page.blocks[b] for b in blocks))
+    }
+    in_slot = [b for b, owner in enumerate(page.owner) if free[b] and slot[owner] and not out[owner]]
+    own = [b for b in in_slot if places.get(page.owner[b]) not in same]
+    if any(inside):
+        # An article or main element sets the border; link lists and the like go where they have names.
+        named = [b for b, yes in enumerate(inside) if yes]
+        return named, set(named) <= set(in_slot)
+    if own or in_slot:
+        return own or in_slot, True
+    return [b for b, yes in enumerate(free) if yes], False
+
+
 def main_text(html: str | None, template: Template) -> str:
-    """The slots of a page that are its content."""
+    """The content of a page, by its host's template."""
     page = Page(html or "")
-    blocks = candidates(page)
-    places = template.places(page)
-    constant = {node for node, text in _said(page, places, blocks).items() if template.constant.get(node) == _digest(text)}
-    own = [b for b in blocks if places.get(page.owner[b]) not in constant]
-    return " ".join(page.blocks[b] for b in own or blocks)
+    return " ".join(page.blocks[b] for b in chosen_blocks(page, template)[0])
 
 
 def extract(pages: list[str | None]) -> list[str]:
@@ -533,17 +706,18 @@ def host_templates(pages: DataFrame) -> DataFrame:
     """(host, template) of every host of rows (host, html), made from a bounded sample of its pages; host is a number."""
 
     def induced(key: tuple, table: pa.Table) -> pa.Table:
-        template = induce(table.column("html").to_pylist())
+        template = induce(html.as_py() for html in sorted(table.column("html"), key=lambda x: _digest(x.as_py())))
         return pa.table({"host": pa.array([key[0].as_py()], pa.int64()), "template": pa.array([template.dumps()], pa.binary())})
 
-    short = F.coalesce(F.length("html"), F.lit(0)) <= SAMPLE_CHARS
-    rows = pages.select("host", F.when(short, F.col("html")).alias("html"))
+    rows = pages.select("host", "html", F.length("html").alias("size")).filter("html is not null")
     mixed = rows.withColumn("mix", F.xxhash64("html"))
-    # Map tasks keep no more than the sample of each host; a host of many pages is ranked in 64 parts first.
-    part, whole = Window.partitionBy("host", F.pmod("mix", F.lit(64))).orderBy("mix"), Window.partitionBy("host").orderBy("mix")
-    some = mixed.select("host", "mix").distinct().withColumn("n", F.row_number().over(part)).filter(F.col("n") <= SAMPLE_PAGES)
-    chosen = some.withColumn("n", F.row_number().over(whole)).filter(F.col("n") <= SAMPLE_PAGES)
-    sample = mixed.join(chosen.select("host", "mix"), ["host", "mix"]).groupBy("host", "mix").agg(F.first("html").alias("html"))
+    # Pages up to the limit by hash, then longer ones by length. Map tasks keep no more than the sample of each host; a host of
+    # many pages is ranked in 64 parts first.
+    order = [F.greatest(F.col("size"), F.lit(SAMPLE_CHARS)), F.col("mix")]
+    part, whole = Window.partitionBy("host", F.pmod("mix", F.lit(64))).orderBy(*order), Window.partitionBy("host").orderBy(*order)
+    some = mixed.select("host", "mix", "size").distinct().withColumn("n", F.row_number().over(part)).filter(F.col("n") <= SAMPLE_PAGES)
+    ranked = some.withColumn("n", F.row_number().over(whole)).filter((F.col("n") <= LONG_PAGES) | (F.col("size") <= SAMPLE_CHARS) & (F.col("n") <= SAMPLE_PAGES))
+    sample = mixed.join(ranked.select("host", "mix"), ["host", "mix"]).groupBy("host", "mix").agg(F.first("html").alias("html"))
     return sample.select("host", "html").groupBy("host").applyInArrow(induced, "host long, template binary")
 
 

@@ -14,13 +14,29 @@ PAGE = "page_id long, url string, html string, text string, template string, hos
 
 
 def trees(page):
-    """A page's elements as nested (label, children), equal neighbours once."""
-    out = []
-    for child in page.children:
-        tree = (child.label, trees(child))
-        if not out or out[-1] != tree:
-            out.append(tree)
-    return tuple(out)
+    """A page's elements as nested (label, children), repeated rows of siblings once."""
+    return tuple(wrappers.folded_siblings([(child.label, trees(child)) for child in page.children])[0])
+
+
+def test_repeated_rows_are_folded_whatever_their_length():
+    for n in (2, 100, 127, 130, 5000):
+        assert wrappers.folded_siblings([9, *[1, 2, 3] * n, 4, 4]) == ([9, 1, 2, 3, 4], [0, *[1, 2, 3] * n, 4, 4])
+    assert wrappers.folded_siblings([1, 2, 1, 2, 1]) == ([1, 2, 1], [0, 1, 0, 1, 2])
+    assert wrappers.folded_siblings([]) == ([], [])
+
+
+def test_long_lists_are_matched_as_short_ones(monkeypatch):
+    rng = random.Random(8)
+    some = lambda tag: f"<{tag} class=k{rng.randint(0, 3)}>x</{tag}>"
+    pages = [wrappers.Page("".join(some(rng.choice(["p", "h2", "ul", "div"])) for _ in range(90))) for _ in range(2)]
+    found = []
+    for cells in (1 << 30, 50):
+        monkeypatch.setattr(wrappers, "CELLS", cells)
+        template = wrappers.Template()
+        template.places(pages[0], True)
+        places = template.places(pages[1])
+        found.append(len(set(places.values())))
+    assert found[0] == found[1] > 30
 
 
 @lru_cache(None)
@@ -86,13 +102,80 @@ def test_constants_go_and_slots_stay():
     assert wrappers.extract(["<p>all the same"] * 5) == ["all the same"] * 5
 
 
-@pytest.mark.parametrize("article", ["article", "div", "section"])
-def test_pages_with_and_without_an_article(spark, article):
-    pages = [r.asDict() for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+NEUTRAL = {"nav": "div", "footer": "div", "article": "div", "ul": "div", "li": "div", "h1": "div"}
+
+
+def neutral(html):
+    """A page without classes and ids, its elements by names that say nothing."""
+    html = re.sub(r" (class|id|role)=(\"[^\"]*\"|[^\s>]+)", "", html)
+    return re.sub(r"<(/?)(nav|footer|article|ul|li|h1)\b", lambda m: f"<{m[1]}{NEUTRAL[m[2]]}", html)
+
+
+def by_host(pages):
     hosts = {}
     for r in pages:
         hosts.setdefault(re.sub(r"^.*?://|[/?#].*", "", r["url"] or ""), []).append(r["html"])
-    for found in hosts.values():
+    return hosts
+
+
+def test_the_template_decides_pages_without_names(spark):
+    pages = [r.asDict() for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()]
+    same = total = chosen = 0
+    for found in by_host(pages).values():
+        plain = [neutral(h) for h in found]
+        template = wrappers.induce(plain[: wrappers.SAMPLE_PAGES])
+        want = wrappers.extract(found)
+        for html, text in zip(plain, want):
+            page = wrappers.Page(html)
+            blocks, decided = wrappers.chosen_blocks(page, template)
+            same += " ".join(page.blocks[b] for b in blocks) == text
+            chosen += decided
+            total += 1
+    assert total == len(pages) and same >= 0.95 * total and chosen >= 0.95 * total, (same, chosen, total)
+
+
+def test_constant_headings_stay_in_an_article():
+    page = "<body><nav><a href=/>Home</a></nav><article><h1>Paper {0}</h1><h2>Abstract</h2><p>Of {0} things we know {1} more</p><h2>Conclusion</h2><p>So {1} it is {0}</p></article>"
+    got = wrappers.extract([page.format(f"w{i} v{i}", f"z{i * 3}") for i in range(6)])
+    assert got == [f"Paper w{i} v{i} Abstract Of w{i} v{i} things we know z{i * 3} more Conclusion So z{i * 3} it is w{i} v{i}" for i in range(6)]
+
+
+@pytest.mark.parametrize("n", [1, 100, 127, 130, 300])
+def test_a_notice_before_pairs_goes_at_every_length(n):
+    """A constant node outside of any article, before n pairs of siblings that vary."""
+    made = ["<body><div>Read this first please</div>" + "".join(f"<h3>t{i} {k}</h3><p>x{i} y{k}" for k in range(n)) for i in range(6)]
+    assert all(not text.startswith("Read") for text in wrappers.extract(made))
+
+
+def test_a_host_of_long_pages_has_a_template(spark):
+    body = "<body><div>Always the same words here</div><div><p>{}</p></div>"
+    rows = [(i, "http://long.org/", body.format(f"w{i} " * 300_000)) for i in range(4)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").select(F.lit(1).cast("long").alias("host"), "html")
+    (row,) = wrappers.host_templates(frame).collect()
+    template = wrappers.Template.loads(row.template)
+    assert wrappers.main_text(rows[3][2], template) == ("w3 " * 300_000).strip()
+
+
+def test_a_sample_of_the_worst_pages_fits():
+    """Pages of as many elements as a sampled page can have take less than a gigabyte: one is held at a time, so six tell as much as twenty-four."""
+    import os
+    import subprocess
+    import sys
+
+    code = (
+        "import resource\nfrom posegrid.llm import wrappers\n"
+        "t = wrappers.induce('<p>a' * 249_000 + str(i) for i in range(6))\n"
+        "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, check=True, timeout=600)
+    assert int(done.stdout) < 1_000_000
+
+
+@pytest.mark.parametrize("article", ["article", "div", "section"])
+def test_pages_with_and_without_an_article(spark, article):
+    pages = [r.asDict() for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    for found in by_host(pages).values():
         renamed = [re.sub("<(/?)article>", rf"<\1{article}>", h) for h in found]
         assert wrappers.extract(renamed) == wrappers.extract(found)
 
