@@ -634,6 +634,9 @@ def _judge(template: Template, figures: dict[int, Figures]) -> None:
         words[parent[node]] += words[node]
         links[parent[node]] += links[node]
     plain = [w - k for w, k in zip(words, links)]
+    direct = [0.0] * n  # of a node itself, in none of its children
+    for node, own in figures.items():
+        direct[node] = own.words - own.links
 
     at = 0
     while True:
@@ -642,7 +645,7 @@ def _judge(template: Template, figures: dict[int, Figures]) -> None:
         if best is None or not template.children[best] or plain[best] <= 0 or plain[best] < DOMINANT * plain[at]:
             break
         others = [k for k in kids if k != best]
-        if any(plain[k] >= RIVAL * plain[best] or _tag(template.labels[k]) in HEADINGS and plain[k] > 0 for k in others):
+        if direct[at] >= RIVAL * plain[best] or any(plain[k] >= RIVAL * plain[best] or _tag(template.labels[k]) in HEADINGS and plain[k] > 0 for k in others):
             break
         at = best
     template.content = at
