@@ -8,7 +8,7 @@ starts as the first tree, each further tree is matched to it node by node, and w
 
 Over the aligned sample each template node gets its figures: words of different texts, words in links, blocks, pages. From
 these the host's content is found: from the root the search goes down into the child with most of the words that vary and are no
-links, as long as no other child is content as well (``RIVAL``) and the child is more than one kind of block. The node where it ends
+links, as long as no other child is content as well (``RIVAL``) and the child is no block of text itself. The node where it ends
 is the content slot of the host. Outside of it all is template: menus, headers, notices, adverts and footers, whether their text varies or not.
 Inside, nodes whose words are mostly links go, and, where no article or main element says that they are content, those
 with one text on most pages.
@@ -99,6 +99,8 @@ ASIDE_STARTS = ("comment", "sidebar", "advert", "sponsor", "cookie", "newsletter
 HEADER_WORDS = frozenset(("header", "masthead"))
 CONTENT = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of text: what stands in them, in broken markup too, is a part of what stands around them.
+TEXTUAL = HEADINGS | frozenset("p li dt dd blockquote pre".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|$)|</([a-zA-Z][^\s>]*)[^>]*(?:>|$)|<[!?/][^>]*(?:>|$)", re.S
@@ -642,7 +644,7 @@ def _judge(template: Template, figures: dict[int, Figures]) -> None:
     while True:
         kids = [k for k in template.children[at] if not aside[k]]
         best = max(kids, key=plain.__getitem__, default=None)
-        if best is None or not template.children[best] or plain[best] <= 0 or plain[best] < DOMINANT * plain[at]:
+        if best is None or not template.children[best] or _tag(template.labels[best]) in TEXTUAL or plain[best] <= 0 or plain[best] < DOMINANT * plain[at]:
             break
         others = [k for k in kids if k != best]
         if direct[at] >= RIVAL * plain[best] or any(plain[k] >= RIVAL * plain[best] or _tag(template.labels[k]) in HEADINGS and plain[k] > 0 for k in others):
