@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import forget, settle
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,14 +25,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): root is the least node of its component.
 
-    Each round is written to the shared folder. Rounds end when the edges are stars around roots; their
+    Each round is written to the shared folder, and the round before is deleted. Rounds end when the edges are stars around roots; their
     number grows with the logarithm of the longest chain. Only counts reach the driver.
     """
     edges = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = settle(edges, "edges")
     summary = None
     while True:
-        edges = settle(_small_star(settle(_large_star(edges).distinct(), "large-star")).distinct(), "small-star")
+        large = settle(_large_star(edges).distinct(), "large-star")
+        small = settle(_small_star(large).distinct(), "small-star")
+        forget(edges, large)
+        edges = small
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == summary or now[0] == 0:
             break
