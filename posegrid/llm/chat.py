@@ -11,7 +11,8 @@ windowed together; they are rendered into one row of the result and so are bound
 
 Defined cases: turns are ordered by turn (null first), role, text, so equal turn numbers have a fixed
 order and repeated rows are turns of their own; a null role or text hashes apart from an empty one and
-renders as empty; a row with a null ``conv_id`` is a conversation of its own, its turn number aside, so such
+renders as empty; the marks of a turn's ends inside a role or text get a space (``<| im_end|>``), so no text can forge a
+turn; texts of any length are hashed and rendered whole; a row with a null ``conv_id`` is a conversation of its own, its turn number aside, so such
 rows gather in no task; no rows, no result rows.
 """
 
@@ -59,9 +60,16 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
     return whole.join(shorter, ["length", "high", "low"], "left_anti").select("conv_id", F.col("length").alias("n_turns"), "n_copies", "high", "low")
 
 
+def _plain(value: str) -> Column:
+    """A role or text that can't open or close a turn: marks inside it get a space."""
+    out = F.coalesce(value, F.lit(""))
+    for mark in (OPEN, CLOSE.strip()):
+        out = F.replace(out, F.lit(mark), F.lit(mark.replace("<|", "<| ")))
+    return out
+
+
 def _shown() -> Column:
-    none = F.lit("")
-    return F.concat(F.lit(OPEN), F.coalesce("role", none), F.lit("\n"), F.coalesce("text", none), F.lit(CLOSE))
+    return F.concat(F.lit(OPEN), _plain("role"), F.lit("\n"), _plain("text"), F.lit(CLOSE))
 
 
 def render(turns: DataFrame) -> DataFrame:

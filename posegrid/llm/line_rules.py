@@ -10,7 +10,8 @@ One pass over the rows, no shuffle: counts are array expressions within a row, t
 sorting the row's window hashes, so that no window of one text meets those of another.
 
 Defined cases: null text has no words and fails; a line without words is neither judged nor kept count
-of; repeated rows are judged alike; no rows, no result rows; other columns pass through ``clean``.
+of; repeated rows are judged alike, and a verdict follows a row's text alone, so there are no ties; a text of any length is judged
+whole, in memory of some times its size (its window hashes are sorted in its row); no rows, no result rows; other columns pass through ``clean``.
 """
 
 from __future__ import annotations

@@ -51,7 +51,8 @@ WITH p AS (
 whole AS (SELECT n, pre, min(conv_id) AS conv_id, count(*) AS n_copies FROM p WHERE place = n GROUP BY n, pre),
 kept AS (SELECT * FROM whole w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.place < p.n AND p.place = w.n AND p.pre = w.pre)),
 shown AS (
-  SELECT conv_id, string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY place) AS rendered
+  SELECT conv_id, string_agg('<|im_start|>' || replace(replace(coalesce(role, ''), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || chr(10)
+    || replace(replace(coalesce(text, ''), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || '<|im_end|>' || chr(10), '' ORDER BY place) AS rendered
   FROM p GROUP BY conv_id)
 SELECT kept.conv_id, n AS n_turns, n_copies, rendered FROM kept JOIN shown USING (conv_id)
 """

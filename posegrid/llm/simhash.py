@@ -27,7 +27,8 @@ test 0.97 or more of the similar pairs that are no copies are in one group; in a
 be missed where no chain of similar ones ties them.
 
 Defined cases: text without words (or null) has fingerprint zero; a null ``doc_id`` takes part but names
-no component while its group has another id; equal rows are each returned; no rows, no result rows.
+no component while its group has another id; different texts under one id are rows of their own; equal rows are each returned; a
+text of any length is hashed whole, shingle by shingle; other columns are not read; no rows, no result rows.
 """
 
 from __future__ import annotations

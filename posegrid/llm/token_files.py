@@ -10,7 +10,8 @@ lists (position, high part) for the differences that are wider. The index holds
 block starts, so that a reader can fetch any range of ids without unpacking what stands before it.
 
 Defined cases: null text has only the end id; a null ``doc_id`` sorts first and is kept as null;
-repeated ids stay separate documents, ordered by their ids' bytes; no documents, no files, no rows.
+repeated ids stay separate documents, ordered by their texts (null first), equal rows in any order; a text of any length is
+encoded whole, and the file that it ends is as long as it needs; other columns are not read; no documents, no files, no rows.
 A task writes under a name of its own and renames when complete, so that a repeated or speculative
 task replaces a file by an equal one.
 """
