@@ -43,16 +43,41 @@ DOCUMENT_SCHEMA = "file string, place long, doc_id long, first long, n_tokens lo
 
 
 def _packed(values: np.ndarray, width: int) -> np.ndarray:
-    """Rows of BLOCK values below 2**width as rows of bytes."""
-    bits = np.unpackbits(values.astype(">u4").view(np.uint8).reshape(*values.shape, 4), axis=2)[:, :, 32 - width :]
-    return np.packbits(bits.reshape(len(values), -1), axis=1)
+    """Rows of BLOCK values below 2**width as rows of bytes, most significant bit first.
+
+    Eight values are ``width`` bytes; up to 16 bits wide they are put together in two words of four values each.
+    """
+    if width > 16:
+        bits = np.unpackbits(values.astype(">u4").view(np.uint8).reshape(*values.shape, 4), axis=2)[:, :, 32 - width :]
+        return np.packbits(bits.reshape(len(values), -1), axis=1)
+    eights = values.reshape(-1, 2, 4).astype(np.uint64)
+    fours = eights[:, :, 3].copy()
+    for k in range(3):
+        fours |= eights[:, :, k] << np.uint64(width * (3 - k))
+    upper, lower = fours[:, 0], fours[:, 1]
+    words = np.empty((len(fours), 2), ">u8")
+    if width == 16:
+        words[:, 0], words[:, 1] = upper, lower
+    else:
+        words[:, 0], words[:, 1] = upper >> np.uint64(64 - 4 * width), upper << np.uint64(4 * width) | lower
+    return np.ascontiguousarray(words.view(np.uint8)[:, 16 - width :]).reshape(len(values), -1)
 
 
 def _unpacked(rows: np.ndarray, width: int) -> np.ndarray:
-    bits = np.unpackbits(rows, axis=1)[:, : BLOCK * width].reshape(len(rows), BLOCK, width)
-    wide = np.zeros((len(rows), BLOCK, 32), np.uint8)
-    wide[:, :, 32 - width :] = bits
-    return np.packbits(wide, axis=2).view(">u4").reshape(len(rows), BLOCK).astype(np.uint32)
+    if width > 16:
+        bits = np.unpackbits(rows, axis=1)[:, : BLOCK * width].reshape(len(rows), BLOCK, width)
+        wide = np.zeros((len(rows), BLOCK, 32), np.uint8)
+        wide[:, :, 32 - width :] = bits
+        return np.packbits(wide, axis=2).view(">u4").reshape(len(rows), BLOCK).astype(np.uint32)
+    held = np.zeros((len(rows) * BLOCK // 8, 16), np.uint8)
+    held[:, 16 - width :] = rows.reshape(-1, width)
+    words = held.view(">u8").astype(np.uint64)
+    upper = words[:, 0] if width == 16 else words[:, 0] << np.uint64(64 - 4 * width) | words[:, 1] >> np.uint64(4 * width)
+    out = np.empty((len(held), 2, 4), np.uint32)
+    for k in range(4):
+        for i, four in enumerate((upper, words[:, 1])):
+            out[:, i, k] = four >> np.uint64(width * (3 - k)) & np.uint64((1 << width) - 1)
+    return out.reshape(len(rows), BLOCK)
 
 
 def pack_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -76,11 +101,14 @@ def pack_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
             low = part & np.uint32((1 << width) - 1)
             rows = _packed(low, width) if width else np.zeros((len(some), 0), np.uint8)
             high = part >> np.uint32(width)
-            for k, block in enumerate(some.tolist()):
-                odd = np.flatnonzero(high[k])
-                size = min(BLOCK, n - block * BLOCK)
-                head = _BLOCK_HEAD.pack(int(least[block]), width, size, len(odd))
-                out[block] = head + rows[k].tobytes() + odd.astype("<u2").tobytes() + high[k][odd].astype("<u4").tobytes()
+            row, place = np.nonzero(high)
+            ends = np.cumsum(np.bincount(row, minlength=len(some))).tolist()
+            places, outliers = place.astype("<u2").tobytes(), high[row, place].astype("<u4").tobytes()
+            packed, wide, begin = rows.tobytes(), rows.shape[1], 0
+            for k, (block, end, low) in enumerate(zip(some.tolist(), ends, least[some].tolist())):
+                head = _BLOCK_HEAD.pack(low, width, min(BLOCK, n - block * BLOCK), end - begin)
+                out[block] = head + packed[k * wide : (k + 1) * wide] + places[2 * begin : 2 * end] + outliers[4 * begin : 4 * end]
+                begin = end
     starts = np.zeros(blocks, np.uint64)
     np.cumsum([len(x) for x in out[:-1]], out=starts[1:], dtype=np.uint64)
     return b"".join(out), starts
@@ -97,14 +125,15 @@ def unpack_blocks(data: bytes | memoryview, starts: np.ndarray) -> np.ndarray:
         for some in np.array_split(at, -(-len(at) // 2048)):
             begin = starts[some].astype(np.int64) + _BLOCK_HEAD.size
             out[some] = _unpacked(raw[begin[:, None] + np.arange(BLOCK * width // 8)], width)
-    sizes = []
-    for k, (least, width, size, odd) in enumerate(heads):
-        if odd:
-            at = int(starts[k]) + _BLOCK_HEAD.size + BLOCK * width // 8
-            where = np.frombuffer(data, "<u2", odd, at)
-            out[k, where] |= np.frombuffer(data, "<u4", odd, at + 2 * odd) << np.uint32(width)
-        out[k] += np.uint32(least)
-        sizes.append(size)
+    least, _, sizes, odd = (np.array(x, np.int64) for x in zip(*heads)) if heads else (np.zeros(0, np.int64),) * 4
+    # Exceptions of all blocks: the block of each, its number there, and the bytes of its place and of its high part.
+    block = np.repeat(np.arange(len(heads)), odd)
+    nth = np.arange(len(block)) - np.repeat(np.cumsum(odd) - odd, odd)
+    begin = starts.astype(np.int64)[block] + _BLOCK_HEAD.size + BLOCK * widths[block] // 8
+    where = raw[(begin + 2 * nth)[:, None] + np.arange(2)].view("<u2")[:, 0]
+    high = raw[(begin + 2 * odd[block] + 4 * nth)[:, None] + np.arange(4)].view("<u4")[:, 0]
+    out[block, where] |= high << widths[block].astype(np.uint32)
+    out += least.astype(np.uint32)[:, None]
     if not heads:
         return np.zeros(0, np.uint32)
     flat = out.reshape(-1)
