@@ -287,24 +287,38 @@ def _shingle_sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFr
     return one.mapInArrow(sets, "node binary, shingles array<int>")
 
 
-def _tied(members: DataFrame, draws: bool = False) -> DataFrame:
-    """Pairs (a, b), a < b, of every key of (key, node): each node with the key's first and the ``NEXT`` after it, or with one drawn anew for each key.
+def _tied(members: DataFrame, to: str) -> DataFrame:
+    """Pairs (a, b), a < b, of every key of (key, node): each node with the key's "first", with one "drawn" anew for each key, or with the ``NEXT`` after it.
 
-    A key of many nodes is dealt in parts of about ``PART``, so none is ordered in one task.
+    A key of many nodes is ordered in parts of about ``PART``, so none is ordered in one task.
     """
-    order = F.xxhash64("key", "node") if draws else F.col("node")
+    order = F.xxhash64("key", "node") if to == "drawn" else F.col("node")
     ends = members.groupBy("key").agg(F.min_by("node", order).alias("p"), F.count("*").alias("n")).filter("n > 1")
     met = members.join(ends, "key")
-    others = F.array(F.col("p"))
-    if not draws:
+    others = F.array("p")
+    if to == "next":
         part = F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("n") / PART))
         over = Window.partitionBy("key", part).orderBy("node")
         met = met.withColumns({f"q{k}": F.lead("node", k).over(over) for k in range(1, NEXT + 1)})
-        others = F.array("p", *(f"q{k}" for k in range(1, NEXT + 1)))
+        others = F.array(*(f"q{k}" for k in range(1, NEXT + 1)))
     pairs = met.select("node", F.explode(others).alias("q")).filter("q is not null and node <> q")
     return pairs.select(F.least("node", "q").alias("a"), F.greatest("node", "q").alias("b")).distinct()
 
 
+def _similar(documents: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The written pairs (a, b) of ``pairs`` whose shingle sets have the similarity."""
+    pairs = settle(pairs.distinct(), "candidate-pairs")
+    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidates")
+    sets = settle(_shingle_sets(documents, wanted, width), "shingle-sets")
+    both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
+    # Sets that differ in size by more than the similarity allows needn't be met.
+    sizes = F.least(F.size("s"), F.size("t")) >= similarity * F.greatest(F.size("s"), F.size("t"))
+    common = F.size(F.array_intersect("s", "t"))
+    links = settle(both.filter(sizes).filter(common >= similarity * (F.size("s") + F.size("t") - common)).select("a", "b"), "similar-pairs")
+    forget(sets, pairs, wanted)
+    return links
+
+
 def similar_documents(documents: DataFrame, width: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id of every document, linked where shingle sets have the Jaccard similarity or more.
 
@@ -319,17 +333,15 @@ def similar_documents(documents: DataFrame, width: int = SIMILAR_WORDS, similari
     near = near.join(named.select(F.col("key").alias("a"), F.col("node").alias("m")), "a").join(named.select(F.col("key").alias("b"), F.col("node").alias("n")), "b")
     banded = classes.select(F.explode("bands").alias("key"), "node")
     drawn = classes.select(F.explode(F.slice("bands", 1, DRAWN)).alias("key"), "node")
-    pairs = _tied(banded).union(_tied(drawn, True)).union(_tied(prints)).union(near.select(F.least("m", "n"), F.greatest("m", "n")))
-    pairs = settle(pairs.distinct(), "candidate-pairs")
-    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidates")
-    sets = settle(_shingle_sets(documents, wanted, width), "shingle-sets")
-    both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
-    # Sets that differ in size by more than the similarity allows needn't be met.
-    sizes = F.least(F.size("s"), F.size("t")) >= similarity * F.greatest(F.size("s"), F.size("t"))
-    common = F.size(F.array_intersect("s", "t"))
-    links = settle(both.filter(sizes).filter(common >= similarity * (F.size("s") + F.size("t") - common)).select("a", "b"), "similar-pairs")
-    forget(sets, pairs, wanted)
-    roots = components(links)
+    anchored = _tied(banded, "first").union(_tied(drawn, "drawn")).union(_tied(prints, "first"))
+    roots = components(_similar(documents, anchored.union(near.select(F.least("m", "n"), F.greatest("m", "n"))), width, similarity))
+    roots = settle(roots, "first-groups")
+    # Neighbours in a bucket that one group holds already need no verification.
+    group = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    beside = _tied(banded, "next").join(group("a"), "a", "left").join(group("b"), "b", "left")
+    apart = beside.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    more = _similar(documents, apart, width, similarity)
+    roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
     least = classes.select("node", "least").join(roots, "node")
     least = least.join(least.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
     found = settle(classes.select("node", "least").join(least, "node", "left").select("node", F.coalesce("component", "least").alias("component_id")), "text-classes")
