@@ -34,6 +34,7 @@ text of any length is hashed whole, shingle by shingle; other columns are not re
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import forget, settle
+from .shared import forget, settle, shuffled
 
 BITS = 4
 SHINGLE_WORDS = 4
@@ -65,6 +66,7 @@ def _syndromes() -> np.ndarray:
     return out
 
 
+@cache
 def near_errors() -> tuple[np.ndarray, np.ndarray]:
     """For each of 2048 syndromes the error patterns (up to 6, the lightest first) that lead to a codeword within four bits, and their number."""
     from itertools import combinations
@@ -200,7 +202,7 @@ def linked_pairs(distinct: DataFrame) -> DataFrame:
         one, two = (errors[j] == 2 for j in range(3) if j != i)
         own = own | (kind == 3 + i) & (errors[i] == 0) & one & two
     met = (kind == F.col("probe_kind")) & (F.col("key") == F.col("probe_key"))
-    return index.join(probe, met & (F.col("a") < F.col("b")) & (F.bit_count(apart) <= BITS) & own).select("a", "b")
+    return index.join(shuffled(probe), met & (F.col("a") < F.col("b")) & (F.bit_count(apart) <= BITS) & own).select("a", "b")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -209,12 +211,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     distinct = settle(marked.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     links = settle(linked_pairs(distinct), "links")
     roots = components(links)
-    named = distinct.join(roots, distinct.bits == roots.node).groupBy("root").agg(F.min("least").alias("component"))
-    linked = settle(roots.join(named, "root").select(F.col("node").alias("bits"), "component"), "linked-fingerprints")
+    named = distinct.join(shuffled(roots), distinct.bits == roots.node).groupBy("root").agg(F.min("least").alias("component"))
+    linked = settle(roots.join(shuffled(named), "root").select(F.col("node").alias("bits"), "component"), "linked-fingerprints")
     classes = settle(
-        distinct.join(linked, "bits", "left").select("bits", F.coalesce("component", "least").alias("component_id")), "fingerprint-classes"
+        distinct.join(shuffled(linked), "bits", "left").select("bits", F.coalesce("component", "least").alias("component_id")), "fingerprint-classes"
     )
-    return marked.join(classes, "bits").select("doc_id", "bits", "component_id")
+    return marked.join(shuffled(classes), "bits").select("doc_id", "bits", "component_id")
 
 
 #: Words of a shingle and least similarity of linked documents in the wider search.
@@ -283,7 +285,7 @@ def _shingle_sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFr
     if wanted.count() <= SENT_NODES:
         one = texts.join(F.broadcast(wanted), "node", "left_semi").groupBy("node").agg(one)
     else:
-        one = texts.groupBy("node").agg(one).join(wanted, "node", "left_semi")
+        one = texts.groupBy("node").agg(one).join(shuffled(wanted), "node", "left_semi")
     return one.mapInArrow(sets, "node binary, shingles array<int>")
 
 
@@ -294,7 +296,7 @@ def _tied(members: DataFrame, to: str) -> DataFrame:
     """
     order = F.xxhash64("key", "node") if to == "drawn" else F.col("node")
     ends = members.groupBy("key").agg(F.min_by("node", order).alias("p"), F.count("*").alias("n")).filter("n > 1")
-    met = members.join(ends, "key")
+    met = members.join(shuffled(ends), "key")
     others = F.array("p")
     if to == "next":
         part = F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("n") / PART))
@@ -310,7 +312,7 @@ def _similar(documents: DataFrame, pairs: DataFrame, width: int, similarity: flo
     pairs = settle(pairs.distinct(), "candidate-pairs")
     wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidates")
     sets = settle(_shingle_sets(documents, wanted, width), "shingle-sets")
-    both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
+    both = pairs.join(shuffled(sets.toDF("a", "s")), "a").join(shuffled(sets.toDF("b", "t")), "b")
     # Sets that differ in size by more than the similarity allows needn't be met.
     sizes = F.least(F.size("s"), F.size("t")) >= similarity * F.greatest(F.size("s"), F.size("t"))
     common = F.size(F.array_intersect("s", "t"))
@@ -330,19 +332,20 @@ def similar_documents(documents: DataFrame, width: int = SIMILAR_WORDS, similari
     prints = classes.select(F.col("bits").alias("key"), "node")
     named = prints.groupBy("key").agg(F.min("node").alias("node"))
     near = linked_pairs(settle(named.select(F.col("key").alias("bits")), "distinct-fingerprints"))
-    near = near.join(named.select(F.col("key").alias("a"), F.col("node").alias("m")), "a").join(named.select(F.col("key").alias("b"), F.col("node").alias("n")), "b")
+    end = lambda of, node: shuffled(named.select(F.col("key").alias(of), F.col("node").alias(node)))
+    near = near.join(end("a", "m"), "a").join(end("b", "n"), "b")
     banded = classes.select(F.explode("bands").alias("key"), "node")
     drawn = classes.select(F.explode(F.slice("bands", 1, DRAWN)).alias("key"), "node")
     anchored = _tied(banded, "first").union(_tied(drawn, "drawn")).union(_tied(prints, "first"))
     roots = components(_similar(documents, anchored.union(near.select(F.least("m", "n"), F.greatest("m", "n"))), width, similarity))
     roots = settle(roots, "first-groups")
     # Neighbours in a bucket that one group holds already need no verification.
-    group = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    group = lambda end: shuffled(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")))
     beside = _tied(banded, "next").join(group("a"), "a", "left").join(group("b"), "b", "left")
     apart = beside.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
     more = _similar(documents, apart, width, similarity)
     roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
-    least = classes.select("node", "least").join(roots, "node")
-    least = least.join(least.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
-    found = settle(classes.select("node", "least").join(least, "node", "left").select("node", F.coalesce("component", "least").alias("component_id")), "text-classes")
-    return marked.select("doc_id", "node").join(found, "node").select("doc_id", "component_id")
+    least = classes.select("node", "least").join(shuffled(roots), "node")
+    least = least.join(shuffled(least.groupBy("root").agg(F.min("least").alias("component"))), "root").select("node", "component")
+    found = settle(classes.select("node", "least").join(shuffled(least), "node", "left").select("node", F.coalesce("component", "least").alias("component_id")), "text-classes")
+    return marked.select("doc_id", "node").join(shuffled(found), "node").select("doc_id", "component_id")

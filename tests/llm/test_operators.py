@@ -144,6 +144,17 @@ def test_golay_keys_find_every_link(spark):
     assert got == want and len(want) > 800
 
 
+def test_keys_are_not_sent_through_the_driver(spark):
+    """A small table of fingerprints makes a hundred keys a row, which Spark's guess of sizes does not see."""
+    from posegrid.llm.shared import settle
+
+    frame = settle(spark.range(1000).select(F.xxhash64("id").alias("bits")), "bits")
+    links = settle(spark.range(9).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), "chain")
+    for found in (simhash.linked_pairs(frame), components._large_star(links), components._small_star(links)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (3, 2)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
