@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from posegrid.llm import line_rules, packing, phrase_index, secret_scan, simhash
 from posegrid.llm.queries import tokenizer
-from posegrid.llm.shared import packed_rows, read_table, settle, unpacked
+from posegrid.llm.shared import forget, packed_rows, read_table, settle, unpacked
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,6 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = _numbered(docs)
     groups = simhash.similar_documents(_by_key(rows)).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group"))
     named = settle(rows.select("_key", F.col("_row").getField("doc_id").alias("_id")).join(groups, "_key"), "named")
+    forget(groups)
     first = named.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_key")).getField("_key").alias("_first"))
     others = named.join(first, "_group").filter("_key <> _first").select("_key")
     return unpacked(rows.join(others, "_key", "left_anti"), docs)

@@ -22,9 +22,10 @@ Jaccard similarity of 0.8. A fingerprint can't find all such pairs: at that simi
 are one source of candidates there and bands of minima over the same shingle hashes are the other; every
 candidate pair is verified by the exact similarity of its shingle sets. Texts of equal words are one
 text from the start. A bucket ties each member to its first, in some bands to one drawn anew for the band, and to the ``NEXT`` after it
-in the order of their names: all pairs of a small bucket, and a net over a large one, which never makes all its pairs. On the 10 000 documents of a
-test 0.97 or more of the similar pairs that are no copies are in one group; in a large bucket two documents near the threshold may
-be missed where no chain of similar ones ties them.
+in the order of their names: all pairs of a small bucket, and a net over a large one. Then all other pairs of a large bucket whose
+members no group holds together are met, by counts that exclude only pairs which can't be similar, so no link between two
+members of a bucket is lost. That last step is quadratic in the members of a bucket that stay unlinked; its memory is bound by the block. On the 10 000
+documents of a test 0.97 or more of the similar pairs that are no copies are in one group.
 
 Defined cases: text without words (or null) has fingerprint zero; a null ``doc_id`` takes part but names
 no component while its group has another id; different texts under one id are rows of their own; equal rows are each returned; a
@@ -227,6 +228,8 @@ BANDS, ROWS = 16, 4
 DRAWN = 6
 #: Members after it that each member of a bucket is tied to, and the size of the parts that large buckets are ordered in.
 NEXT, PART = 7, 512
+#: Counts of shingles by hash that members of large buckets are compared by before they are verified.
+CELLS = 256
 #: Up to so many names of candidates (16 bytes each) are sent to the tasks that read the texts; more are joined by a shuffle.
 SENT_NODES = 500_000
 
@@ -312,15 +315,83 @@ def _similar(documents: DataFrame, pairs: DataFrame, width: int, similarity: flo
     pairs = settle(pairs.distinct(), "candidate-pairs")
     wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidates")
     sets = settle(_shingle_sets(documents, wanted, width), "shingle-sets")
+    links = _verified(pairs, sets, similarity)
+    forget(sets, pairs, wanted)
+    return links
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     both = pairs.join(shuffled(sets.toDF("a", "s")), "a").join(shuffled(sets.toDF("b", "t")), "b")
     # Sets that differ in size by more than the similarity allows needn't be met.
     sizes = F.least(F.size("s"), F.size("t")) >= similarity * F.greatest(F.size("s"), F.size("t"))
     common = F.size(F.array_intersect("s", "t"))
-    links = settle(both.filter(sizes).filter(common >= similarity * (F.size("s") + F.size("t") - common)).select("a", "b"), "similar-pairs")
+    return settle(both.filter(sizes).filter(common >= similarity * (F.size("s") + F.size("t") - common)).select("a", "b"), "similar-pairs")
+
+
+def _left(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, n, node, root): members of the buckets (keys, least, node) that have ``least`` members or more, not all in one group."""
+    root = F.coalesce("root", "node").alias("root")
+    members = buckets.join(shuffled(roots), "node", "left").select(F.explode("keys").alias("key"), "least", "node", root)
+    of = F.xxhash64("root")
+    mixed = members.groupBy("key").agg(F.count("*").alias("n"), F.max("least").alias("_least"), F.min(of).alias("_low"), F.max(of).alias("_high"))
+    mixed = mixed.filter("n >= _least and _low <> _high").select("key", "n")
+    return members.join(shuffled(mixed), "key").select("key", "n", "node", "root")
+
+
+def _across(documents: DataFrame, left: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The written pairs (a, b) of all members of a bucket of ``left``, a written table, in different groups, whose shingle sets have the similarity.
+
+    Every member meets every other one as ``CELLS`` counts of its shingles by hash, in blocks that are dealt over all tasks. The counts of
+    two sets differ by no more than the sets do, so pairs with too different counts are not similar; the others are verified.
+    """
+    wanted = settle(left.select("node").distinct(), "candidates")
+    sets = settle(_shingle_sets(documents, wanted, width), "shingle-sets")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = [s.values.to_numpy().view(np.uint32) for s in batch.column("shingles")]
+            cells = [np.bincount(s % CELLS, minlength=CELLS).clip(max=255).astype(np.uint8).tobytes() for s in of]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(map(len, of)), pa.int32()), pa.array(cells, pa.binary())], names=["node", "size", "cells"])
+
+    counted = sets.mapInArrow(count, "node binary, size int, cells binary")
+    parts = F.ceil(F.col("n") / PART)
+    own = left.withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), parts)).join(shuffled(counted), "node")
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "size", "cells")
+
+    def meet(block: pa.Table) -> pa.Table:
+        nodes, groups = (np.array(block.column(c).to_pylist(), object) for c in ("node", "root"))
+        groups = np.unique(groups, return_inverse=True)[1]
+        sizes = block.column("size").to_numpy().astype(np.int64)
+        counts = np.frombuffer(b"".join(block.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        mine, i, j = (block.column(c).to_numpy() for c in ("own", "i", "j"))
+        # Two blocks meet each other; a block alone meets itself, each pair once.
+        alone = i[0] == j[0]
+        first, second = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        a, b = [], []
+        for k, at in enumerate(first.tolist()):
+            others = second[k + 1 :] if alone else second
+            others = others[groups[others] != groups[at]]
+            apart = np.abs(counts[others] - counts[at]).sum(axis=1, dtype=np.int64)
+            near = others[apart * (1 + similarity) <= (sizes[others] + sizes[at]) * (1 - similarity) + 1e-6]
+            a += [nodes[at]] * len(near)
+            b += nodes[near].tolist()
+        return pa.table({"p": pa.array(a, pa.binary()), "q": pa.array(b, pa.binary())})
+
+    met = dealt.groupBy("key", "i", "j").applyInArrow(meet, "p binary, q binary")
+    pairs = settle(met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "candidate-pairs")
+    links = _verified(pairs, sets, similarity)
     forget(sets, pairs, wanted)
     return links
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The groups (node, root) that ``links`` make of those of ``roots``."""
+    found = settle(components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(links)), "groups")
+    forget(roots, links)
+    return found
+
+
 def similar_documents(documents: DataFrame, width: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id of every document, linked where shingle sets have the Jaccard similarity or more.
 
@@ -330,10 +401,12 @@ def similar_documents(documents: DataFrame, width: int = SIMILAR_WORDS, similari
     classes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     classes = settle(classes, "word-classes")
     prints = classes.select(F.col("bits").alias("key"), "node")
-    named = prints.groupBy("key").agg(F.min("node").alias("node"))
-    near = linked_pairs(settle(named.select(F.col("key").alias("bits")), "distinct-fingerprints"))
+    named = prints.groupBy("key").agg(F.min("node").alias("node"), F.count("*").alias("texts"))
+    distinct = settle(named.select(F.col("key").alias("bits")), "distinct-fingerprints")
+    linked = settle(linked_pairs(distinct).distinct(), "linked-fingerprints")
+    forget(distinct)
     end = lambda of, node: shuffled(named.select(F.col("key").alias(of), F.col("node").alias(node)))
-    near = near.join(end("a", "m"), "a").join(end("b", "n"), "b")
+    near = linked.join(end("a", "m"), "a").join(end("b", "n"), "b")
     banded = classes.select(F.explode("bands").alias("key"), "node")
     drawn = classes.select(F.explode(F.slice("bands", 1, DRAWN)).alias("key"), "node")
     anchored = _tied(banded, "first").union(_tied(drawn, "drawn")).union(_tied(prints, "first"))
@@ -341,11 +414,22 @@ def similar_documents(documents: DataFrame, width: int = SIMILAR_WORDS, similari
     roots = settle(roots, "first-groups")
     # Neighbours in a bucket that one group holds already need no verification.
     group = lambda end: shuffled(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")))
-    beside = _tied(banded, "next").join(group("a"), "a", "left").join(group("b"), "b", "left")
+    beside = _tied(banded.union(prints), "next").join(group("a"), "a", "left").join(group("b"), "b", "left")
     apart = beside.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    more = _similar(documents, apart, width, similarity)
-    roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
+    roots = _joined(roots, _similar(documents, apart, width, similarity))
+    # All other pairs of large buckets, and of the texts of a fingerprint and of those that it is linked to.
+    several = named.filter("texts > 1").select("key")
+    ends = linked.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.a", F.col("x.b").alias("key"))
+    around = ends.join(shuffled(several), "key").select(F.col("a").alias("_of"), "key").union(ends.join(shuffled(several.toDF("a")), "a", "left_semi").select("a", "key"))
+    around = around.union(around.select("_of", F.col("_of").alias("key"))).distinct()
+    around = prints.join(shuffled(around), "key").select(F.array(F.xxhash64("_of", F.lit(3))).alias("keys"), F.lit(3).alias("least"), "node")
+    large = classes.select(F.concat("bands", F.array("bits")).alias("keys"), F.lit(NEXT + 2).alias("least"), "node")
+    left = settle(_left(large.union(around), roots), "large-buckets")
+    if not left.isEmpty():
+        roots = _joined(roots, _across(documents, left, width, similarity))
+    forget(left, linked)
     least = classes.select("node", "least").join(shuffled(roots), "node")
     least = least.join(shuffled(least.groupBy("root").agg(F.min("least").alias("component"))), "root").select("node", "component")
     found = settle(classes.select("node", "least").join(shuffled(least), "node", "left").select("node", F.coalesce("component", "least").alias("component_id")), "text-classes")
+    forget(classes, roots)
     return marked.select("doc_id", "node").join(shuffled(found), "node").select("doc_id", "component_id")

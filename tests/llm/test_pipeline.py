@@ -82,6 +82,28 @@ def test_similar_documents(spark):
     assert simhash.similar_documents(frame.limit(0)).count() == 0
 
 
+def test_no_link_is_lost_in_a_large_bucket(spark):
+    """300 pairs of similar texts, all 600 alike enough to share large buckets, but only the pairs are linked."""
+    import random
+
+    rng = random.Random(3)
+
+    def edited(words, n):
+        words = list(words)
+        for at in rng.sample(range(len(words)), n):
+            words[at] = f"x{rng.randrange(10**9)}"
+        return words
+
+    base = [f"w{i}" for i in range(300)]
+    firsts = [edited(base, 7) for _ in range(300)]
+    texts = [" ".join(w) for first in firsts for w in (first, edited(first, 5))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame).collect()}
+    sets = {n: brute_shingles(t) for n, t in enumerate(texts)}
+    want = brute_components(sets, [(a, b) for a, b in combinations(sets, 2) if similar(sets[a], sets[b])])
+    assert len(set(want.values())) > 250 and got == want
+
+
 def test_similar_documents_of_the_table(spark):
     """Of the pairs of different texts with a similarity of 0.8 in 10 000 documents, found by an exact prefix filter, 0.97 are in one group."""
     from collections import Counter
