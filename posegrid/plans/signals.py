@@ -253,8 +253,7 @@ PERM = f"""{SPIKES}, tr AS (SELECT DISTINCT unit, t_us // 1000 AS ms FROM sp), p
 @query("t04_cyclic_shuffle", f"WITH {PERM} SELECT unit, perm, count(DISTINCT ms) AS n, min(ms) AS first FROM sh GROUP BY ALL")
 def _(spark, sf):
     train = spikes.spike_train(derived.spikes(spark, sf))
-    shuffled = spikes.cyclic_shuffle(train, spikes.permutations(spark, SHUFFLES), 600_001)
-    return shuffled.groupBy("unit", "perm").agg(F.countDistinct("ms").alias("n"), F.min("ms").alias("first"))
+    return permutations.shuffled_trains(train, 600_001, SHUFFLES)
 
 
 @query(

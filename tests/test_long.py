@@ -199,3 +199,16 @@ def test_average_ranks_with_and_without_keys(spark):
     own = {k: brute([v for kk, v in rows if kk == k]) for k in ("a", "b", None)}
     assert sorted(map(str, (tuple(r) for r in series.avg_rank(df, "v", ("k",)).collect()))) == sorted(str((k, v, own[k](v))) for k, v in rows)
     assert series.avg_rank(df.limit(0), "v").count() == 0
+
+
+def test_shuffled_trains(spark):
+    """Number and first millisecond of every shuffle, also of trains beyond the window, against shuffling."""
+    from posegrid.operators import permutations
+
+    rng = np.random.default_rng(4)
+    trains = {"a": rng.integers(0, 100_000, 500), "b": np.array([0, 99_999, 100_000, 250_000]), "c": np.array([5])}
+    frame = spark.createDataFrame([(u, int(m)) for u, ms in trains.items() for m in ms], "unit string, ms long")
+    got = {(r.unit, r.perm): (r.n, r.first) for r in permutations.shuffled_trains(frame, 100_000, 50).collect()}
+    shifts = permutations.drawn_shifts(50)
+    want = {(u, p): (len(set(m)), min(m)) for u, ms in trains.items() for p, s in enumerate(shifts) for m in [((ms + s) % 100_000).tolist()]}
+    assert got == want
