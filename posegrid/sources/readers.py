@@ -83,7 +83,11 @@ def trim_leading_zeros(df: DataFrame, rate: float, key: str = "recording") -> Da
 
 
 def write_features(df: DataFrame, path: str, key: str = "recording") -> None:
-    """Appends the recordings that the folder lacks."""
+    """Appends the recordings that the folder lacks.
+
+    The key is a column of the files, sorted in each: a folder for each recording would cost files and listings
+    with their number, and readers of one recording skip by the files' statistics.
+    """
     spark = df.sparkSession
     try:
         there = spark.read.parquet(path).select(key).distinct()
@@ -91,8 +95,8 @@ def write_features(df: DataFrame, path: str, key: str = "recording") -> None:
         if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
             raise
         there = None
-    new = df if there is None else df.join(there.withColumn(key, F.col(key).cast(df.schema[key].dataType)), key, "left_anti")
-    new.write.mode("append").partitionBy(key).parquet(path)
+    new = df if there is None else df.join(there, key, "left_anti")
+    new.sortWithinPartitions(key).write.mode("append").parquet(path)
 
 
 ALIGNMENT_SCHEMA = "reference string, target string, lag_time double, slope double, sample_rate double, time_start double, time_end double"

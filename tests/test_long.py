@@ -212,3 +212,13 @@ def test_shuffled_trains(spark):
     shifts = permutations.drawn_shifts(50)
     want = {(u, p): (len(set(m)), min(m)) for u, ms in trains.items() for p, s in enumerate(shifts) for m in [((ms + s) % 100_000).tolist()]}
     assert got == want
+
+
+def test_new_recordings_make_no_folders(spark, tmp_path):
+    from posegrid.sources import readers
+
+    for n in (40, 60):
+        readers.write_features(spark.range(n).select(F.col("id").alias("recording"), F.lit(n).alias("v")), str(tmp_path / "f"))
+    assert not [p for p in (tmp_path / "f").iterdir() if p.is_dir()]
+    found = {r.recording: r.v for r in spark.read.parquet(str(tmp_path / "f")).collect()}
+    assert found == {i: 40 if i < 40 else 60 for i in range(60)}
