@@ -228,18 +228,36 @@ def dense_lag_sums(reference: DataFrame, target: DataFrame, max_lag: int | None
         pairs = r.withColumn("tb", F.explode(F.sequence(F.col("rb") - far - 1, F.col("rb") + far + 1))).join(t, [key, "tb"])
     part = lambda n, c: F.transform(n, lambda s: s[c]).alias(n + c)
     sent = pairs.select(key, (F.col("rb") - F.col("tb")).alias("apart"), *(part(n, c) for n in "rt" for c in "ix"))
-    size = 1 << (2 * block - 1).bit_length()
 
     def correlate(batches):
         for batch in batches:
+            rows, lags, sums, held = [], [], [], 0
+
+            def put():
+                keys = batch.column(key).take(pa.array(np.repeat(np.array(rows, np.int32), list(map(len, lags)))))
+                return pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(lags)), pa.array(np.concatenate(sums))], names=[key, "lag", "corr"])
+
+            apart = batch.column("apart").to_pylist()
             for row in range(batch.num_rows):
                 ri, rx, ti, tx = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("ri", "rx", "ti", "tx"))
-                found = np.fft.irfft(np.fft.rfft(np.bincount(ri, rx, block), size) * np.fft.rfft(np.bincount(ti, tx, block), size).conj(), size)
-                lags = np.arange(ri.min() - ti.max(), ri.max() - ti.min() + 1)
-                whole = lags + batch.column("apart")[row].as_py() * block
-                near = slice(None) if max_lag is None else np.abs(whole) <= max_lag
-                whole, corr = whole[near], found[lags[near] % size]
-                yield pa.RecordBatch.from_arrays([batch.column(key).slice(row, 1).take(pa.array(np.zeros(len(whole), np.int32))), pa.array(whole), pa.array(corr)], names=[key, "lag", "corr"])
+                # Transforms are as long as the samples that are there, which may be far fewer than a block's.
+                r0, t0 = ri.min(), ti.min()
+                r, t = np.bincount(ri - r0, rx), np.bincount(ti - t0, tx)
+                size = 1 << (len(r) + len(t) - 2).bit_length()
+                found = np.fft.irfft(np.fft.rfft(r, size) * np.fft.rfft(t, size).conj(), size) if size > 1 else r * t
+                near = np.arange(1 - len(t), len(r))
+                whole = near + r0 - t0 + apart[row] * block
+                if max_lag is not None:
+                    near, whole = near[np.abs(whole) <= max_lag], whole[np.abs(whole) <= max_lag]
+                rows.append(row)
+                lags.append(whole)
+                sums.append(found[near % size])
+                held += len(whole)
+                if held >= block:
+                    yield put()
+                    rows, lags, sums, held = [], [], [], 0
+            if rows:
+                yield put()
 
     parts = sent.mapInArrow(correlate, f"`{key}` {reference.schema[key].dataType.simpleString()}, lag long, corr double")
     return parts.groupBy(key, "lag").agg(F.sum("corr").alias("corr"))

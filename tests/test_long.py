@@ -222,3 +222,14 @@ def test_new_recordings_make_no_folders(spark, tmp_path):
     assert not [p for p in (tmp_path / "f").iterdir() if p.is_dir()]
     found = {r.recording: r.v for r in spark.read.parquet(str(tmp_path / "f")).collect()}
     assert found == {i: 40 if i < 40 else 60 for i in range(60)}
+
+
+def test_dense_lag_sums_of_short_signals(spark):
+    """A signal of a few samples late in a large block costs a transform of its own length: 2000 of them in seconds."""
+    import time
+
+    rows = spark.range(2000).select(F.col("id").alias("recording"), F.explode(F.sequence(F.lit(60_000), F.lit(60_009))).alias("idx"))
+    late = rows.select("recording", (F.col("idx") + 3).alias("idx"), F.pmod("idx", F.lit(4)).alias("on"))
+    begin = time.time()
+    best = sync.dense_crosscorr_align(rows.withColumn("on", F.pmod("idx", F.lit(4))), late, 100.0).select("lag").distinct().collect()
+    assert [r.lag for r in best] == [-3] and time.time() - begin < 8
