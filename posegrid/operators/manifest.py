@@ -83,23 +83,42 @@ def repeated_keys(files: DataFrame, keys) -> DataFrame:
 def match_ephys_partial(recordings: DataFrame, ephys: DataFrame) -> DataFrame:
     """One to one within a session, where no attribute that both have differs: (session, recording, ephys).
 
-    Recordings in alphabetical order take the first free file that agrees. The files of a session, of
-    which one experiment has some dozens, are matched in one group.
+    Recordings in alphabetical order take the first free file that agrees. The files of a session are
+    matched in one group; a recording looks up the files with each set of attributes by the values that both have, so the
+    work goes with the files, not with their pairs.
     """
 
     def each(table):
+        from collections import defaultdict, deque
+
         import pandas as pd
 
-        out, used = [], set()
-        sides = {k: g.sort_values("name") for k, g in table.groupby("side")}
-        none = table.iloc[:0]
-        for r in sides.get(0, none).itertuples():
-            for e in sides.get(1, none).itertuples():
-                mine, theirs = ({x["key"]: x["value"] for x in f.attributes} for f in (r, e))
-                if e.name not in used and all(mine[k] == theirs[k] for k in mine.keys() & theirs.keys()):
-                    used.add(e.name)
-                    out.append((r.session, r.name, e.name))
-                    break
+        ordered = table.sort_values("name", kind="stable")
+        sides = {k: [(r.session, r.name, {x["key"]: x["value"] for x in r.attributes}) for r in g.itertuples()] for k, g in ordered.groupby("side")}
+        # Files with the same names of attributes, in their order.
+        alike = defaultdict(list)
+        for place, (_, name, has) in enumerate(sides.get(1, [])):
+            alike[frozenset(has)].append((place, name, has))
+        queues, used, out = {}, set(), []
+
+        def first_free(names, has):
+            """The queue of the files with attributes ``names`` that agree with ``has``, the next free one in front."""
+            shared = tuple(sorted(names & has.keys()))
+            if (names, shared) not in queues:
+                queues[names, shared] = made = defaultdict(deque)
+                for place, name, own in alike[names]:
+                    made[tuple(own[k] for k in shared)].append((place, name))
+            queue = queues[names, shared].get(tuple(has[k] for k in shared), ())
+            while queue and queue[0][1] in used:
+                queue.popleft()
+            return queue
+
+        for session, name, has in sides.get(0, []):
+            free = [q[0] for names in alike if (q := first_free(names, has))]
+            if free:
+                found = min(free)[1]
+                used.add(found)
+                out.append((session, name, found))
         return pd.DataFrame(out, columns=["session", "recording", "ephys"])
 
     both = recordings.select("session", "name", "attributes", F.lit(0).alias("side")).union(ephys.select("session", "name", "attributes", F.lit(1)))

@@ -233,3 +233,34 @@ def test_dense_lag_sums_of_short_signals(spark):
     begin = time.time()
     best = sync.dense_crosscorr_align(rows.withColumn("on", F.pmod("idx", F.lit(4))), late, 100.0).select("lag").distinct().collect()
     assert [r.lag for r in best] == [-3] and time.time() - begin < 8
+
+
+def test_partial_match_of_many_files(spark):
+    """Files of a session with different sets of attributes, against all pairs; 3000 a side in seconds."""
+    import random
+    import time
+
+    from posegrid.operators import manifest
+
+    rng = random.Random(1)
+
+    def files(n, tag):
+        names = [f"{tag}{i:05d}" for i in rng.sample(range(99_999), n)]
+        return [("s", name, {k: str(rng.randrange(9)) for k in rng.sample(["day", "rig", "mouse"], rng.randrange(4))}) for name in names]
+
+    def brute(ours, theirs):
+        used, out = set(), []
+        for _, name, has in sorted(ours, key=lambda f: f[1]):
+            for _, other, own in sorted(theirs, key=lambda f: f[1]):
+                if other not in used and all(has[k] == own[k] for k in has.keys() & own.keys()):
+                    used.add(other)
+                    out.append((name, other))
+                    break
+        return sorted(out)
+
+    for n in (150, 3000):
+        ours, theirs = files(n, "r"), files(n, "e")
+        begin = time.time()
+        frames = (spark.createDataFrame(x, "session string, name string, attributes map<string,string>") for x in (ours, theirs))
+        got = sorted((r.recording, r.ephys) for r in manifest.match_ephys_partial(*frames).collect())
+        assert time.time() - begin < 8 and (n > 150 or got == brute(ours, theirs))
