@@ -264,3 +264,20 @@ def test_partial_match_of_many_files(spark):
         frames = (spark.createDataFrame(x, "session string, name string, attributes map<string,string>") for x in (ours, theirs))
         got = sorted((r.recording, r.ephys) for r in manifest.match_ephys_partial(*frames).collect())
         assert time.time() - begin < 8 and (n > 150 or got == brute(ours, theirs))
+
+
+def test_spectrogram_over_runs_and_gaps(spark):
+    """Segments are the same whatever runs they are dealt to; one that lacks a sample has no rows."""
+    from posegrid.operators import spectral
+
+    v = np.random.default_rng(2).normal(size=400)
+    frame = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(v) if i != 200], "recording string, idx int, v double")
+    got = {s: {(r.seg, r.freq): r.power for r in spectral.spectrogram(frame, 100.0, 64, samples=s).collect()} for s in (56, 112, 1 << 18)}
+    window = spectral.tukey(64)
+    want = {}
+    for seg in range(7):
+        part = v[seg * 56 : seg * 56 + 64]
+        if len(part) == 64 and not seg * 56 <= 200 < seg * 56 + 64:
+            want |= {(seg, k * 100.0 / 64): p for k, p in enumerate(np.abs(np.fft.rfft((part - part.mean()) * window)) / window.sum())}
+    for found in got.values():
+        assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
