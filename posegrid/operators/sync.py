@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import groupby, islice
+from math import fma
+from operator import itemgetter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,6 +118,50 @@ def crosscorr_align(
     return found.select(key, "lag", (F.col("lag") / target_rate).alias("lag_time"), "corr", (F.col("corr") == fewest).alias("good"))
 
 
+def _line(points: Iterable[tuple]) -> tuple[float | None, float | None, int]:
+    """Slope and intercept of (x, y), and their number: one pass that updates means and moments. No line where x is one value."""
+    n, mean_x, mean_y, co, square, sum_x, sum_y, rows = 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0
+    for x, y in points:
+        rows += 1
+        if x is None or y is None:
+            continue
+        n += 1
+        dx = x - mean_x
+        mean_x += dx / n
+        mean_y += (y - mean_y) / n
+        co = fma(dx, y - mean_y, co)
+        square += dx * (x - mean_x)
+        sum_x += x
+        sum_y += y
+    if n < 2 or square == 0:
+        return None, None, rows
+    slope = (co / n) / (square / n)
+    return slope, fma(-slope, sum_x / n, sum_y / n), rows
+
+
+def ordered_lines(pairs: DataFrame, key: str = "recording", order: str = "k") -> DataFrame:
+    """(key, slope, intercept, pairs): the line of y on x by least squares, summed in the given order.
+
+    The last bit of a slope counts: a lag is often a whole number of samples, of which the next stage cuts as many as the
+    product of lag and rate reaches. Partial sums would let that bit hang on how rows were dealt to tasks. So rows are
+    sorted by key and order, and each key's pass through as a stream, with the fused product of DuckDB's regression.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = pairs.schema[key].dataType
+    types = [to_arrow_type(kind), pa.float64(), pa.float64(), pa.int64()]
+    kept = pairs.select(key, order, "x", "y").repartition(key).sortWithinPartitions(key, order).select(key, "x", "y")
+
+    def lines(batches):
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        found = ((name, *_line(p[1:] for p in points)) for name, points in groupby(rows, itemgetter(0)))
+        while some := list(islice(found, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types)], names=[key, "slope", "intercept", "pairs"])
+
+    return kept.mapInArrow(lines, f"`{key}` {kind.simpleString()}, slope double, intercept double, pairs long")
+
+
 def regression_align(reference: DataFrame, target: DataFrame, rate_r: float, rate_t: float | Column, max_rmse: float, lag: float | Column = 0.0, key: str = "recording") -> DataFrame:
     """Line of target on reference edge times: new lag and rate; good if the residuals are small. One pair is no line.
 
@@ -121,8 +170,8 @@ def regression_align(reference: DataFrame, target: DataFrame, rate_r: float, rat
     rate, before = (x if isinstance(x, Column) else F.lit(float(x)) for x in (rate_t, lag))
     known = target.select(key, "edge", rate.alias("_rate"), before.alias("_before"))
     state = known.groupBy(key).agg(F.first("_rate").alias("_rate"), F.first("_before").alias("_before"))
-    pairs = ordinal_pairs(reference, known, key).join(state, key).select(key, (F.col("edge_r") / rate_r).alias("x"), (F.col("edge_t") / F.col("_rate")).alias("y"))
-    line = pairs.groupBy(key).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.count("*").alias("pairs"))
+    pairs = ordinal_pairs(reference, known, key).join(state, key).select(key, "k", (F.col("edge_r") / rate_r).alias("x"), (F.col("edge_t") / F.col("_rate")).alias("y"))
+    line = ordered_lines(pairs, key)
     rest = F.col("y") - F.col("slope") * F.col("x") - F.col("intercept")
     error = pairs.join(line, key).groupBy(key).agg(F.sqrt(F.avg(rest * rest)).alias("rmse"))
     found = line.join(error, key).join(state, key)
