@@ -97,21 +97,28 @@ def build_index(documents: DataFrame) -> DataFrame:
         def put() -> pa.RecordBatch:
             nonlocal doc_ids, docs, known, line, shard
             lengths = np.array([len(d) for d in docs], np.int64)
-            which = np.concatenate(docs)
-            first = np.cumsum(lengths + GAP) - lengths - GAP
-            where = np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(which))
+            which, docs = np.concatenate(docs), []
+            # Positions take four bytes unless a text is beyond them, and each array goes as soon as the next is there.
+            where = np.arange(len(which), dtype=np.int32 if line < 1 << 31 else np.int64)
+            where += np.repeat(GAP * np.arange(len(lengths), dtype=where.dtype), lengths)
+            counts = np.bincount(which, minlength=len(known)).astype(np.int32)
             order = np.argsort(which, kind="stable")
-            terms = [w.decode() for w in known]
-            row = {
-                "shard": shard,
-                "doc_ids": doc_ids,
-                "n_words": lengths,
-                "terms": terms,
-                "counts": np.bincount(which, minlength=len(terms)).astype(np.int32),
-                "postings": np.diff(where[order], prepend=0).astype(np.int32).tobytes(),
-            }
-            doc_ids, docs, known, line, shard = [], [], _numbers(), 0, shard + 1
-            return pa.RecordBatch.from_pylist([row], SHARD)
+            del which
+            where = where[order]
+            del order
+            where[1:] -= where[:-1]
+            where = where.astype(np.int32, copy=False)
+            terms = pa.array(list(known), pa.binary()).cast(pa.string())
+            columns = [
+                pa.array([shard], pa.int64()),
+                pa.array([doc_ids], pa.list_(pa.int64())),
+                pa.array([lengths], pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms),
+                pa.array([counts], pa.list_(pa.int32())),
+                pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, where.nbytes], np.int32)), pa.py_buffer(where)]),
+            ]
+            doc_ids, known, line, shard = [], _numbers(), 0, shard + 1
+            return pa.RecordBatch.from_arrays(columns, schema=SHARD)
 
         for batch in batches:
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
@@ -204,7 +211,8 @@ class Windows:
             return none, none, none.astype(bool)
         start = np.cumsum(counts) - counts
         # One list for all terms: a position is searched behind its term's number.
-        listed = np.repeat(np.arange(len(counts)), counts) << 32 | where
+        listed = np.repeat(np.arange(len(counts)) << 32, counts)
+        listed |= where
         rarest = token[self.begin[hopeful] + self.anchor[hopeful]]
         out = []
         ends = np.cumsum(counts[rarest])
@@ -254,7 +262,7 @@ def _hits(index: DataFrame, block: pa.Table, width: int, slop: int) -> DataFrame
             for row in range(batch.num_rows):
                 shard = {name: batch.column(name)[row] for name in batch.schema.names}
                 counts = shard["counts"].values.to_numpy().astype(np.int64)
-                where = np.cumsum(np.frombuffer(shard["postings"].as_py(), np.int32), dtype=np.int64)
+                where = np.cumsum(np.frombuffer(shard["postings"].as_buffer(), np.int32), dtype=np.int64)
                 which, begin, exact = windows.found_in(shard["terms"].values, counts, where, slop)
                 if not len(which):
                     continue

@@ -230,6 +230,39 @@ def test_proximity(spark):
     assert {r.doc_id: (r.contaminated, r.near_items) for r in found} == {1: (True, 1), 2: (False, 1), 3: (False, 0), 4: (False, 0)}
 
 
+def test_a_shard_of_the_index_takes_few_bytes_a_word(spark, monkeypatch):
+    """Two tasks of an executor build a shard each beside the JVM: 28 bytes a word at most, with the texts' own words."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyspark
+
+    class Frame:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, f, _: f
+
+    class Task:
+        get = classmethod(lambda cls: cls)
+        partitionId = classmethod(lambda cls: 3)
+
+    monkeypatch.setattr(pyspark, "TaskContext", Task)
+    rng, n = np.random.default_rng(1), phrase_index.SHARD_WORDS // (10_000 + phrase_index.GAP) * 10_000
+    texts = pa.array([" ".join(map(str, rng.integers(0, 5000, 10_000).tolist())) for _ in range(n // 10_000)])
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), texts], names=["doc_id", "text"])
+    tracemalloc.start()
+    (made,) = phrase_index.build_index(Frame())(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    row = made.to_pylist()[0]
+    assert row["shard"] == 3 << 33 and sum(row["n_words"]) == sum(row["counts"]) == n
+    assert peak < 28 * n
+    at, where = 0, np.cumsum(np.frombuffer(row["postings"], np.int32), dtype=np.int64)
+    line = {i * (10_000 + phrase_index.GAP) + k: w for i, t in enumerate(texts.to_pylist()) for k, w in enumerate(t.split())}
+    for term, count in zip(row["terms"], row["counts"]):
+        assert all(line[p] == term for p in where[at : at + count].tolist())
+        at += count
+
+
 def test_packing(spark, docs, texts, none):
     want = encoder("byte_bpe_50k.json")
     ids = {k: [*want(t), 0] for k, t in texts}
