@@ -172,6 +172,22 @@ def test_a_sample_of_the_worst_pages_fits():
     assert int(done.stdout) < 1_000_000
 
 
+def test_a_sample_of_the_worst_pages_fits_by_its_own_peak():
+    """The same by VmHWM, the peak of the process alone: ru_maxrss begins at the peak of the process that started it, here all tests before."""
+    import os
+    import subprocess
+    import sys
+
+    code = (
+        "import re\nfrom posegrid.llm import wrappers\n"
+        "t = wrappers.induce('<p>a' * 249_000 + str(i) for i in range(6))\n"
+        "print(re.search(r'VmHWM:\\s+(\\d+) kB', open('/proc/self/status').read())[1])"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, check=True, timeout=600)
+    assert int(done.stdout) < 500_000
+
+
 @pytest.mark.parametrize("article", ["article", "div", "section"])
 def test_pages_with_and_without_an_article(spark, article):
     pages = [r.asDict() for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
